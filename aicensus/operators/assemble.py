@@ -32,10 +32,13 @@ def key_findings(findings: DataFrame) -> DataFrame:
     eco = F.coalesce(F.col("ecosystem"), F.lit(""))
     return (
         check_enums(findings)
-        .withColumn("cls", ident.kind_class(F.col("kind")))
-        .withColumn("cprovider", ident.normalize_provider(F.col("provider")))
-        .withColumn("cname", ident.normalize_name(F.col("cls"), F.col("name"), eco))
-        .withColumn("snapshot", ident.snapshot_version(F.col("cls"), F.col("name")))
+        .withColumns({
+            "cls": ident.kind_class(F.col("kind")), "cprovider": ident.normalize_provider(F.col("provider")),
+        })
+        .withColumns({
+            "cname": ident.normalize_name(F.col("cls"), F.col("name"), eco),
+            "snapshot": ident.snapshot_version(F.col("cls"), F.col("name")),
+        })
         .withColumn(
             "disc", ident.discriminator(F.col("cls"), F.col("cname"), eco, ident.first_sha256(F.col("hashes")))
         )
@@ -50,47 +53,44 @@ def drafts(keyed: DataFrame) -> DataFrame:
     return keyed.select("scan_id", "draft_id", "cls", "cprovider", "cname", "disc").distinct()
 
 
-def package_redirects(draft_rows: DataFrame) -> DataFrame:
-    """Packages without ecosystem whose provider and name have exactly one ecosystem."""
-    owned = F.col("disc") != ""
-    return _unique_home(
-        draft_rows.filter("cls = 'package'"), ["scan_id", "cprovider", "cname"], owned
-    )
-
-
-def model_redirects(draft_rows: DataFrame) -> DataFrame:
-    """Hosted models without provider whose name has exactly one provider."""
-    owned = F.col("cprovider") != ""
-    return _unique_home(draft_rows.filter("cls = 'hosted-model'"), ["scan_id", "cname"], owned)
-
-
-def _unique_home(rows: DataFrame, keys: list[str], owned: Column) -> DataFrame:
+def redirects(draft_rows: DataFrame) -> DataFrame:
     """Ids without an owner field that fold into the only sibling with one.
 
-    A group holds at most one such id (its key is then complete), so two conditional
-    aggregates decide the fold; 0 or several siblings refuse.
+    The owner field is the ecosystem for packages (siblings share provider and name) and the
+    provider for hosted models (siblings share the name). A group holds at most one id
+    without owner, because its key is then complete, so conditional aggregates decide the
+    fold in one pass; no sibling or several siblings refuse.
     """
+    package = F.col("cls") == "package"
+    owned = F.when(package, F.col("disc") != "").otherwise(F.col("cprovider") != "")
     return (
-        rows.groupBy(*keys)
+        draft_rows.filter(F.col("cls").isin("package", "hosted-model"))
+        .groupBy("scan_id", "cls", F.when(package, F.col("cprovider")).otherwise("").alias("provider"), "cname")
         .agg(
             F.count_if(owned).alias("homes"),
             F.max(F.when(owned, F.col("draft_id"))).alias("component_id"),
             F.max(F.when(~owned, F.col("draft_id"))).alias("draft_id"),
         )
         .filter("homes = 1 AND draft_id IS NOT NULL")
-        .select("scan_id", "draft_id", "component_id")
+        .select("scan_id", "draft_id", "component_id", "cls")
     )
 
 
-def redirects(draft_rows: DataFrame) -> DataFrame:
-    return package_redirects(draft_rows).unionByName(model_redirects(draft_rows))
+def package_redirects(draft_rows: DataFrame) -> DataFrame:
+    """Packages without ecosystem folding into their only ecosystem."""
+    return redirects(draft_rows).filter("cls = 'package'").drop("cls")
+
+
+def model_redirects(draft_rows: DataFrame) -> DataFrame:
+    """Hosted models without provider folding into their only provider."""
+    return redirects(draft_rows).filter("cls = 'hosted-model'").drop("cls")
 
 
 def sightings(keyed: DataFrame, redirect_rows: DataFrame | None = None) -> DataFrame:
     """Findings with their final ``component_id``; ``folded`` marks redirected ones."""
     if redirect_rows is None:
         redirect_rows = redirects(drafts(keyed))
-    home = redirect_rows.withColumnRenamed("component_id", "_home")
+    home = redirect_rows.select("scan_id", "draft_id", F.col("component_id").alias("_home"))
     return (
         keyed.join(home, ["scan_id", "draft_id"], "left")
         .withColumn("component_id", F.coalesce("_home", "draft_id"))
@@ -346,14 +346,15 @@ def model_properties() -> Column:
     return F.when(F.col("cls") == "hosted-model", F.filter(props, lambda p: p.isNotNull()))
 
 
-def components(sighted: DataFrame, occ: DataFrame | None = None) -> DataFrame:
+def components(sighted: DataFrame, occ: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
     """One row per component: scalars, facets, version, confidence, package URL."""
     occ = occurrences(sighted) if occ is None else occ
+    claims = identity_claims(sighted) if claims is None else claims
     keys = ["scan_id", "component_id"]
     out = (
         component_scalars(sighted)
         .join(confidences(occ), keys)
-        .join(resolved_versions(identity_claims(sighted)), keys, "left")
+        .join(resolved_versions(claims), keys, "left")
     )
     return out.withColumn("purl", purl_of()).withColumn("properties", model_properties())
 

@@ -7,7 +7,6 @@ stays one lazy plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -109,26 +108,27 @@ def detect(
     return findings, unknowns
 
 
-@dataclass(frozen=True)
 class Inventory:
-    """Flat inventory tables. Presentation documents are projections of these."""
-
-    scans: DataFrame
-    components: DataFrame
-    occurrences: DataFrame
-    claims: DataFrame
-    licenses: DataFrame
-    hashes: DataFrame
-    risks: DataFrame
-    risk_details: DataFrame
-    params: DataFrame
-    edges: DataFrame
-    edge_evidence: DataFrame
-    warnings: DataFrame
-    unknowns: DataFrame | None = None
-    vulns: DataFrame | None = None
-    outcomes: DataFrame | None = None
-    control_evidence: DataFrame | None = None
+    """Flat inventory tables, each planned when first asked for.
+
+    Presentation documents are projections of these. Tables: scans, components, occurrences,
+    claims, licenses, hashes, risks, risk_details, params, edges, edge_evidence, warnings, and
+    where given unknowns, vulns, outcomes, control_evidence (None otherwise).
+    """
+
+    def __init__(self, **tables):
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        value = self._tables.get(name)
+        if callable(value):
+            value = self._tables[name] = value()
+        return value
+
+    def replace(self, **tables) -> Inventory:
+        return Inventory(**{**self._tables, **tables})
 
 
 def build(findings: DataFrame, scans: DataFrame, unknowns: DataFrame | None = None, stage: bool = False) -> Inventory:
@@ -139,19 +139,28 @@ def build(findings: DataFrame, scans: DataFrame, unknowns: DataFrame | None = No
     sighted = assemble.sightings(keyed, moved)
     if stage:
         sighted = cut_lineage(sighted)
-    occ = assemble.occurrences(sighted)
-    comps = assemble.with_roots(assemble.components(sighted, occ), scans)
-    survivors = assemble.surviving(draft_rows, moved).select("scan_id", "component_id", "cls", "cname").unionByName(
-        assemble.root_components(scans).select("scan_id", "component_id", "cls", F.lower("name").alias("cname"))
-    ).distinct()
-    names = graph.name_index(survivors)
-    resolved = graph.resolve_claims(graph.relation_claims(sighted), names, graph.path_detector_index(sighted))
-    evidence = graph.edge_evidence(resolved)
+    shared = Inventory(
+        occurrences=lambda: assemble.occurrences(sighted),
+        claims=lambda: assemble.identity_claims(sighted),
+        names=lambda: graph.name_index(
+            assemble.surviving(draft_rows, moved).select("scan_id", "component_id", "cls", "cname").unionByName(
+                assemble.root_components(scans).select("scan_id", "component_id", "cls", F.lower("name").alias("cname"))
+            ).distinct()
+        ),
+        resolved=lambda: graph.resolve_claims(
+            graph.relation_claims(sighted), shared.names, graph.path_detector_index(sighted)),
+        evidence=lambda: graph.edge_evidence(shared.resolved),
+    )
     return Inventory(
-        scans=scans, components=comps, occurrences=occ, claims=assemble.identity_claims(sighted),
-        licenses=assemble.licenses(sighted), hashes=assemble.hashes(sighted), risks=assemble.risks(sighted),
-        risk_details=assemble.risk_details(sighted), params=graph.promoted_params(sighted, names),
-        edges=graph.edges(evidence), edge_evidence=evidence, warnings=graph.unresolved(resolved), unknowns=unknowns,
+        scans=scans, unknowns=unknowns,
+        occurrences=lambda: shared.occurrences, claims=lambda: shared.claims,
+        components=lambda: assemble.with_roots(
+            assemble.components(sighted, shared.occurrences, shared.claims), scans),
+        licenses=lambda: assemble.licenses(sighted), hashes=lambda: assemble.hashes(sighted),
+        risks=lambda: assemble.risks(sighted), risk_details=lambda: assemble.risk_details(sighted),
+        params=lambda: graph.promoted_params(sighted, shared.names),
+        edges=lambda: graph.edges(shared.evidence), edge_evidence=lambda: shared.evidence,
+        warnings=lambda: graph.unresolved(shared.resolved),
     )
 
 
@@ -160,14 +169,14 @@ def tagged(inv: Inventory) -> DataFrame:
 
 
 def with_vulns(inv: Inventory, advisories: DataFrame) -> Inventory:
-    return replace(inv, vulns=component_vulns(inv.components, advisories))
+    return inv.replace(vulns=component_vulns(inv.components, advisories))
 
 
 def with_controls(inv: Inventory, controls: DataFrame) -> Inventory:
     """Evaluate controls over the inventory as it stands."""
     rows = tagged(inv)
-    return replace(
-        inv, outcomes=control_outcomes(rows, controls, inv.scans), control_evidence=control_evidence(rows, controls)
+    return inv.replace(
+        outcomes=control_outcomes(rows, controls, inv.scans), control_evidence=control_evidence(rows, controls)
     )
 
 
@@ -180,12 +189,13 @@ def present(inv: Inventory, bound: float, controls: DataFrame | None = None) ->
     """Minimum-confidence view; controls are evaluated again over what is left."""
     comps, edges = min_confidence(inv.components, inv.edges, bound)
     keep = comps.select("scan_id", "component_id")
-    semi = lambda df: df.join(keep, ["scan_id", "component_id"], "left_semi") if df is not None else None
-    out = replace(
-        inv, components=comps, edges=edges, occurrences=semi(inv.occurrences), claims=semi(inv.claims),
-        licenses=semi(inv.licenses), hashes=semi(inv.hashes), risks=semi(inv.risks),
-        risk_details=semi(inv.risk_details), params=semi(inv.params), vulns=semi(inv.vulns),
-    )
+    def semi(name: str):
+        return lambda: getattr(inv, name).join(keep, ["scan_id", "component_id"], "left_semi")
+
+    parts = ["occurrences", "claims", "licenses", "hashes", "risks", "risk_details", "params"]
+    if inv.vulns is not None:
+        parts.append("vulns")
+    out = inv.replace(components=comps, edges=edges, **{p: semi(p) for p in parts})
     return with_controls(out, controls) if controls is not None else out
 
 

@@ -110,7 +110,7 @@ def facet_merge(spark, sf):
 @query(assembled(
     "SELECT scan_id, component_id, unnest(list_filter([CASE WHEN arch_lo <> arch_hi THEN 'model.architecture' END, "
     "CASE WHEN params_lo <> params_hi THEN 'model.param_count' END, "
-    "CASE WHEN endpoint_lo <> endpoint_hi THEN 'infra.endpoint' END], x -> x IS NOT NULL)) AS field FROM scal", "scal"))
+    "CASE WHEN endpoint_lo <> endpoint_hi THEN 'infra.endpoint' END], lambda x: x IS NOT NULL)) AS field FROM scal", "scal"))
 def facet_conflicts(spark, sf):
     return assemble.facet_conflicts(assemble.facets(_sighted(spark, sf)))
 
@@ -146,7 +146,7 @@ def inventory_components(spark, sf):
 
 @query(assembled(
     "SELECT scan_id, component_id, unnest(list_filter([CASE WHEN provider <> '' THEN 'asset:model.provider=' || provider END, "
-    "'asset:model.id=' || name], x -> x IS NOT NULL)) AS property FROM comp WHERE cls = 'hosted-model'", "comp"))
+    "'asset:model.id=' || name], lambda x: x IS NOT NULL)) AS property FROM comp WHERE cls = 'hosted-model'", "comp"))
 def model_properties(spark, sf):
     rows = assemble.components(_sighted(spark, sf)).select("scan_id", "component_id", F.explode("properties").alias("p"))
     return rows.select("scan_id", "component_id", F.concat_ws("=", "p.name", "p.value").alias("property"))
@@ -203,12 +203,11 @@ def graph_lookup(spark, sf):
 _GRID = (
     "SELECT scan_id, framework, control, CASE WHEN rule = 'manual' THEN 'manual' "
     "WHEN (rule = 'evidence') = (n > 0) THEN 'met' ELSE 'gap' END AS state, n AS n_components FROM ("
-    "SELECT scan_id, framework, control, rule, CASE WHEN rule = 'manual' THEN 0 ELSE count(component_id) END AS n FROM ("
-    "SELECT s.scan_id, c.framework, c.control, c.rule, t.component_id FROM scans s, ctl c LEFT JOIN tagged t "
+    "SELECT s.scan_id, c.framework, c.control, c.rule, count(t.component_id) AS n FROM scans s CROSS JOIN ctl c LEFT JOIN tagged t "
     "ON t.scan_id = s.scan_id AND CASE WHEN c.control = 'MAP-2.1' THEN t.kind IN "
     "('hosted-llm', 'local-model-file', 'embedding-model', 'framework', 'rag-pipeline') "
     "WHEN c.control = 'MAP-4.1' THEN t.kind IN ('framework', 'library', 'hosted-llm', 'embedding-model') "
-    "WHEN c.rule = 'gap' THEN len(t.tags) > 0 ELSE false END) GROUP BY ALL)"
+    "WHEN c.rule = 'gap' THEN len(t.tags) > 0 ELSE false END GROUP BY s.scan_id, c.framework, c.control, c.rule)"
 )
 _CTL = "SELECT * FROM (VALUES " + ", ".join(
     f"('{fw}', '{ctl}', '{'evidence' if ev else 'gap' if gap else 'manual'}')"

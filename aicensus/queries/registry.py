@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assembly
+from . import assembly, detection
 
-_MODULES = [assembly]
+_MODULES = [assembly, detection]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
