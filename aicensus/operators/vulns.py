@@ -70,24 +70,33 @@ def other_ids(advisory_id: Column, aliases: Column) -> Column:
 
 
 def scored(advisories: DataFrame) -> DataFrame:
-    """Add display id, aliases, score, vector and severity to each advisory."""
-    first_v3 = F.get(
-        F.filter(
-            "severity", lambda s: s["score"].startswith("CVSS:3") & cvss3_score(s["score"]).isNotNull()
-        ),
-        F.lit(0),
-    )["score"]
-    score = cvss3_score(first_v3)
-    any_vector = F.get(F.filter("severity", lambda s: s["score"] != ""), F.lit(0))["score"]
+    """Add display id, aliases, score, vector and severity to each advisory.
+
+    The first usable v3 vector of an advisory is scored; without one the first vector is
+    shown and the advisory's text decides the severity.
+    """
+    vectors = advisories.select("id", F.posexplode("severity").alias("n", "s")).select(
+        "id", "n", F.col("s.score").alias("vector"))
+    v3 = (
+        vectors.filter(F.col("vector").startswith("CVSS:3"))
+        .withColumn("score", cvss3_score(F.col("vector")))
+        .filter("score IS NOT NULL")
+        .groupBy("id")
+        .agg(F.min_by(F.struct("score", "vector"), "n").alias("v3"))
+    )
+    shown = F.get(F.filter("severity", lambda s: s["score"] != ""), F.lit(0))["score"]
+    known = F.col("v3.score").isNotNull()
     return (
-        advisories.withColumn("vuln_id", preferred_id(F.col("id"), F.col("aliases")))
-        .withColumn("alias_ids", other_ids(F.col("id"), F.col("aliases")))
-        .withColumn("score", F.coalesce(score, F.lit(0.0)))
-        .withColumn("vector", F.coalesce(first_v3, any_vector, F.lit("")))
-        .withColumn(
-            "cve_severity",
-            F.when(score.isNotNull(), severity_from_score(score)).otherwise(severity_from_text(F.col("db_severity"))),
-        )
+        advisories.join(v3, "id", "left")
+        .withColumns({
+            "vuln_id": preferred_id(F.col("id"), F.col("aliases")),
+            "alias_ids": other_ids(F.col("id"), F.col("aliases")),
+            "score": F.coalesce("v3.score", F.lit(0.0)),
+            "vector": F.coalesce("v3.vector", shown, F.lit("")),
+            "cve_severity": F.when(known, severity_from_score(F.col("v3.score"))).otherwise(
+                severity_from_text(F.col("db_severity"))),
+        })
+        .drop("v3")
     )
 
 

@@ -124,8 +124,8 @@ _MATCH = (
     f"av AS (SELECT *, {_NUM('introduced')} AS i, {_NUM('fixed1')} AS f1, {_NUM('fixed2')} AS f2 FROM a), "
     "m0 AS (SELECT pv.scan_id, component_id, name, version, id, CASE WHEN starts_with(alias, 'CVE') THEN alias ELSE id END AS vuln_id, "
     "CASE WHEN starts_with(alias, 'CVE') THEN id ELSE alias END AS other, "
-    "CASE WHEN vector LIKE '%C:H%' THEN 9.8::DOUBLE WHEN vector LIKE '%C:L%' THEN 1.8::DOUBLE ELSE 0.0::DOUBLE END AS score, vector, "
-    "CASE WHEN vector LIKE '%C:H%' THEN 'critical' WHEN vector LIKE '%C:L%' THEN 'low' ELSE "
+    "CASE WHEN vector LIKE '%/C:H%' THEN 9.8::DOUBLE WHEN vector LIKE '%/C:L%' THEN 1.8::DOUBLE ELSE 0.0::DOUBLE END AS score, vector, "
+    "CASE WHEN vector LIKE '%/C:H%' THEN 'critical' WHEN vector LIKE '%/C:L%' THEN 'low' ELSE "
     "CASE upper(text) WHEN 'HIGH' THEN 'high' WHEN 'MODERATE' THEN 'medium' WHEN 'LOW' THEN 'low' ELSE 'unknown' END END AS severity, summary, "
     "CASE WHEN f1 > v AND (f1 <= f2 OR f2 <= v) THEN fixed1 WHEN f2 > v THEN fixed2 ELSE fixed1 END AS fixed "
     "FROM pv JOIN av ON av.package = pv.name AND (v >= i AND v < f1 OR v >= 2005 AND v < f2)), "
@@ -244,13 +244,13 @@ def license_union(spark, sf):
 @query(
     "WITH e AS (SELECT l_orderkey % 50 AS scan, l_partkey % 40 AS f, l_suppkey % 30 AS t, l_quantity / 60 AS c FROM lineitem) "
     "SELECT CAST(scan AS VARCHAR) AS scan_id, CAST(f AS VARCHAR) AS from_id, CAST(t AS VARCHAR) AS to_id, "
-    "round(least(1 - product(1 - c), 0.99), 6) AS confidence, count(*) AS n_evidence FROM e WHERE f <> t GROUP BY ALL")
+    "round(least(1 - product(1 - c), 0.99), 9) AS confidence, count(*) AS n_evidence FROM e WHERE f <> t GROUP BY ALL")
 def edge_confidence(spark, sf):
     from ..operators import graph
     e = table(spark, sf, "lineitem").selectExpr(
         "CAST(l_orderkey % 50 AS STRING) AS scan_id", "CAST(l_partkey % 40 AS STRING) AS from_id",
         "CAST(l_suppkey % 30 AS STRING) AS to_id", "'uses' AS type", "l_quantity / 60 AS confidence").filter("from_id <> to_id")
-    return graph.edges(e).select("scan_id", "from_id", "to_id", F.round("confidence", 6).alias("confidence"), "n_evidence")
+    return graph.edges(e).select("scan_id", "from_id", "to_id", F.round("confidence", 9).alias("confidence"), "n_evidence")
 
 
 @query(
