@@ -24,16 +24,27 @@ def query(sql: str | None = None):
     return add
 
 
+_PLANS: dict = {}
+
+
+def _plan(spark: SparkSession, sf: str, what: str, make):
+    """Plans (not data) shared by the queries of one application and one input folder."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _PLANS:
+        _PLANS[key] = make()
+    return _PLANS[key]
+
+
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return assemble.key_findings(findings(spark, sf))
+    return _plan(spark, sf, "keyed", lambda: assemble.key_findings(findings(spark, sf)))
 
 
 def _sighted(spark: SparkSession, sf: str) -> DataFrame:
-    return assemble.sightings(_keyed(spark, sf))
+    return _plan(spark, sf, "sighted", lambda: assemble.sightings(_keyed(spark, sf)))
 
 
 def _inventory(spark: SparkSession, sf: str) -> pipeline.Inventory:
-    return pipeline.build(findings(spark, sf), scans(spark, sf))
+    return _plan(spark, sf, "inventory", lambda: pipeline.build(findings(spark, sf), scans(spark, sf)))
 
 
 def r6(name: str):

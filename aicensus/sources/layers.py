@@ -11,15 +11,17 @@ WHITEOUT_PREFIX = ".wh."
 
 def clean_path(path: Column) -> Column:
     """Root-relative slash path: back slashes turned, '.' and '..' resolved, clamped at the root."""
-    segments = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda s: (s != "") & (s != "."))
-    resolved = F.aggregate(
-        segments,
+    # Empty and '.' segments fall to one pattern; only paths that hold '..' are folded.
+    plain = F.regexp_replace(F.concat(F.lit("/"), F.translate(path, "\\", "/")), r"/(?:\.?/)+", "/")
+    plain = F.regexp_replace(plain, r"^/|/\.?$", "")
+    folded = F.aggregate(
+        F.split(plain, "/"),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(
             s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.array_join(resolved, "/")
+    return F.when(plain.rlike(r"(^|/)\.\.(/|$)"), F.array_join(folded, "/")).otherwise(plain)
 
 
 def ancestors(path: Column) -> Column:
