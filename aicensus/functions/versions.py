@@ -1,8 +1,8 @@
-"""Version ordering and CVSS scoring as Columns."""
+"""Version ordering and CVSS scoring."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -46,34 +46,45 @@ def _weight(value: Column, table: dict[str, float]) -> Column:
     return out
 
 
-def cvss3_score(vector: Column) -> Column:
-    """Base score of a CVSS v3.0/3.1 vector; null unless all base metrics are usable."""
-    # Duplicate metrics are legal input here (the last one wins), so no str_to_map.
-    def metric(name: str) -> Column:
-        return F.nullif(F.regexp_extract(vector, rf".*/{name}:([^/]*)", 1), F.lit(""))
-
-    def present(name: str) -> Column:
-        return vector.rlike(rf"/{name}:")
-
-    changed = metric("S") == "C"
-    av, ac, ui = _weight(metric("AV"), _AV), _weight(metric("AC"), _AC), _weight(metric("UI"), _UI)
-    pr = F.when(changed, _weight(metric("PR"), _PR_CHANGED)).otherwise(_weight(metric("PR"), _PR_SAME))
-    conf, integ, avail = (_weight(metric(m), _CIA) for m in ("C", "I", "A"))
-    iss = F.lit(1.0) - (F.lit(1.0) - conf) * (F.lit(1.0) - integ) * (F.lit(1.0) - avail)
-    impact = F.when(
-        changed, F.lit(7.52) * (iss - 0.029) - F.lit(3.25) * F.pow(iss - 0.02, F.lit(15.0))
-    ).otherwise(F.lit(6.42) * iss)
-    raw = impact + F.lit(8.22) * av * ac * pr * ui
-    base = F.least(F.when(changed, F.lit(1.08) * raw).otherwise(raw), F.lit(10.0))
-    cents = F.round(base * 100000).cast("bigint")
-    rounded = F.when(cents % 10000 == 0, cents / 100000.0).otherwise(
-        (F.floor(cents / 10000.0) + 1) / 10.0
+def add_cvss3_score(df: DataFrame, vector: str = "vector", out: str = "score") -> DataFrame:
+    """Add the base score of a CVSS v3.0/3.1 vector; null unless all base metrics are usable.
+
+    Metrics, weights and sub-scores are separate projections: each is used several times,
+    and one nested expression would outgrow a generated method.
+    """
+    given = F.col(vector)
+    metrics = df.withColumns({
+        # A repeated metric is legal; the last one counts.
+        f"_m_{m}": F.nullif(F.regexp_extract(given, rf".*/{m}:([^/]*)", 1), F.lit("")) for m in _REQUIRED
+    })
+    changed = F.col("_m_S") == "C"
+    weights = metrics.withColumns({
+        "_changed": F.coalesce(changed, F.lit(False)),
+        "_av": _weight(F.col("_m_AV"), _AV), "_ac": _weight(F.col("_m_AC"), _AC), "_ui": _weight(F.col("_m_UI"), _UI),
+        "_pr": F.when(changed, _weight(F.col("_m_PR"), _PR_CHANGED)).otherwise(_weight(F.col("_m_PR"), _PR_SAME)),
+        **{f"_{m}": _weight(F.col(f"_m_{m}"), _CIA) for m in ("C", "I", "A")},
+    })
+    one = F.lit(1.0)
+    scored = weights.withColumn(
+        "_iss", one - (one - F.col("_C")) * (one - F.col("_I")) * (one - F.col("_A"))
+    ).withColumn(
+        "_impact",
+        F.when(F.col("_changed"), F.lit(7.52) * (F.col("_iss") - 0.029) - F.lit(3.25) * F.pow(
+            F.col("_iss") - 0.02, F.lit(15.0))).otherwise(F.lit(6.42) * F.col("_iss")),
+    ).withColumn(
+        "_raw", F.col("_impact") + F.lit(8.22) * F.col("_av") * F.col("_ac") * F.col("_pr") * F.col("_ui")
     )
-    usable = vector.rlike(r"^CVSS:3\.[01]/")
-    for name in _REQUIRED:
-        usable = usable & present(name)
-    usable = usable & (av > 0) & (ac > 0) & (ui > 0) & (pr > 0)
-    return F.when(usable, F.when(impact <= 0, F.lit(0.0)).otherwise(rounded))
+    base = F.least(F.when(F.col("_changed"), F.lit(1.08) * F.col("_raw")).otherwise(F.col("_raw")), F.lit(10.0))
+    scored = scored.withColumn("_cents", F.round(base * 100000).cast("bigint"))
+    cents = F.col("_cents")
+    rounded = F.when(cents % 10000 == 0, cents / 100000.0).otherwise((F.floor(cents / 10000.0) + 1) / 10.0)
+    usable = given.rlike(r"^CVSS:3\.[01]/")
+    for m in _REQUIRED:
+        usable = usable & given.rlike(rf"/{m}:")
+    for w in ("_av", "_ac", "_ui", "_pr"):
+        usable = usable & (F.col(w) > 0)
+    result = F.when(usable, F.when(F.col("_impact") <= 0, F.lit(0.0)).otherwise(rounded))
+    return scored.select(*[F.col(c) for c in df.columns], result.alias(out))
 
 
 def severity_from_score(score: Column) -> Column:

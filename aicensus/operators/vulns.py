@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.versions import (
-    cvss3_score, severity_from_score, severity_from_text, severity_rank, version_key, version_shaped,
+    add_cvss3_score, severity_from_score, severity_from_text, severity_rank, version_key, version_shaped,
 )
 
 # Package-URL types that advisories cover.
@@ -78,8 +78,7 @@ def scored(advisories: DataFrame) -> DataFrame:
     vectors = advisories.select("id", F.posexplode("severity").alias("n", "s")).select(
         "id", "n", F.col("s.score").alias("vector"))
     v3 = (
-        vectors.filter(F.col("vector").startswith("CVSS:3"))
-        .withColumn("score", cvss3_score(F.col("vector")))
+        add_cvss3_score(vectors.filter(F.col("vector").startswith("CVSS:3")))
         .filter("score IS NOT NULL")
         .groupBy("id")
         .agg(F.min_by(F.struct("score", "vector"), "n").alias("v3"))

@@ -68,7 +68,7 @@ _SCORE_SQL = (
 @query(_SCORE_SQL)
 def cvss_score(spark, sf):
     rows = table(spark, sf, "lineitem").selectExpr(f"{spark_sql(_VECTOR)} AS vector").distinct()
-    return rows.withColumn("score", ver.cvss3_score(F.col("vector")))
+    return ver.add_cvss3_score(rows)
 
 
 # ── advisories joined to packages ────────────────────────────────────────────
