@@ -67,7 +67,7 @@ def model_fold(spark, sf):
     return assemble.model_redirects(assemble.drafts(_keyed(spark, sf))).select("scan_id", "draft_id", "component_id")
 
 
-@query(assembled("SELECT scan_id, component_id, count(*) AS n, count_if(folded) AS n_folded FROM s GROUP BY ALL", "s"))
+@query(assembled("SELECT scan_id, component_id, count(*) AS n, count(*) FILTER (WHERE folded) AS n_folded FROM s GROUP BY ALL", "s"))
 def redirected_sightings(spark, sf):
     return _sighted(spark, sf).groupBy("scan_id", "component_id").agg(
         F.count("*").alias("n"), F.count_if("folded").alias("n_folded"))
@@ -242,8 +242,8 @@ def control_outcomes(spark, sf):
 
 
 @query(with_controls(
-    "SELECT scan_id, framework, count(*) AS controls, count_if(state = 'met') AS met, count_if(state = 'gap') AS gap, "
-    "count_if(state = 'manual') AS manual FROM outcomes GROUP BY ALL"))
+    "SELECT scan_id, framework, count(*) AS controls, count(*) FILTER (WHERE state = 'met') AS met, count(*) FILTER (WHERE state = 'gap') AS gap, "
+    "count(*) FILTER (WHERE state = 'manual') AS manual FROM outcomes GROUP BY ALL"))
 def compliance_summary(spark, sf):
     inv = _inventory(spark, sf)
     return tables.compliance_summary(
@@ -306,7 +306,7 @@ def gate_verdicts(spark, sf):
 
 
 @query(with_controls(
-    f"SELECT bool_or(tripped) AS tripped, count_if(tripped) AS scans_tripped, count(*) AS scans FROM ({_GATE_SQL})"))
+    f"SELECT bool_or(tripped) AS tripped, count(*) FILTER (WHERE tripped) AS scans_tripped, count(*) AS scans FROM ({_GATE_SQL})"))
 def fleet_verdict(spark, sf):
     return gate.fleet_verdict(_verdicts(spark, sf))
 

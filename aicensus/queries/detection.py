@@ -608,8 +608,8 @@ def rag_pipelines(spark, sf):
 
 
 @query(
-    "SELECT source AS scan_id, count(*) AS files_walked, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count_if(length(text) < 200) AS files_failed, "
-    "count_if(length(text) >= 200) AS files_processed FROM documents GROUP BY source")
+    "SELECT source AS scan_id, count(*) AS files_walked, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) FILTER (WHERE length(text) < 200) AS files_failed, "
+    "count(*) FILTER (WHERE length(text) >= 200) AS files_processed FROM documents GROUP BY source")
 def scan_stats(spark, sf):
     f = document_files(spark, sf)
     text = files_mod.text_of(F.col("content"))

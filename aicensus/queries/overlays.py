@@ -194,7 +194,7 @@ def cve_gate(spark, sf):
 
 
 @query("WITH p AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _INSTALLED.items()) + ", p_partkey FROM part) "
-       "SELECT scan_id, count(*) AS queryable, count_if(CAST(substr(name, 5) AS INT) % 7 = 0) AS unchecked FROM p GROUP BY ALL")
+       "SELECT scan_id, count(*) AS queryable, count(*) FILTER (WHERE CAST(substr(name, 5) AS INT) % 7 = 0) AS unchecked FROM p GROUP BY ALL")
 def check_coverage(spark, sf):
     comps = installed(spark, sf)
     seen = comps.filter(F.substring("name", 5, 9).cast("int") % 7 != 0).select("purl")
