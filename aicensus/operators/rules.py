@@ -235,7 +235,7 @@ def match_lines(files: DataFrame, rules: list[dict], any_language: bool = True)
 
 
 def cap_matches(matches: DataFrame, cap: int = MATCH_CAP) -> DataFrame:
-    """Keep the first ``cap`` matches per (rule, file), as the reference rule scan does.
+    """Keep the first ``cap`` matches per (rule, file), as the Arrow rule scan does.
 
     Counting the matches of earlier lines needs one window per (file, rule), which one
     file's lines bound.

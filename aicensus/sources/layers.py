@@ -57,34 +57,35 @@ def visible_versions(entries: DataFrame, whiteout_hides_subtree: bool = False) -
     of a path wins.
 
     Only the highest layer of a marker and only the topmost version of a file can matter, so
-    both are reduced by partial aggregates first. The joins are then equi-joins with at most
-    one match per (file, directory), and no path however often rewritten becomes one window.
+    files and whiteouts are reduced by one partial aggregate and opaque markers by another.
+    The join left is an equi-join with at most one match per (file, directory), and no path
+    however often rewritten becomes one window.
     """
     named = _marked(entries.select("image", "layer_idx", "entry_seq", "path", "type"))
-    target = clean_path(F.concat_ws("/", "_dir", F.expr(f"substring(_base, {len(WHITEOUT_PREFIX) + 1})")))
-    removed = (
-        named.filter("_role = 'whiteout'")
-        .groupBy("image", target.alias("path"))
-        .agg(F.max("layer_idx").alias("removed_in"))
+    bare = F.expr(f"substring(_base, {len(WHITEOUT_PREFIX) + 1})")
+    target = F.when(bare.isin("", ".", ".."), clean_path(F.concat_ws("/", "_dir", bare))).when(
+        F.col("_dir") == "", bare
+    ).otherwise(F.concat_ws("/", "_dir", bare))
+    is_file, is_whiteout = F.col("_role") == "file", F.col("_role") == "whiteout"
+    # A whiteout is keyed by the path it hides, so files meet it in their own aggregate.
+    visible = (
+        named.filter(is_file | is_whiteout)
+        .groupBy("image", F.when(is_whiteout, target).otherwise(F.col("path")).alias("path"))
+        .agg(
+            F.max(F.when(is_file, F.struct("layer_idx", (-F.col("entry_seq")).alias("neg_seq")))).alias("top"),
+            F.max(F.when(is_whiteout, F.col("layer_idx"))).alias("removed_in"),
+        )
+        .filter("top IS NOT NULL AND (removed_in IS NULL OR removed_in <= top.layer_idx)")
+        .select("image", "path", "top.layer_idx", (-F.col("top.neg_seq")).alias("entry_seq"))
     )
     opaque = (
         named.filter("_role = 'opaque'")
         .groupBy("image", F.col("_dir").alias("dir"))
         .agg(F.max("layer_idx").alias("hidden_in"))
     )
-    newest = (
-        named.filter("_role = 'file'")
-        .groupBy("image", "path")
-        .agg(F.max(F.struct("layer_idx", (-F.col("entry_seq")).alias("neg_seq"))).alias("top"))
-        .select("image", "path", "top.layer_idx", (-F.col("top.neg_seq")).alias("entry_seq"))
-    )
-    visible = (
-        newest.join(removed, ["image", "path"], "left")
-        .filter(F.col("removed_in").isNull() | (F.col("removed_in") <= F.col("layer_idx")))
-        .drop("removed_in")
-    )
     if whiteout_hides_subtree:
-        subtree = removed.select("image", F.col("path").alias("dir"), F.col("removed_in").alias("hidden_in"))
+        subtree = named.filter(is_whiteout).groupBy("image", target.alias("dir")).agg(
+            F.max("layer_idx").alias("hidden_in"))
         opaque = opaque.unionByName(subtree).groupBy("image", "dir").agg(F.max("hidden_in").alias("hidden_in"))
     hidden = (
         visible.select("image", "path", "layer_idx", F.explode(ancestors(F.col("path"))).alias("dir"))
