@@ -9,11 +9,14 @@ OPAQUE_MARKER = ".wh..wh..opq"
 WHITEOUT_PREFIX = ".wh."
 
 
-def clean_path(path: Column) -> Column:
-    """Root-relative slash path: back slashes turned, '.' and '..' resolved, clamped at the root."""
-    # Empty and '.' segments fall to one pattern; only paths that hold '..' are folded.
+def plain_path(path: Column) -> Column:
+    """Back slashes turned, empty and '.' segments dropped, no leading or trailing slash."""
     plain = F.regexp_replace(F.concat(F.lit("/"), F.translate(path, "\\", "/")), r"/(?:\.?/)+", "/")
-    plain = F.regexp_replace(plain, r"^/|/\.?$", "")
+    return F.regexp_replace(plain, r"^/|/\.?$", "")
+
+
+def fold_parents(plain: Column) -> Column:
+    """Resolve '..' segments, clamped at the root; paths without one pass through."""
     folded = F.aggregate(
         F.split(plain, "/"),
         F.array().cast("array<string>"),
@@ -21,7 +24,12 @@ def clean_path(path: Column) -> Column:
             s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.when(plain.rlike(r"(^|/)\.\.(/|$)"), F.array_join(folded, "/")).otherwise(plain)
+    return F.when(F.concat(F.lit("/"), plain, F.lit("/")).contains("/../"), F.array_join(folded, "/")).otherwise(plain)
+
+
+def clean_path(path: Column) -> Column:
+    """Root-relative slash path: back slashes turned, '.' and '..' resolved, clamped at the root."""
+    return fold_parents(plain_path(path))
 
 
 def ancestors(path: Column) -> Column:
@@ -36,7 +44,9 @@ def ancestors(path: Column) -> Column:
 def _marked(entries: DataFrame) -> DataFrame:
     base = F.substring_index("path", "/", -1)
     return (
-        entries.withColumn("path", clean_path(F.col("path")))
+        # Two steps, so that the second reads the first's result instead of repeating it.
+        entries.withColumn("path", plain_path(F.col("path")))
+        .withColumn("path", fold_parents(F.col("path")))
         .filter(F.col("path") != "")
         .withColumn("_base", base)
         .withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
