@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, secrets, toxicity
-from .common import table
+from . import bpe, decontamination, exact_dedup, language_id, secrets, toxicity, warc
+from .common import shared_folder, stored, table
 
 
 def crc_is(value: int, modulus: int) -> Column:
@@ -15,6 +15,20 @@ def crc_is(value: int, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == value, F.lit(False))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records = stored(warc.read_archives(spark, folder).drop("payload"), "warc-records")
+    page = lambda c: F.expr(f"CAST(nullif(split({c}, ':')[2], '') AS BIGINT)")
+    sizes = records.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("referred_bytes"))
+    responses = records.filter("record_type = 'response'").withColumn("referred_bytes", F.lit(None).cast("long"))
+    revisits = records.filter("record_type = 'revisit'").join(sizes, "refers_to", "left")
+    return responses.unionByName(revisits).select(
+        page("record_id").alias("page_id"), F.coalesce("payload_bytes", "referred_bytes").alias("payload_bytes"),
+        "payload_digest", "record_type", page("refers_to").alias("refers_to"), "status")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN)
@@ -50,12 +64,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_language_id, op6_decontamination, op8_exact_dedup, op9_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op5_language_id, op6_decontamination, op8_exact_dedup, op9_secret_scan,
                                    op10_toxicity)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# Base32 of the digest: every five hexadecimal digits are four characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {15 - 5 * j}) & 31), 1)"
+    for i in range(8) for j in range(4))
+
 ORACLES = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first_id,
+             row_number() OVER (PARTITION BY t ORDER BY page_id NULLS LAST) AS n FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 THEN first_id END AS refers_to, 'ok' AS status
+FROM q""",
     "op6_decontamination": f"""
 WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 cut AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM item WHERE len(w) > 0),
