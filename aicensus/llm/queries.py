@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, secrets, toxicity, warc
+from . import bpe, decontamination, exact_dedup, language_id, ngram_join, secrets, toxicity, warc
 from .common import shared_folder, stored, table
 
 
@@ -34,6 +34,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links", "class_size", "stays")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), crc_is(2, 4)
     model = language_id.fit(docs, ~held)
@@ -64,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op5_language_id, op6_decontamination, op8_exact_dedup, op9_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op5_language_id, op6_decontamination, op8_exact_dedup, op9_secret_scan,
                                    op10_toxicity)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -83,6 +88,17 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload
        CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN n > 1 THEN first_id END AS refers_to, 'ok' AS status
 FROM q""",
+    "op3_ngram_join": f"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+cut AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM doc WHERE len(w) > 0),
+gram AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS g FROM cut),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM gram a JOIN gram b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+class AS (SELECT a, min(b) AS class_id, count(*) AS class_size FROM reach GROUP BY a)
+SELECT doc_id, class_id, (SELECT count(*) FROM link WHERE a = doc_id) AS n_links, class_size, doc_id = class_id AS stays
+FROM documents JOIN class ON a = doc_id""",
     "op6_decontamination": f"""
 WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 cut AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM item WHERE len(w) > 0),

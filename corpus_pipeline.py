@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aicensus.llm import bpe, decontamination, exact_dedup, toxicity
+from aicensus.llm import bpe, decontamination, exact_dedup, ngram_join, toxicity
 from aicensus.llm.common import stored, table
 
 TOXIC_FROM = 0.7
@@ -25,6 +25,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one_of_each_class(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", reject_toxic),
     ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("byte_bpe", tokens),
 ]
