@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, ngram_join, secrets, toxicity, warc
+from . import bpe, decontamination, exact_dedup, language_id, ngram_join, quotations, secrets, toxicity, url_lists, warc
 from .common import shared_folder, stored, table
 
 
@@ -39,6 +39,42 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "class_id", "n_links", "class_size", "stays")
 
 
+# The fetch day of a page, and the list events of a domain, from numbers of the table; v is a hash of the domain.
+_FETCHED = "date_add(DATE '2020-01-01', CAST((page_id * 37) % 1500 AS INT))"
+_EVENTS = (  # category, days after 2020-01-01, listed, condition
+    ("ads", "v % 900", True, "v % 3 = 0"), ("ads", "v % 900 + 30 + v % 300", False, "v % 3 = 0 AND v % 2 = 0"),
+    ("ads", "v % 900 + 430", True, "v % 3 = 0 AND v % 5 = 0"), ("malware", "v % 1300", True, "v % 7 < 2"),
+    ("malware", "v % 1300 + v % 90", False, "v % 7 = 1"))
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched_on"))
+    domains = captures.select(F.explode(url_lists.domains_of(url_lists.host_of(F.col("url")))).alias("domain")).distinct().filter(
+        "domain LIKE '%.%'").withColumn("v", F.expr("CAST(conv(substr(md5(domain), 1, 6), 16, 10) AS INT)"))
+    event = F.explode(F.array(*[F.expr(
+        f"named_struct('category', '{c}', 'day', date_add(DATE '2020-01-01', {d}), 'listed', {str(on).lower()}, 'is', {cond})")
+        for c, d, on, cond in _EVENTS])).alias("e")
+    events = domains.select("domain", event).filter("e.is").select("domain", "e.category", "e.day", "e.listed")
+    return url_lists.judge_captures(captures, url_lists.validity(events)).drop("url")
+
+
+def quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail-like messages: most turns quote the turn before, some also the one before that."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = lambda n: said.groupBy("conv_id", (F.col("turn") + n).alias("turn")).agg(F.min("text").alias(f"before{n}"))
+    marked = lambda c, mark: F.concat(F.lit(f"{mark} "), F.replace(F.col(c), F.lit("\n"), F.lit(f"\n{mark} ")))
+    rows = said.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    quotes = F.concat_ws("\n", F.when(F.col("turn") % 3 == 0, marked("before2", ">>")), marked("before1", ">"), F.lit(""))
+    return rows.select("conv_id", "turn", "role", F.when((F.col("turn") % 4 != 3) & F.col("before1").isNotNull(), F.concat(
+        quotes, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op7_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(quoting(spark, sf_dir)).select(
+        "conv_id", "turn", "parent_turn", "root_turn", "depth", "n_quotes", "n_linked", "max_level",
+        F.sha2("own_text", 256).alias("own_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), crc_is(2, 4)
     model = language_id.fit(docs, ~held)
@@ -69,8 +105,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op5_language_id, op6_decontamination, op8_exact_dedup, op9_secret_scan,
-                                   op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_url_lists, op5_language_id,
+                                   op6_decontamination, op7_quotations, op8_exact_dedup, op9_secret_scan, op10_toxicity)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -99,6 +135,44 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 class AS (SELECT a, min(b) AS class_id, count(*) AS class_size FROM reach GROUP BY a)
 SELECT doc_id, class_id, (SELECT count(*) FROM link WHERE a = doc_id) AS n_links, class_size, doc_id = class_id AS stays
 FROM documents JOIN class ON a = doc_id""",
+    "op4_url_lists": f"""
+WITH capture AS (SELECT page_id, url, CAST(DATE '2020-01-01' + CAST((page_id * 37) % 1500 AS INTEGER) AS DATE) AS fetched_on,
+  nullif(rtrim(regexp_extract(lower(url), '{url_lists.HOST}', 1), '.'), '') AS host FROM pages),
+asked AS (SELECT DISTINCT host, fetched_on, string_split(host, '.') AS l FROM capture WHERE host IS NOT NULL),
+above AS (SELECT host, fetched_on, array_to_string(l[i:], '.') AS domain FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM asked)),
+listed AS (SELECT DISTINCT domain, CAST('0x' || substr(md5(domain), 1, 6) AS INTEGER) AS v FROM above WHERE domain LIKE '%.%'),
+event AS (""" + " UNION ALL ".join(
+        f"SELECT domain, '{c}' AS category, CAST(DATE '2020-01-01' + CAST({d} AS INTEGER) AS DATE) AS day, {on} AS listed FROM listed WHERE {cond}"
+        for c, d, on, cond in _EVENTS) + """),
+day AS (SELECT category, domain, day, bool_or(listed) AS listed FROM event GROUP BY ALL),
+change AS (SELECT * FROM (SELECT *, coalesce(lag(listed) OVER k, false) AS was FROM day WINDOW k AS (PARTITION BY category, domain ORDER BY day))
+           WHERE listed <> was),
+span AS (SELECT * FROM (SELECT category, domain, day AS since, lead(day) OVER (PARTITION BY category, domain ORDER BY day) AS until, listed
+         FROM change) WHERE listed),
+active AS (SELECT host, fetched_on, domain, category, since, until,
+  row_number() OVER (PARTITION BY host, fetched_on ORDER BY length(domain) DESC, domain DESC, category DESC) AS n,
+  count(*) OVER (PARTITION BY host, fetched_on) AS n_active
+  FROM above JOIN span USING (domain) WHERE fetched_on >= since AND (until IS NULL OR fetched_on < until))
+SELECT page_id, fetched_on, host, coalesce(n_active, 0) AS n_active, n_active IS NOT NULL AS blocked, category,
+       domain AS entry, since, until
+FROM capture LEFT JOIN (SELECT * FROM active WHERE n = 1) USING (host, fetched_on)""",
+    "op7_quotations": r"""
+WITH said AS (SELECT conv_id, turn, text, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS n FROM conversations),
+quote AS (SELECT a.conv_id, a.turn, 1 AS level, b.n FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.turn % 4 <> 3
+  UNION ALL SELECT a.conv_id, a.turn, 2, c.n FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1
+  JOIN said c ON a.conv_id = c.conv_id AND c.turn = a.turn - 2 WHERE a.turn % 4 <> 3 AND a.turn % 3 = 0),
+link AS (SELECT q.conv_id, q.turn, q.level, max(s.turn) AS source FROM quote q LEFT JOIN said s
+  ON q.conv_id = s.conv_id AND s.n = q.n AND s.turn < q.turn GROUP BY 1, 2, 3),
+parent AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, max(level) AS max_level,
+  coalesce(max(source) FILTER (level = 1), max(source)) AS parent_turn FROM link GROUP BY 1, 2),
+step AS (SELECT conv_id, turn, text, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+  coalesce(max_level, 0) AS max_level, parent_turn FROM said LEFT JOIN parent USING (conv_id, turn)),
+climb AS (WITH RECURSIVE c AS (SELECT conv_id, turn, turn AS place, 0 AS depth FROM step
+  UNION ALL SELECT c.conv_id, c.turn, s.parent_turn, depth + 1 FROM c JOIN step s ON s.conv_id = c.conv_id AND s.turn = c.place
+  WHERE s.parent_turn IS NOT NULL) SELECT conv_id, turn, min(place) AS root_turn, CAST(max(depth) AS BIGINT) AS depth FROM c GROUP BY 1, 2)
+SELECT conv_id, turn, parent_turn, root_turn, depth, n_quotes, n_linked, max_level, sha256(text) AS own_sha256
+FROM step JOIN climb USING (conv_id, turn)""",
     "op6_decontamination": f"""
 WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 cut AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM item WHERE len(w) > 0),
