@@ -47,18 +47,16 @@ def fold_literal(keyword: str) -> str:
     return "".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in out)
 
 
-def snippet(line: Column, max_bytes: int = 200) -> Column:
-    """One matched line: at most 200 bytes, tabs to blanks, control bytes dropped, trimmed.
+def snippet(line: Column, max_bytes: int | None = None) -> Column:
+    """One matched line: tabs to blanks, control bytes dropped, trimmed.
 
-    The cut is by bytes; a character split by it is dropped.
+    Whole lines by default; with ``max_bytes`` the cut is by bytes, and a character split by it is dropped.
     """
-    raw = F.encode(line, "UTF-8")
-    cut = F.when(
-        F.length(raw) > max_bytes,
-        F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, max_bytes).cast("string")), r"\x{FFFD}+$", ""),
-    ).otherwise(line)
-    flat = F.regexp_replace(F.translate(cut, "\t", " "), r"[\x00-\x1f\x7f]", "")
-    return strip(flat)
+    if max_bytes is not None:
+        raw = F.encode(line, "UTF-8")
+        line = F.when(F.length(raw) > max_bytes, F.regexp_replace(
+            F.make_valid_utf8(F.substring(raw, 1, max_bytes).cast("string")), r"\x{FFFD}+$", "")).otherwise(line)
+    return strip(F.regexp_replace(F.translate(line, "\t", " "), r"[\x00-\x1f\x7f]", ""))
 
 
 def utf16_length(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Model artifacts: facts and risks read from file bytes. Nothing is ever loaded or executed.
 
 Fixed-layout formats are native expressions. Length-prefixed walks (GGUF, ONNX, SavedModel,
-pickle) are small bounded readers in one Arrow job.
+pickle) are small readers in one Arrow job; they end where the file does.
 """
 
 from __future__ import annotations
@@ -19,21 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename
 from ..session import ship_package
-from ..sources.files import has_bytes_at, header, hex_literal, text_of
+from ..sources.files import has_bytes_at, hex_literal, text_of
 from ..sources.routing import routed, selector
 from .assets import parent_name
 
-# Bounds on attacker-controlled input.
-MAX_GGUF_PAIRS = 4096
-MAX_GGUF_ARRAY = 1 << 20
-MAX_KEY = 1 << 16
-MAX_STRING = 1 << 24
-MAX_SAFETENSORS_HEADER = 100 << 20
-MAX_PROTOBUF_FIELDS = 1 << 16
-MAX_SAVEDMODEL_FIELDS = 32
-MAX_PICKLE_BYTES = 16 << 20
-MAX_PICKLE_OPS = 1 << 20
-
 # Quantization label by GGUF file type.
 GGUF_FILE_TYPES = {
     0: "F32", 1: "F16", 2: "Q4_0", 3: "Q4_1", 7: "Q8_0", 8: "Q5_0", 9: "Q5_1", 10: "Q2_K",
@@ -90,8 +79,7 @@ def safetensors_facts(files: DataFrame) -> DataFrame:
     size = little_endian(F.col("content"), 1, 8)
     rows = (
         files.withColumn("_hlen", size)
-        .filter((F.col("_hlen") > 0) & (F.col("_hlen") <= MAX_SAFETENSORS_HEADER)
-                & (F.col("_hlen") + 8 <= F.length("content")))
+        .filter((F.col("_hlen") > 0) & (F.col("_hlen") <= F.length("content") - 8))
         .withColumn("_json", text_of(F.substring("content", F.lit(9), F.col("_hlen").cast("int"))))
         .withColumn("_t", F.from_json("_json", "map<string,struct<dtype:string,shape:array<bigint>>>"))
         .filter("_t IS NOT NULL")
@@ -122,7 +110,18 @@ def safetensors_facts(files: DataFrame) -> DataFrame:
     )
 
 
-# ── bounded readers ──────────────────────────────────────────────────────────
+def safetensors_unknowns(files: DataFrame) -> DataFrame:
+    """Files whose header is cut off or does not parse."""
+    size = little_endian(F.col("content"), 1, 8)
+    held = F.length("content") - 8
+    parsed = F.from_json(text_of(F.substring("content", F.lit(9), size.cast("int"))), "map<string,string>")
+    reason = F.when(size.isNull() | (size <= 0) | (held < 0), "no header").when(size > held, "the header is cut off").when(
+        parsed.isNull(), "the header does not parse")
+    return files.select("scan_id", "path", F.lit("modelfile/safetensors").alias("detector_id"), reason.alias("reason")).filter(
+        "reason IS NOT NULL")
+
+
+# ── readers, bounded by the file ──────────────────────────────────────────────────────────
 
 _SCALARS = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 7: "<B", 10: "<Q", 11: "<q", 12: "<d"}
 _GGUF_STRING, _GGUF_ARRAY = 8, 9
@@ -130,7 +129,7 @@ _GGUF_INTS = {0, 1, 2, 3, 4, 5, 7, 10, 11}
 
 
 class _Short(Exception):
-    """The buffer ended, or a length is out of bounds."""
+    """The buffer ended before a value did, or a type is unknown."""
 
 
 class _Cursor:
@@ -146,11 +145,8 @@ class _Cursor:
     def number(self, fmt: str):
         return struct.unpack(fmt, self.take(struct.calcsize(fmt)))[0]
 
-    def sized(self, limit: int) -> bytes:
-        n = self.number("<Q")
-        if n > limit:
-            raise _Short
-        return self.take(n)
+    def sized(self) -> bytes:
+        return self.take(self.number("<Q"))
 
     def varint(self) -> int:
         value = 0
@@ -163,24 +159,19 @@ class _Cursor:
 
 
 def _gguf_value(c: _Cursor, kind: int):
+    """The value at the cursor; arrays are stepped over."""
     if kind in _SCALARS:
-        value = c.number(_SCALARS[kind])
-        # 16-bit values are stepped over without being kept.
-        return 0 if kind in (2, 3) else value
+        return c.number(_SCALARS[kind])
     if kind == _GGUF_STRING:
-        return c.sized(MAX_STRING).decode("utf-8", "replace")
+        return c.sized().decode("utf-8", "replace")
     if kind != _GGUF_ARRAY:
         raise _Short
     element, count = c.number("<I"), c.number("<Q")
-    if count > MAX_GGUF_ARRAY:
-        raise _Short
     if element in _SCALARS:
         c.take(count * struct.calcsize(_SCALARS[element]))
-    elif element == _GGUF_STRING:
-        for _ in range(count):
-            c.sized(MAX_STRING)
     else:
-        raise _Short
+        for _ in range(count):
+            _gguf_value(c, element)
     return None
 
 
@@ -201,8 +192,8 @@ def gguf_header(raw: bytes) -> dict | None:
     text_keys = {"architecture", "name", "chat_template"}
     try:
         c.take(8)
-        for _ in range(min(c.number("<Q"), MAX_GGUF_PAIRS)):
-            key = c.sized(MAX_KEY).decode("utf-8", "replace")
+        for _ in range(c.number("<Q")):
+            key = c.sized().decode("utf-8", "replace")
             kind = c.number("<I")
             value = _gguf_value(c, kind)
             name = wanted.get(key)
@@ -219,9 +210,7 @@ def onnx_header(raw: bytes) -> dict | None:
     """Top-level facts of an ONNX model; null unless a producer or an IR version was seen."""
     c, facts = _Cursor(raw), {}
     try:
-        for _ in range(MAX_PROTOBUF_FIELDS):
-            if c.pos >= len(raw):
-                break
+        while c.pos < len(raw):
             field, wire = divmod(c.varint(), 8)
             if wire == 0:
                 value = c.varint()
@@ -258,9 +247,7 @@ def is_savedmodel(raw: bytes) -> bool:
     """Only the two SavedModel fields, with their wire types, and at least one meta graph."""
     c, graph = _Cursor(raw), False
     try:
-        for _ in range(MAX_SAVEDMODEL_FIELDS):
-            if c.pos >= len(raw):
-                break
+        while c.pos < len(raw):
             field, wire = divmod(c.varint(), 8)
             if (field, wire) == (1, 0):
                 c.varint()
@@ -277,36 +264,36 @@ def is_savedmodel(raw: bytes) -> bool:
     return graph
 
 
-# Opcodes that end the walk, and opcodes that push text or bytes.
-_UNREAD = {"PERSID", "INT", "LONG", "FLOAT", "BYTEARRAY8", "NEXT_BUFFER", "READONLY_BUFFER"}
-_PUSHES = {
-    "STRING", "BINSTRING", "SHORT_BINSTRING", "UNICODE", "BINUNICODE", "SHORT_BINUNICODE", "BINUNICODE8",
-    "BINBYTES", "SHORT_BINBYTES", "BINBYTES8", "LONG1", "LONG4",
-}
-
-
 def pickle_globals(raw: bytes) -> list[str]:
-    """'module.name' of every global a pickle names, read from its opcodes, memo included."""
+    """'module.name' of every global a pickle names.
+
+    Each opcode's declared effect is applied to a stack of texts (empty where a value is no text), so names
+    that a later opcode takes from the stack or the memo are known whatever lies between.
+    """
     found: list[str] = []
+    stack: list = []
     memo: dict[int, str] = {}
-    below = top = ""
+    mark = pickletools.markobject
+    text = lambda x: x if isinstance(x, str) else ""
     try:
-        for n, (op, arg, _) in enumerate(pickletools.genops(raw[:MAX_PICKLE_BYTES])):
-            if n >= MAX_PICKLE_OPS or op.name in _UNREAD:
-                break
+        for op, arg, _ in pickletools.genops(raw):
             if op.name in ("GLOBAL", "INST"):
                 found.append(arg.replace(" ", ".", 1))
             elif op.name == "STACK_GLOBAL":
-                found.append(f"{below}.{top}")
-                below = top = ""
-            elif op.name in _PUSHES:
-                below, top = top, arg if isinstance(arg, str) else ""
-            elif op.name.endswith("GET"):
-                below, top = top, memo.get(arg, "")
-            elif op.name.endswith("PUT"):
-                memo[arg] = top
-            elif op.name == "MEMOIZE":
-                memo[len(memo)] = top
+                module, name = ["", "", *map(text, stack)][-2:]
+                found.append(f"{module}.{name}")
+            elif op.name.endswith("PUT") or op.name == "MEMOIZE":
+                memo[len(memo) if op.name == "MEMOIZE" else arg] = text(stack[-1]) if stack else ""
+            if op.stack_before == op.stack_after:
+                continue
+            takes = len(op.stack_before)
+            if mark in op.stack_before:
+                takes = op.stack_before.index(mark)
+                while stack and stack.pop() is not mark:
+                    pass
+            taken = [stack.pop() for _ in range(min(takes, len(stack)))]
+            value = memo.get(arg, "") if op.name.endswith("GET") else text(taken[0]) if op.name == "DUP" and taken else text(arg)
+            stack.extend(mark if kind is mark else value for kind in op.stack_after)
     except Exception:  # noqa: BLE001 - malformed opcodes end the walk, what was found stays
         pass
     return found
@@ -316,10 +303,7 @@ def torch_facts(raw: bytes) -> dict | None:
     if raw.startswith(b"PK\x03\x04"):
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             names = [i for i in z.namelist() if i.rsplit("/", 1)[-1] == "data.pkl"]
-            if not names:
-                return {"format": "torch-zip", "globals": []}
-            with z.open(names[0]) as member:
-                return {"format": "torch-zip", "globals": pickle_globals(member.read(MAX_PICKLE_BYTES))}
+            return {"format": "torch-zip", "globals": [g for n in names for g in pickle_globals(z.read(n))]}
     if raw[:1] == b"\x80":
         return {"format": "torch-pickle", "globals": pickle_globals(raw)}
     return None
@@ -479,7 +463,7 @@ def savedmodel_ops(files: DataFrame) -> DataFrame:
 def signature_findings(files: DataFrame) -> DataFrame:
     """HDF5, TFLite and TensorRT: recognized by signature or byte shape."""
     c = F.col("content")
-    engine = (F.length(c) >= 16) & F.decode(header(c), "ISO-8859-1").rlike(
+    engine = (F.length(c) >= 16) & F.decode(c, "ISO-8859-1").rlike(
         "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x80-\\xff]")
     fmt = (
         F.when(selector("modelfilex/hdf5").accepts() & has_bytes_at(c, 1, "894844460D0A1A0A"), "hdf5")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, dirname, extension, strip
-from ..sources.files import has_bytes_at, header, text_of
+from ..sources.files import has_bytes_at, text_of
 from ..sources.routing import routed
 
 # Prompt evidence.
@@ -92,14 +92,13 @@ def prompt_findings(files: DataFrame) -> DataFrame:
 
 
 def first_line(content: Column) -> Column:
-    """First line of a header sample, byte-order mark dropped, trimmed."""
-    text = F.regexp_replace(text_of(header(content)), "^﻿", "")
-    return strip(F.substring_index(text, "\n", 1))
+    """First line, byte-order mark dropped, trimmed."""
+    return strip(F.regexp_replace(F.substring_index(text_of(content), "\n", 1), "^﻿", ""))
 
 
 def csv_fields(line: Column) -> Column:
-    """Column names of a CSV header line; fewer than two is no header."""
-    cells = F.split(line, r""",(?=(?:[^"]*"[^"]*")*[^"]*$)""")
+    """Column names of a CSV header line; fewer than two is no header. One pass over the line."""
+    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'((?:[^",]|"[^"]*(?:"|$))*+),'), F.lit(1))
     names = F.transform(cells, lambda c: F.regexp_replace(strip(c), '^"|"$', ""))
     return F.when((line != "") & (F.size(names) >= 2), names)
 

@@ -154,11 +154,11 @@ def control_outcomes(tagged: DataFrame, control_rows: DataFrame, scans: DataFram
     )
     text = n.cast("string")
     rationale = (
-        F.when(F.col("rule") == "manual", "not automatable by a static scan — requires manual attestation")
-        .when((F.col("rule") == "evidence") & (n > 0), F.concat(text, F.lit(" component(s) provide supporting evidence")))
-        .when(F.col("rule") == "evidence", "no supporting evidence found in the inventory")
-        .when(n > 0, F.concat(text, F.lit(" component(s) constitute a gap")))
-        .otherwise("no gap present in the inventory")
+        F.when(F.col("rule") == "manual", "a person has to attest this control")
+        .when((F.col("rule") == "evidence") & (n > 0), F.concat(text, F.lit(" supporting components")))
+        .when(F.col("rule") == "evidence", "nothing in the inventory supports this control")
+        .when(n > 0, F.concat(text, F.lit(" components open this gap")))
+        .otherwise("the inventory opens no gap")
     )
     return grid.join(counts, ["scan_id", "framework", "control"], "left").select(
         "scan_id", "framework", "control", "ord", "title", state.alias("state"),

@@ -96,13 +96,13 @@ def edge_evidence(resolved: DataFrame) -> DataFrame:
 def unresolved(resolved: DataFrame) -> DataFrame:
     """Warnings: claims whose target is missing or ambiguous."""
     reason = (
-        F.when(F.col("form") == "none", "empty target hint")
+        F.when(F.col("form") == "none", "the relation names no target")
         .when((F.col("form") == "from_field") & F.col("wanted").isNull(),
-              F.concat(F.lit("occurrence has no field "), "from_field"))
+              F.concat(F.lit("field not captured: "), "from_field"))
         .when((F.col("form") == "local_ref") & (F.col("candidates") == 0),
-              F.concat(F.lit("no same-file claim by "), "ref_detector"))
-        .when(F.col("candidates") == 0, F.concat_ws(" ", F.lit("no"), "target_kind", F.lit("component named"), "wanted"))
-        .otherwise(F.concat(F.lit("ambiguous target, candidates: "), F.col("candidates").cast("string")))
+              F.concat(F.lit("same file lacks a finding of "), "ref_detector"))
+        .when(F.col("candidates") == 0, F.concat(F.lit("target not found: "), F.concat_ws("/", "target_kind", "wanted")))
+        .otherwise(F.concat(F.lit("several targets fit: "), F.col("candidates").cast("string")))
     )
     return resolved.filter("candidates <> 1").select(
         "scan_id", "path", "line", F.col("from_id").alias("component_id"), "from_name", "type", reason.alias("reason")
@@ -117,7 +117,8 @@ def edges(evidence: DataFrame) -> DataFrame:
     aggregated however many sightings an edge has.
     """
     return evidence.groupBy("scan_id", "from_id", "type", "to_id").agg(
-        F.least(1 - F.product(1 - F.col("confidence")), F.lit(0.99)).alias("confidence"),
+        # The product's order is not fixed, so its last bits are rounded away.
+        F.round(F.least(1 - F.product(1 - F.col("confidence")), F.lit(0.99)), 12).alias("confidence"),
         F.count("*").alias("n_evidence"),
     )
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, strip
+from ..sources.files import text_of
 from ..sources.routing import routed
 from .manifests import file_lines, so_far
 
@@ -175,7 +178,9 @@ def go_findings(files: DataFrame) -> DataFrame:
     """AI client imports, and model-named string literals in files that import one."""
     det = "gosrc/ast"
     code = F.regexp_replace("raw", r"(^|\s)//.*$", "")
-    rows = file_lines(routed(files, det)).withColumn("text", strip(code))
+    source = text_of(F.col("content"))
+    holds = reduce(lambda a, b: a | b, [source.contains(prefix) for prefix, _ in GO_MODULES])
+    rows = file_lines(routed(files, det).filter(holds)).withColumn("text", strip(code))
     t = F.col("text")
     block = F.when(t.rlike(r"^import\s*\("), "import").when(t.rlike(r"^(\)|func |type |var |const )"), "")
     func = F.when(t.rlike("^func "), F.regexp_extract(t, r"^func\s+(?:\([^)]*\)\s*)?(\w+)", 1)).when(

@@ -268,25 +268,38 @@ def gomod_deps(files: DataFrame) -> DataFrame:
 
 
 def npm_deps(files: DataFrame) -> DataFrame:
-    """dependencies and devDependencies in any layout; the line comes from the name's offset."""
+    """dependencies and devDependencies of the top level; the line is that of the quoted name in its section.
+
+    The file is parsed as JSON, so braces in texts and sections nested elsewhere do not matter. A name's line is
+    the first one behind the section's key on which the quoted name stands before a colon.
+    """
     det = "manifest/npm"
+    sections = ("dependencies", "devDependencies")
+    # A value that is an object or a list is read as its JSON text, which is no version.
+    parsed = F.from_json("_text", "struct<" + ",".join(f"{s}:map<string,string>" for s in sections) + ">")
     texts = routed(files, det).select("scan_id", "path", text_of(F.col("content")).alias("_text"))
-    sections = F.array(*[
-        F.regexp_extract("_text", rf'(?s)("{s}"\s*:\s*\{{[^{{}}]*)', 1) for s in ("dependencies", "devDependencies")
-    ])
-    pair = r'"[^"]*"\s*:\s*"[^"]*"'
-    rows = (
-        texts.withColumn("_body", F.explode(sections))
-        .filter("_body <> ''")
-        .withColumn("_start", F.position(F.col("_body"), F.col("_text")))
-        .withColumn("_pair", F.explode(F.regexp_extract_all("_body", F.lit(pair), F.lit(0))))
-    )
-    head = F.substring("_text", F.lit(1), F.col("_start") + F.position(F.col("_pair"), F.col("_body")) - 2)
-    line = F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1
-    name = F.regexp_extract("_pair", r'^"([^"]*)"', 1)
-    spec = F.regexp_extract("_pair", r'^"[^"]*"\s*:\s*"([^"]*)"', 1)
-    return _deps(rows.withColumn("line", line.cast("int")), det, "npm", declared=name, key=F.lower(name),
-                 version=clean_version(spec), source_line=F.col("_pair"))
+    rows = texts.withColumn("_json", parsed).withColumn("_lines", lines_of(F.col("_text"))).select(
+        "scan_id", "path", "_lines",
+        F.explode(F.flatten(F.filter(F.array(*[
+            F.transform(F.map_entries(f"_json.{s}"), lambda e, s=s: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("spec")))
+            for s in sections]), lambda x: x.isNotNull()))).alias("_d"))
+    name, spec = F.col("_d.name"), F.coalesce("_d.spec", F.lit(""))
+    spec = F.when(spec.rlike(r"^[\[{]"), "").otherwise(spec)
+    stands = lambda line, key: F.rlike(line, F.concat(F.lit(r'"\Q'), key, F.lit(r'\E"\s*:')))
+    numbered = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line"), line.alias("raw")))
+    opens = F.array_max(F.filter(F.transform("_lines", lambda line, i: F.when(stands(line, F.col("_d.section")), i + 1)), lambda n: n.isNotNull()))
+    at = F.get(F.filter(numbered, lambda x: (x["line"] >= F.col("_open")) & stands(x["raw"], name)), F.lit(0))
+    rows = rows.withColumn("_open", F.coalesce(opens, F.lit(1))).withColumn("_at", at).withColumn(
+        "line", F.coalesce("_at.line", F.lit(1)).cast("int"))
+    pair = F.concat(F.lit('"'), name, F.lit('": "'), spec, F.lit('"'))
+    return _deps(rows, det, "npm", declared=name, key=F.lower(name), version=clean_version(spec), source_line=pair)
+
+
+def npm_unknowns(files: DataFrame) -> DataFrame:
+    """Manifests that are not JSON objects."""
+    text = text_of(F.col("content"))
+    return routed(files, "manifest/npm").filter(F.from_json(text, "map<string,string>").isNull()).select(
+        "scan_id", "path", F.lit("manifest/npm").alias("detector_id"), F.lit("the manifest is no JSON object").alias("reason"))
 
 
 def _without_xml_comments(text: Column) -> Column:

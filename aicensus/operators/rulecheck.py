@@ -40,9 +40,9 @@ def failures(expected: DataFrame, matches: DataFrame, rules: list[dict]) -> Data
     ).distinct().withColumn("hit", F.lit(True))
     hit = F.coalesce("hit", F.lit(False))
     reason = (
-        F.when(~F.col("rule_id").isin([r["id"] for r in rules]), "the rule is not in the pack")
-        .when(F.col("positive") & ~hit, "expected a match, got none")
-        .when(~F.col("positive") & hit, "expected no match, but the rule fired")
+        F.when(~F.col("rule_id").isin([r["id"] for r in rules]), "unknown rule id")
+        .when(F.col("positive") & ~hit, "annotated line is not matched")
+        .when(~F.col("positive") & hit, "line annotated as clean is matched")
     )
     return expected.join(fired, ["scan_id", "path", "line", "rule_id"], "left").select(
         "scan_id", "path", "line", "rule_id", "positive", reason.alias("reason")

@@ -14,13 +14,12 @@ from ..session import collect_config
 from ..sources.files import text_of
 from .risks import RISK_CATALOG
 
-# Kinds and languages a rule may name, matches kept per rule and file.
+# Kinds and languages a rule may name.
 RULE_KINDS = [
     "hosted-llm", "embedding-model", "framework", "library", "vector-db", "prompt", "dataset",
     "ai-config", "infra", "service",
 ]
 RULE_LANGUAGES = ["python", "javascript", "typescript", "go", "java", "rust", "csharp", "kotlin"]
-MATCH_CAP = 200
 
 TEMPLATE = re.compile(r"\$\{([a-zA-Z_][a-zA-Z0-9_]*)\}")
 
@@ -234,8 +233,8 @@ def match_lines(files: DataFrame, rules: list[dict], any_language: bool = True)
     )
 
 
-def cap_matches(matches: DataFrame, cap: int = MATCH_CAP) -> DataFrame:
-    """Keep the first ``cap`` matches per (rule, file), as the Arrow rule scan does.
+def cap_matches(matches: DataFrame, cap: int) -> DataFrame:
+    """Keep the first ``cap`` matches per (rule, file), as the Arrow rule scan does when asked to.
 
     Counting the matches of earlier lines needs one window per (file, rule), which one
     file's lines bound.

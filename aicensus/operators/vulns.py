@@ -79,9 +79,10 @@ def scored(advisories: DataFrame) -> DataFrame:
         "id", "n", F.col("s.score").alias("vector"))
     v3 = (
         add_cvss3_score(vectors.filter(F.col("vector").startswith("CVSS:3")))
-        .filter("score IS NOT NULL")
         .groupBy("id")
-        .agg(F.min_by(F.struct("score", "vector"), "n").alias("v3"))
+        # Unusable vectors have no place in the order. A filter on the score would be pushed below the
+        # projections and inline the whole formula.
+        .agg(F.min_by(F.struct("score", "vector"), F.when(F.col("score").isNotNull(), F.col("n"))).alias("v3"))
     )
     shown = F.get(F.filter("severity", lambda s: s["score"] != ""), F.lit(0))["score"]
     known = F.col("v3.score").isNotNull()

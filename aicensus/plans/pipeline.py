@@ -19,8 +19,8 @@ from ..operators.gate import gate_verdicts, min_confidence, parse_gate
 from ..operators.vulns import component_vulns
 from ..schemas import FINDINGS, UNKNOWNS, conform
 from ..session import cut_lineage
-from ..sources.files import prepare, split_failures, text_of
-from ..sources.routing import SELECTORS, Selector
+from ..sources.files import prepare, split_failures, text_of, truncations
+from ..sources.routing import SELECTORS, Selector, routed
 
 _PROJECT = ["project/adapter", "project/configbind", "project/hfdir", "project/raglink"]
 _RANKS = {d: i for i, d in enumerate([*[s.detector_id for s in SELECTORS], *_PROJECT])}
@@ -46,6 +46,7 @@ def detect_files(files: DataFrame, rules: list[dict], any_language: bool = False
     unknowns: list[DataFrame] = []
     if on(*[s.detector_id for s in SELECTORS if "manifest" in s.tags]):
         parts.append(_finish(manifests.dependency_findings(files), 1))
+        unknowns.append(manifests.npm_unknowns(files))
     if on("prompt/file"):
         parts.append(_finish(assets.prompt_findings(files), 1))
     if on("dataset/file"):
@@ -61,6 +62,7 @@ def detect_files(files: DataFrame, rules: list[dict], any_language: bool = False
         parts.append(_finish(artifacts.artifact_findings(files, facts), 1))
         unknowns.append(facts.filter("error IS NOT NULL").select(
             "scan_id", "path", "detector_id", F.col("error").alias("reason")))
+        unknowns.append(artifacts.safetensors_unknowns(routed(files, "modelfile/safetensors")))
     if rules and on("ruleengine"):
         matches = rule_scan.scan_rules(files, rules, any_language)
         parts.append(_finish(rule_scan.match_findings(matches), 1, "match_seq"))
@@ -91,7 +93,7 @@ def routed_files(prepared: DataFrame, selectors: list[Selector] | None = None) -
 
 
 def detect(
-    files: DataFrame, rules: list[dict], *, any_language: bool = False, max_bytes: int | None = 1 << 20,
+    files: DataFrame, rules: list[dict], *, any_language: bool = False, max_bytes: int | None = None,
     user_globs: tuple[str, ...] = (), detectors: set[str] | None = None, stage: bool = False,
 ):
     """files -> (findings, unknowns)."""
@@ -105,6 +107,8 @@ def detect(
         findings = cut_lineage(findings)
     if detectors is None or any(d in detectors for d in _PROJECT):
         findings = findings.unionByName(detect_projects(prepared, findings))
+    if max_bytes is not None:
+        unknowns = unknowns.unionByName(conform(truncations(prepared), UNKNOWNS))
     return findings, unknowns
 
 

@@ -187,10 +187,10 @@ def edges(spark, sf):
 
 @query(assembled(
     "SELECT scan_id, path, line, from_id AS component_id, from_name, type, CASE "
-    "WHEN form = 'from_field' AND wanted IS NULL THEN 'occurrence has no field model' "
-    "WHEN form = 'local_ref' AND candidates = 0 THEN 'no same-file claim by rules/a/b' "
-    "WHEN candidates = 0 THEN 'no ' || CASE WHEN type = 'uses' THEN 'hosted-llm' ELSE 'vector-db' END || ' component named ' || wanted "
-    "ELSE 'ambiguous target, candidates: ' || candidates END AS reason FROM resolved WHERE candidates <> 1", "resolved"))
+    "WHEN form = 'from_field' AND wanted IS NULL THEN 'field not captured: model' "
+    "WHEN form = 'local_ref' AND candidates = 0 THEN 'same file lacks a finding of rules/a/b' "
+    "WHEN candidates = 0 THEN 'target not found: ' || CASE WHEN type = 'uses' THEN 'hosted-llm' ELSE 'vector-db' END || '/' || wanted "
+    "ELSE 'several targets fit: ' || candidates END AS reason FROM resolved WHERE candidates <> 1", "resolved"))
 def edge_warnings(spark, sf):
     return _inventory(spark, sf).warnings.select("scan_id", "path", "line", "component_id", "from_name", "type", "reason")
 

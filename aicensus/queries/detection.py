@@ -168,7 +168,7 @@ def rule_scan_documents(spark, sf):
 @query(_hits(_PAGE_SRC, PAGE_RULES) + _PER_LINE)
 def rule_scan_pages(spark, sf):
     f = files_mod.classify(page_files(spark, sf))
-    return _per_line(rule_scan.scan_rules(f, _load(spark, PAGE_RULES), any_language=True, cap=1 << 30))
+    return _per_line(rule_scan.scan_rules(f, _load(spark, PAGE_RULES), any_language=True))
 
 
 @query(_hits(_PAGE_SRC, PAGE_RULES) + _PER_LINE)
@@ -210,7 +210,7 @@ CAP_RULES = [{"id": "docs/le", "kind": "prompt", "provider": "", "keywords": ["L
        "CAST(least(200, len(regexp_extract_all(text, 'le'))) AS BIGINT) AS n FROM documents WHERE contains(text, 'le')")
 def match_cap(spark, sf):
     f = files_mod.classify(document_files(spark, sf))
-    return rule_scan.scan_rules(f, _load(spark, CAP_RULES), any_language=True).groupBy("scan_id", "path").agg(
+    return rule_scan.scan_rules(f, _load(spark, CAP_RULES), any_language=True, cap=200).groupBy("scan_id", "path").agg(
         F.count("*").alias("n"))
 
 
@@ -257,7 +257,7 @@ _NOTED = ("concat('# expect: sdk/call', chr(10), CASE WHEN p_partkey % 4 = 0 THE
           "'y = \"client.chat.create(\"  # expect-ok: sdk/call', chr(10))")
 
 
-@query("SELECT 'f' || p_partkey || '.py' AS path, 2 AS line, 'sdk/call' AS rule_id, 'expected a match, got none' AS reason "
+@query("SELECT 'f' || p_partkey || '.py' AS path, 2 AS line, 'sdk/call' AS rule_id, 'annotated line is not matched' AS reason "
        "FROM part WHERE p_partkey % 4 = 0")
 def rule_expectations(spark, sf):
     f = built_files(spark, sf, "part", "p_brand", "concat('f', CAST(p_partkey AS VARCHAR(10)), '.py')", _NOTED)

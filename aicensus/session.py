@@ -7,11 +7,9 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Rows of a lookup side that may be sent to every executor. Above it the plan
-# stays a shuffled join, where adaptive execution splits skewed partitions.
-BROADCAST_MAX_ROWS = 20_000
+# Rows of a configuration table that the driver may hold.
+CONFIG_MAX_ROWS = 20_000
 
 
 def build_session(app: str = "aicensus", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,14 +51,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark a side for broadcast only after counting it (the count stops at the bound)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def collect_config(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> list:
+def collect_config(df: DataFrame, max_rows: int = CONFIG_MAX_ROWS) -> list:
     """Bring a configuration table (rules, controls) to the driver; too large is an error."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:

@@ -1,4 +1,4 @@
-"""The ``files`` table: reading corpora, ignore rules, content cap and classification."""
+"""The ``files`` table: reading corpora, ignore rules, content and classification."""
 
 from __future__ import annotations
 
@@ -14,11 +14,6 @@ IGNORED_DIRS = [
     ".git", "node_modules", "vendor", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache",
 ]
 
-# Default content cap and header sample, in bytes.
-CONTENT_CAP = 1 << 20
-HEADER_BYTES = 32 * 1024
-BINARY_SNIFF_BYTES = 8 * 1024
-
 # Language of a file by lower-case extension.
 LANGUAGES = {
     ".py": "python", ".pyi": "python",
@@ -78,7 +73,7 @@ def read_corpus(
 def drop_ignored(files: DataFrame, user_globs: tuple[str, ...] = ()) -> DataFrame:
     """Drop files under the ignored directories, and under or matching the user's globs.
 
-    Only ``path`` is touched, so the filter runs before any content is read.
+    Only ``path`` is touched; a binary file source still reads what it then drops.
     """
     names = "|".join(n.replace(".", r"\.") for n in IGNORED_DIRS)
     out = files.filter(~F.col("path").rlike(rf"(?:^|/)(?:{names})/"))
@@ -89,8 +84,11 @@ def drop_ignored(files: DataFrame, user_globs: tuple[str, ...] = ()) -> DataFram
     return out
 
 
-def cap_content(files: DataFrame, max_bytes: int | None = CONTENT_CAP) -> DataFrame:
-    """Cap content; ``truncated`` when bytes were left out, SHA-256 only for whole files."""
+def cap_content(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Whole content, or at most ``max_bytes`` of it where the caller asks for that.
+
+    ``truncated`` tells that bytes were left out (see ``truncations``); SHA-256 only for whole files.
+    """
     if max_bytes is None:
         return files.withColumn("truncated", F.lit(False)).withColumn("sha256", F.sha2("content", 256))
     over = F.length("content") > max_bytes
@@ -101,8 +99,12 @@ def cap_content(files: DataFrame, max_bytes: int | None = CONTENT_CAP) -> DataFr
     )
 
 
-def header(content: Column) -> Column:
-    return F.substring(content, 1, HEADER_BYTES)
+def truncations(files: DataFrame) -> DataFrame:
+    """Unknown rows of files read in part, so that none looks fully scanned."""
+    return files.filter("truncated").select(
+        "scan_id", "path", F.lit("reader").alias("detector_id"),
+        F.concat(F.lit("read "), F.length("content").cast("string"), F.lit(" of "), F.col("size").cast("string"),
+                 F.lit(" bytes")).alias("reason"))
 
 
 def language_of(path: Column) -> Column:
@@ -124,7 +126,7 @@ def magic_of(content: Column) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    return F.contains(F.substring(content, 1, BINARY_SNIFF_BYTES), hex_literal("00"))
+    return F.contains(content, hex_literal("00"))
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def prepare(
-    files: DataFrame, max_bytes: int | None = CONTENT_CAP, user_globs: tuple[str, ...] = ()
+    files: DataFrame, max_bytes: int | None = None, user_globs: tuple[str, ...] = ()
 ) -> DataFrame:
     return classify(cap_content(drop_ignored(files, user_globs), max_bytes))
 
@@ -168,10 +170,3 @@ def split_failures(results: DataFrame, detector_id: str) -> tuple[DataFrame, Dat
         "scan_id", "path", F.lit(detector_id).alias("detector_id"), F.col("error").alias("reason")
     )
     return good, bad
-
-
-def failed_files(unknowns: DataFrame) -> DataFrame:
-    """Distinct failed paths per scan."""
-    return unknowns.filter(F.col("path") != "").select("scan_id", "path").distinct().groupBy(
-        "scan_id"
-    ).agg(F.count("*").alias("files_failed"))

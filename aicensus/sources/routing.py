@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, extension, matches_glob
@@ -21,7 +21,7 @@ class Selector:
     globs: tuple[str, ...] = ()
     languages: tuple[str, ...] = ()
     magics: tuple[tuple[int, str], ...] = ()  # (0-based offset, hex bytes)
-    max_size: int = 0
+    max_size: int = 0  # a limit only where a caller sets one
     tags: tuple[str, ...] = field(default=())
 
     def accepts(self) -> Column:
@@ -67,16 +67,16 @@ SELECTORS = [
     Selector(
         "infra/dockerfile", basenames=("Dockerfile",), globs=("**/Dockerfile", "**/*.Dockerfile"), tags=("infra",)
     ),
-    Selector("manifest/nuget", extensions=(".csproj",), max_size=8 << 20, tags=("manifest",)),
-    Selector("manifest/cargo", basenames=("Cargo.toml",), max_size=4 << 20, tags=("manifest",)),
-    Selector("manifest/gomod", basenames=("go.mod",), max_size=4 << 20, tags=("manifest",)),
-    Selector("manifest/gradle", basenames=("build.gradle", "build.gradle.kts"), max_size=4 << 20, tags=("manifest",)),
-    Selector("manifest/maven", basenames=("pom.xml",), max_size=8 << 20, tags=("manifest",)),
-    Selector("manifest/npm", basenames=("package.json",), max_size=8 << 20, tags=("manifest",)),
-    Selector("manifest/pypi-pyproject", basenames=("pyproject.toml",), max_size=4 << 20, tags=("manifest",)),
+    Selector("manifest/nuget", extensions=(".csproj",), tags=("manifest",)),
+    Selector("manifest/cargo", basenames=("Cargo.toml",), tags=("manifest",)),
+    Selector("manifest/gomod", basenames=("go.mod",), tags=("manifest",)),
+    Selector("manifest/gradle", basenames=("build.gradle", "build.gradle.kts"), tags=("manifest",)),
+    Selector("manifest/maven", basenames=("pom.xml",), tags=("manifest",)),
+    Selector("manifest/npm", basenames=("package.json",), tags=("manifest",)),
+    Selector("manifest/pypi-pyproject", basenames=("pyproject.toml",), tags=("manifest",)),
     Selector(
         "manifest/pypi-requirements",
-        basenames=("requirements.txt",), globs=("**/requirements*.txt",), max_size=4 << 20, tags=("manifest",),
+        basenames=("requirements.txt",), globs=("**/requirements*.txt",), tags=("manifest",),
     ),
     Selector("modelfile/gguf", extensions=(".gguf",), tags=("modelfile",)),
     Selector("modelfile/onnx", extensions=(".onnx",), tags=("modelfile",)),
@@ -96,7 +96,6 @@ SELECTORS = [
         "prompt/file",
         extensions=(".prompt",),
         globs=("**/prompts/**", "**/*.prompt", "**/*.prompt.txt", "**/*.jinja", "**/*.jinja2", "**/*.j2"),
-        max_size=1 << 20,
         tags=("asset",),
     ),
     Selector(
@@ -164,9 +163,3 @@ def select_detectors(
                 chosen.pop(gone, None)
     return [(s, chosen[s.detector_id]) for s in selectors if s.detector_id in chosen]
 
-
-def selector_table(spark: SparkSession, selectors: list[Selector] | None = None) -> DataFrame:
-    """The routing configuration as a table, for reports."""
-    selectors = SELECTORS if selectors is None else selectors
-    rows = [(i, s.detector_id, list(s.tags), s.max_size) for i, s in enumerate(selectors)]
-    return spark.createDataFrame(rows, "reg int, detector_id string, tags array<string>, max_size bigint")

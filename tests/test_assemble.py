@@ -82,7 +82,7 @@ def test_self_edges_and_ambiguous_targets(spark):
     scans = spark.createDataFrame([("s", "dir", "/x/Y")], "scan_id string, kind string, target string")
     inv = pipeline.build(f, scans)
     assert [r["type"] for r in inv.edges.collect()] == ["uses"]
-    assert [r["reason"] for r in inv.warnings.collect()] == ["ambiguous target, candidates: 2"]
+    assert [r["reason"] for r in inv.warnings.collect()] == ["several targets fit: 2"]
     assert graph.edges_from(inv.edges, inv.edges.first()["from_id"]).count() == 1
 
 

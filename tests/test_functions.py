@@ -47,7 +47,8 @@ def test_globs(spark):
 
 def test_snippet_and_slug(spark):
     assert one(spark, text.snippet(F.lit("\tx\x01y  "))) == "xy"
-    assert len(one(spark, text.snippet(F.lit("é" * 300))).encode()) == 200
+    assert len(one(spark, text.snippet(F.lit("é" * 300), 200)).encode()) == 200
+    assert len(one(spark, text.snippet(F.lit("é" * 300)))) == 300
     assert one(spark, text.slug(F.lit("--Odd  Risk#7-"))) == "odd-risk-7"
     assert one(spark, text.confidence_text(F.lit(0.9750))) == "0.975"
     assert one(spark, text.confidence_text(F.lit(0.0))) == "0"

@@ -60,8 +60,8 @@ def test_cap_and_errors(spark):
     rule = dict(id="p/x", kind="prompt", provider="", keywords=["X"], pattern="x", claim={"name": "x"}, confidence=0.5)
     loaded = rules.load_rules(rules.rules_from(spark, [rule]))
     f = files.classify(files_frame(spark, [("s", "a.txt", "x" * 500)]))
-    assert rule_scan.scan_rules(f, loaded, any_language=True).count() == 200
-    assert rules.cap_matches(rules.match_lines(f, loaded)).count() == 200
+    assert rule_scan.scan_rules(f, loaded, any_language=True, cap=200).count() == 200
+    assert rules.cap_matches(rules.match_lines(f, loaded), 200).count() == 200
     with pytest.raises(ValueError):
         rules.load_rules(rules.rules_from(spark, [{**rule, "claim": {"name": "${nope}"}}]))
 
