@@ -277,28 +277,37 @@ def npm_deps(files: DataFrame) -> DataFrame:
     sections = ("dependencies", "devDependencies")
     # A value that is an object or a list is read as its JSON text, which is no version.
     parsed = F.from_json("_text", "struct<" + ",".join(f"{s}:map<string,string>" for s in sections) + ">")
+    entry = lambda s: lambda e: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("spec"))
     texts = routed(files, det).select("scan_id", "path", text_of(F.col("content")).alias("_text"))
-    rows = texts.withColumn("_json", parsed).withColumn("_lines", lines_of(F.col("_text"))).select(
+    rows = texts.filter(_json_object(F.col("_text"))).withColumn("_json", parsed).withColumn("_lines", lines_of(F.col("_text"))).select(
         "scan_id", "path", "_lines",
         F.explode(F.flatten(F.filter(F.array(*[
-            F.transform(F.map_entries(f"_json.{s}"), lambda e, s=s: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("spec")))
-            for s in sections]), lambda x: x.isNotNull()))).alias("_d"))
+            F.transform(F.map_entries(f"_json.{s}"), entry(s)) for s in sections]), lambda x: x.isNotNull()))).alias("_d"))
     name, spec = F.col("_d.name"), F.coalesce("_d.spec", F.lit(""))
     spec = F.when(spec.rlike(r"^[\[{]"), "").otherwise(spec)
     stands = lambda line, key: F.rlike(line, F.concat(F.lit(r'"\Q'), key, F.lit(r'\E"\s*:')))
-    numbered = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line"), line.alias("raw")))
+    # What stands before the section's key on its line is not looked at.
+    numbered = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line"), F.when(
+        i + 1 == F.col("_open"), F.call_function(
+            "substring_index", line, F.concat(F.lit('"'), F.col("_d.section"), F.lit('"')), F.lit(-1))).otherwise(line).alias("raw")))
     opens = F.array_max(F.filter(F.transform("_lines", lambda line, i: F.when(stands(line, F.col("_d.section")), i + 1)), lambda n: n.isNotNull()))
-    at = F.get(F.filter(numbered, lambda x: (x["line"] >= F.col("_open")) & stands(x["raw"], name)), F.lit(0))
+    written = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))  # as JSON text
+    at = F.get(F.filter(numbered, lambda x: (x["line"] >= F.col("_open")) & stands(x["raw"], written)), F.lit(0))
     rows = rows.withColumn("_open", F.coalesce(opens, F.lit(1))).withColumn("_at", at).withColumn(
         "line", F.coalesce("_at.line", F.lit(1)).cast("int"))
     pair = F.concat(F.lit('"'), name, F.lit('": "'), spec, F.lit('"'))
     return _deps(rows, det, "npm", declared=name, key=F.lower(name), version=clean_version(spec), source_line=pair)
 
 
+def _json_object(text: Column) -> Column:
+    """Whether the whole text is one JSON object; a text cut short is none."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
 def npm_unknowns(files: DataFrame) -> DataFrame:
     """Manifests that are not JSON objects."""
     text = text_of(F.col("content"))
-    return routed(files, "manifest/npm").filter(F.from_json(text, "map<string,string>").isNull()).select(
+    return routed(files, "manifest/npm").filter(~_json_object(text)).select(
         "scan_id", "path", F.lit("manifest/npm").alias("detector_id"), F.lit("the manifest is no JSON object").alias("reason"))
 
 

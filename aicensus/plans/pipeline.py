@@ -1,12 +1,13 @@
 """The whole dataflow: files -> findings -> inventory tables -> overlays.
 
-Stages whose result several later steps read are written once to the shared checkpoint
-folder (``stage=True``): the routed files, the findings and the sightings. Everything else
-stays one lazy plan.
+What several later steps read is written once as Parquet to the shared checkpoint folder: the routed
+files, the findings, the sightings, and the inventory tables when first asked for. So a corpus is read once
+however many detectors there are, and reports read stored tables. ``stage=False`` keeps one lazy plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,11 +17,10 @@ from ..functions.text import is_set, lines_of, snippet
 from ..operators import artifacts, assemble, assets, graph, infra, manifests, project, rule_scan
 from ..operators.controls import control_evidence, control_outcomes, tag_components
 from ..operators.gate import gate_verdicts, min_confidence, parse_gate
-from ..operators.vulns import component_vulns
 from ..schemas import FINDINGS, UNKNOWNS, conform
-from ..session import cut_lineage
+from ..session import stored
 from ..sources.files import prepare, split_failures, text_of, truncations
-from ..sources.routing import SELECTORS, Selector, routed
+from ..sources.routing import SELECTORS, Selector, routed, select_detectors
 
 _PROJECT = ["project/adapter", "project/configbind", "project/hfdir", "project/raglink"]
 _RANKS = {d: i for i, d in enumerate([*[s.detector_id for s in SELECTORS], *_PROJECT])}
@@ -94,17 +94,26 @@ def routed_files(prepared: DataFrame, selectors: list[Selector] | None = None) -
 
 def detect(
     files: DataFrame, rules: list[dict], *, any_language: bool = False, max_bytes: int | None = None,
-    user_globs: tuple[str, ...] = (), detectors: set[str] | None = None, stage: bool = False,
+    user_globs: tuple[str, ...] = (), detectors: set[str] | str | None = None, stage: bool = True,
+    user_detectors: tuple[Callable[[DataFrame], DataFrame], ...] = (),
 ):
-    """files -> (findings, unknowns)."""
+    """files -> (findings, unknowns).
+
+    ``detectors`` is a set of ids or a selection expression (see ``select_detectors``). A user detector maps the
+    files to findings rows; snippets it leaves out are filled from the line it names.
+    """
+    if isinstance(detectors, str):
+        detectors = {s.detector_id for s, _ in select_detectors(detectors)}
     prepared = prepare(files, max_bytes, user_globs)
-    if not any_language:
+    if not any_language and not user_detectors:
         prepared = routed_files(prepared)
     if stage:
-        prepared = cut_lineage(prepared)
+        prepared = stored(prepared, "routed-files")
     findings, unknowns = detect_files(prepared, rules, any_language, detectors)
+    for detector in user_detectors:
+        findings = findings.unionByName(fill_snippets(_finish(detector(prepared), 1), prepared))
     if stage:
-        findings = cut_lineage(findings)
+        findings = stored(findings, "findings")
     if detectors is None or any(d in detectors for d in _PROJECT):
         findings = findings.unionByName(detect_projects(prepared, findings))
     if max_bytes is not None:
@@ -135,35 +144,35 @@ class Inventory:
         return Inventory(**{**self._tables, **tables})
 
 
-def build(findings: DataFrame, scans: DataFrame, unknowns: DataFrame | None = None, stage: bool = False) -> Inventory:
+def build(findings: DataFrame, scans: DataFrame, unknowns: DataFrame | None = None, stage: bool = True) -> Inventory:
     """findings -> inventory tables."""
     keyed = assemble.key_findings(findings)
     draft_rows = assemble.drafts(keyed)
     moved = assemble.redirects(draft_rows)
     sighted = assemble.sightings(keyed, moved)
-    if stage:
-        sighted = cut_lineage(sighted)
+    keep = stored if stage else lambda df, name: df
+    sighted = keep(sighted, "sightings")
     shared = Inventory(
-        occurrences=lambda: assemble.occurrences(sighted),
-        claims=lambda: assemble.identity_claims(sighted),
+        occurrences=lambda: keep(assemble.occurrences(sighted), "occurrences"),
+        claims=lambda: keep(assemble.identity_claims(sighted), "claims"),
         names=lambda: graph.name_index(
             assemble.surviving(draft_rows, moved).select("scan_id", "component_id", "cls", "cname").unionByName(
                 assemble.root_components(scans).select("scan_id", "component_id", "cls", F.lower("name").alias("cname"))
             ).distinct()
         ),
-        resolved=lambda: graph.resolve_claims(
-            graph.relation_claims(sighted), shared.names, graph.path_detector_index(sighted)),
+        resolved=lambda: keep(graph.resolve_claims(
+            graph.relation_claims(sighted), shared.names, graph.path_detector_index(sighted)), "relations"),
         evidence=lambda: graph.edge_evidence(shared.resolved),
     )
     return Inventory(
         scans=scans, unknowns=unknowns,
         occurrences=lambda: shared.occurrences, claims=lambda: shared.claims,
-        components=lambda: assemble.with_roots(
-            assemble.components(sighted, shared.occurrences, shared.claims), scans),
+        components=lambda: keep(assemble.with_roots(
+            assemble.components(sighted, shared.occurrences, shared.claims), scans), "components"),
         licenses=lambda: assemble.licenses(sighted), hashes=lambda: assemble.hashes(sighted),
-        risks=lambda: assemble.risks(sighted), risk_details=lambda: assemble.risk_details(sighted),
+        risks=lambda: keep(assemble.risks(sighted), "risks"), risk_details=lambda: assemble.risk_details(sighted),
         params=lambda: graph.promoted_params(sighted, shared.names),
-        edges=lambda: graph.edges(shared.evidence), edge_evidence=lambda: shared.evidence,
+        edges=lambda: keep(graph.edges(shared.evidence), "edges"), edge_evidence=lambda: shared.evidence,
         warnings=lambda: graph.unresolved(shared.resolved),
     )
 
@@ -172,10 +181,6 @@ def tagged(inv: Inventory) -> DataFrame:
     return tag_components(inv.components, inv.risks)
 
 
-def with_vulns(inv: Inventory, advisories: DataFrame) -> Inventory:
-    return inv.replace(vulns=component_vulns(inv.components, advisories))
-
-
 def with_controls(inv: Inventory, controls: DataFrame) -> Inventory:
     """Evaluate controls over the inventory as it stands."""
     rows = tagged(inv)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import assemble, controls, gate, graph
 from ..plans import pipeline
 from ..reports import cyclonedx, inventory, sarif, tables
+from ..session import shared_folder, stored
 from .derive import findings, scans
 from .oracle import assembled
 
@@ -40,7 +41,7 @@ def _keyed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sighted(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, "sighted", lambda: assemble.sightings(_keyed(spark, sf)))
+    return _plan(spark, sf, "sighted", lambda: stored(assemble.sightings(_keyed(spark, sf)), "sightings"))
 
 
 def _inventory(spark: SparkSession, sf: str) -> pipeline.Inventory:
@@ -204,9 +205,22 @@ def param_promotion(spark, sf):
     "SELECT from_id, to_id, scan_id FROM edges WHERE type = 'uses' AND from_id = "
     "(SELECT max(from_id) FROM edges WHERE type = 'uses')", "edges"))
 def graph_lookup(spark, sf):
-    e = _inventory(spark, sf).edges
-    top = e.filter("type = 'uses'").agg(F.max("from_id").alias("from_id"))
-    return e.filter("type = 'uses'").join(F.broadcast(top), "from_id", "left_semi").select("from_id", "to_id", "scan_id")
+    e = _inventory(spark, sf).edges.filter("type = 'uses'")
+    return graph.edges_from(e, e.agg(F.max("from_id")).first()[0]).select("from_id", "to_id", "scan_id")
+
+
+@query(assembled(
+    "SELECT 'kind' AS lookup, component_id AS found FROM comps WHERE kind = 'vector-db' UNION ALL "
+    "SELECT 'id', component_id FROM comps WHERE component_id = (SELECT max(to_id) FROM edges) UNION ALL "
+    "SELECT 'to', from_id FROM edges WHERE to_id = (SELECT max(to_id) FROM edges)", "comps", "edges"))
+def graph_lookups(spark, sf):
+    inv = _inventory(spark, sf)
+    last = inv.edges.agg(F.max("to_id")).first()[0]
+    parts = {"kind": graph.by_kind(inv.components, "vector-db").select(F.col("component_id").alias("found")),
+             "id": graph.get(inv.components, last).select(F.col("component_id").alias("found")),
+             "to": graph.edges_to(inv.edges, last).select(F.col("from_id").alias("found"))}
+    rows = [df.select(F.lit(k).alias("lookup"), "found") for k, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 # ── controls, gates, filters ─────────────────────────────────────────────────
@@ -241,6 +255,15 @@ def control_outcomes(spark, sf):
         "scan_id", "framework", "control", "state", F.col("n_components").cast("bigint").alias("n_components"))
 
 
+@query(with_controls("SELECT * FROM outcomes").replace(
+    "LEFT JOIN tagged t", "LEFT JOIN (SELECT * FROM tagged WHERE confidence >= 0.8) t"))
+def present_controls(spark, sf):
+    """Controls evaluated again over what a minimum confidence leaves."""
+    shown = pipeline.present(_inventory(spark, sf), 0.8, controls.shipped_controls(spark))
+    return shown.outcomes.select(
+        "scan_id", "framework", "control", "state", F.col("n_components").cast("bigint").alias("n_components"))
+
+
 @query(with_controls(
     "SELECT scan_id, framework, count(*) AS controls, count(*) FILTER (WHERE state = 'met') AS met, count(*) FILTER (WHERE state = 'gap') AS gap, "
     "count(*) FILTER (WHERE state = 'manual') AS manual FROM outcomes GROUP BY ALL"))
@@ -487,7 +510,34 @@ def confidence_format(spark, sf):
     "SELECT record_type, count(*) AS records FROM (SELECT 'component' AS record_type FROM comps UNION ALL SELECT 'component' FROM roots "
     "UNION ALL SELECT 'occurrence' FROM occ UNION ALL SELECT 'edge' FROM edges UNION ALL SELECT 'claim' FROM claims "
     "UNION ALL SELECT 'risk' FROM risks UNION ALL SELECT 'param' FROM params UNION ALL SELECT 'scan' FROM scans "
+    "UNION ALL SELECT 'risk_detail' FROM details UNION ALL SELECT 'warning' FROM resolved WHERE candidates <> 1 "
+    "UNION ALL SELECT 'edge_evidence' FROM resolved WHERE candidates = 1 AND to_id <> from_id "
     "UNION ALL SELECT DISTINCT ON (scan_id, component_id, lower(sha)) 'hash' FROM s WHERE sha <> '') GROUP BY ALL",
-    "comps", "roots", "occ", "edges", "claims", "risks", "params", "scans", "s"))
+    "comps", "roots", "occ", "edges", "claims", "risks", "params", "scans", "s", "details", "resolved"))
 def json_records(spark, sf):
     return inventory.json_records(_inventory(spark, sf)).groupBy("record_type").agg(F.count("*").alias("records"))
+
+
+@query(assembled(
+    f"SELECT scan_id, 'edge' AS record_type, '{{\"from_id\":\"' || from_id || '\",\"type\":\"' || type || '\",\"to_id\":\"' || to_id || "
+    f"'\",\"confidence\":' || {_NUM} || ',\"n_evidence\":' || n_evidence || '}}' AS record FROM edges UNION ALL "
+    "SELECT scan_id, 'risk_detail', '{\"component_id\":\"' || component_id || '\",\"risk_id\":\"' || risk_id || '\",\"detail\":\"' || detail || '\"}' "
+    "FROM details UNION ALL SELECT scan_id, 'scan', '{\"kind\":\"dir\",\"target\":\"/srv/Repos/' || upper(scan_id) || '/\"}' FROM scans",
+    "edges", "details", "scans"))
+def json_documents(spark, sf):
+    """Text of the JSON records of three tables."""
+    return inventory.json_records(_inventory(spark, sf)).filter("record_type IN ('edge', 'risk_detail', 'scan')").select(
+        "scan_id", "record_type", "record")
+
+
+@query(assembled(
+    "SELECT 'tables' AS output, kind AS entry, count(*) AS n FROM comps GROUP BY ALL UNION ALL SELECT 'tables', 'application', count(*) FROM roots "
+    "UNION ALL SELECT 'edges', type, count(*) FROM edges GROUP BY ALL", "comps", "roots", "edges"))
+def multi_output(spark, sf):
+    """Two outputs written from one stored inventory, and read back."""
+    inv, folder = _inventory(spark, sf), shared_folder(spark, "outputs")
+    inventory.write_all({"tables": (inv.components, f"{folder}/tables"), "json": (inv.edges, f"{folder}/edges")})
+    kept = spark.read.parquet(f"{folder}/tables").groupBy(F.lit("tables").alias("output"), F.col("kind").alias("entry")).agg(F.count("*").alias("n"))
+    edges = spark.read.schema("type string").json(f"{folder}/edges").groupBy(F.lit("edges").alias("output"), F.col("type").alias("entry")).agg(
+        F.count("*").alias("n"))
+    return kept.unionByName(edges)

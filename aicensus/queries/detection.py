@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import matches_glob
 from ..operators import artifacts, assets, infra, manifests, project, rule_scan, rulecheck, rules
+from ..plans import pipeline
 from ..reports import tables
 from ..schemas import FINDINGS, conform
+from ..session import shared_folder
 from ..sources import files as files_mod
 from ..sources import k8s, layers, routing
 from .derive import duck_sql, pick, spark_sql, table
@@ -329,6 +331,54 @@ for _name in _MANIFESTS:
     _manifest_query(_name)
 
 
+# Shapes of a manifest, dealt to the rows by their key: text (@ stands for the row's version), expected (line, key, version).
+_SHAPES = {
+    "npm": ("package.json", manifests.npm_deps, [
+        ('{"dependencies":{"a":"file:{x}","openai":"@"}}', [(1, "a", "file:{x}"), (1, "openai", "@")]),
+        ('{\n "config": {"dependencies": {"no": "1"}},\n "dependencies": {\n  "openai": "^@"\n }\n}', [(4, "openai", "@")]),
+        ('{\r\n"devDependencies":{\r\n"x y":"~@",\r\n"B/c" : "@"\r\n}}', [(3, "x y", "@"), (4, "b/c", "@")]),
+        ('{"name":"n","dependencies":{},"devDependencies":null}', []),
+        ('{"dependencies": {"openai": "@"', []),
+        ('', []),
+        ('{"openai": "1", "dependencies":\n{"say \\"hi\\"": "1", "openai":\n "@"}}', [(2, 'say "hi"', "1"), (2, "openai", "@")]),
+        ('{"dependencies":{"openai":"@"},\n"devDependencies":{"openai":"@"}}', [(1, "openai", "@"), (2, "openai", "@")]),
+    ]),
+    "requirements": ("requirements.txt", manifests.requirements_deps, [
+        ("openai==@", [(1, "openai", "@")]),
+        ("# openai==1\n\n-r other.txt\nOpenAI >= @\n", [(4, "openai", "@")]),
+        ("openai[extra]==@ ; python_version < '4'\r\nnumpy\r\n", [(1, "openai", "@"), (2, "numpy", "")]),
+        ("  some_pkg.name~=@   # why\n", [(1, "some-pkg-name", "@")]),
+        ("pkg ; x\n", [(1, "pkg", "")]),
+        ("", []),
+        ("a==@\nb==@\na==@", [(1, "a", "@"), (2, "b", "@"), (3, "a", "@")]),
+        ("--index-url https://x\nchromadb", [(2, "chromadb", "")]),
+    ]),
+}
+
+
+def _shapes_query(name: str):
+    base, reader, shapes = _SHAPES[name]
+
+    def run(spark, sf):
+        version = F.concat(F.lit("1."), F.col("p_size").cast("string"))
+        text = F.coalesce(*[F.when(F.col("p_partkey") % len(shapes) == i, F.replace(F.lit(t), F.lit("@"), version))
+                            for i, (t, _) in enumerate(shapes)])
+        path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(f"/{base}"))
+        f = files_mod.classify(files_mod.from_text(table(spark, sf, "part"), F.col("p_brand"), path, text))
+        return reader(f).select("scan_id", "path", "line", "key", "version")
+
+    run.__name__ = f"{name}_shapes"
+    sql = " UNION ALL ".join(
+        f"SELECT p_brand AS scan_id, concat('p', p_partkey, '/{base}') AS path, {line} AS line, '{key}' AS key, "
+        f"{_V if version == '@' else repr(version)} AS version FROM part WHERE p_partkey % {len(shapes)} = {i}"
+        for i, (_, rows) in enumerate(shapes) for line, key, version in rows)
+    return query(sql)(run)
+
+
+for _name in _SHAPES:
+    _shapes_query(_name)
+
+
 @query(" UNION ALL ".join(
     f"SELECT p_brand AS scan_id, {line} AS line, '{kind}' AS kind, '{name}' AS name, '{prov}' AS provider, {_V} AS version FROM part"
     for line, kind, name, prov in ((2, "library", "openai", "OpenAI"), (4, "framework", "langchain-community", "LangChain"))))
@@ -674,3 +724,65 @@ def _manifests(spark, sf):
 def k8s_images(spark, sf):
     return k8s.images(_manifests(spark, sf)).select(
         "image", "workloads", "first_workload", "last_workload", F.try_element_at("signals", F.lit("MODEL_ID")).alias("model_id"))
+
+
+# ── corpora, selection, risks ────────────────────────────────────────────────
+
+
+@query("SELECT 'source=' || source AS scan_id, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents WHERE lang <> 'de' GROUP BY source")
+def corpus_files(spark, sf):
+    """Documents written as files by source and language, read as a corpus without one language's folder."""
+    folder = shared_folder(spark, "corpus")
+    table(spark, sf, "documents").select("text", "source", "lang").write.partitionBy("source", "lang").text(folder)
+    f = files_mod.drop_ignored(files_mod.read_corpus(spark, folder), user_globs=("lang=de/**",))
+    return f.groupBy("scan_id").agg(F.sum(F.length("content")).cast("bigint").alias("bytes"))
+
+
+RISK_RULES = [{"id": "docs/risky", "kind": "library", "provider": "", "keywords": ["tion"], "pattern": "tion", "claim": {"name": "risky"},
+               "risk": "RISK-PICKLE-IMPORT", "confidence": 0.5}]
+
+
+@query("SELECT source AS scan_id, 'doc_' || doc_id || '.txt' AS path, 'RISK-PICKLE-IMPORT' AS risk_id, "
+       "CAST(len(regexp_extract_all(text, 'tion')) AS BIGINT) AS n FROM documents WHERE contains(text, 'tion')")
+def rule_risks(spark, sf):
+    f = files_mod.classify(document_files(spark, sf))
+    found = rule_scan.match_findings(rule_scan.scan_rules(f, _load(spark, RISK_RULES), any_language=True))
+    return found.select("scan_id", "path", F.explode("risks").alias("r")).groupBy("scan_id", "path", F.col("r.id").alias("risk_id")).agg(
+        F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS scan_id, 'p' || p_partkey || '/package.json' AS path, 'manifest/npm' AS detector_id, CAST(2 AS BIGINT) AS n FROM part")
+def selected_detectors(spark, sf):
+    """Only the detectors that a selection expression leaves run."""
+    f = _manifest_files(spark, sf, "npm").unionByName(_manifest_files(spark, sf, "cargo"))
+    found, _ = pipeline.detect(f.drop("truncated", "language", "magic_id", "is_binary"), [], detectors="manifest,-manifest/cargo")
+    return found.groupBy("scan_id", "path", "detector_id").agg(F.count("*").alias("n"))
+
+
+# ── artifacts over one MiB ───────────────────────────────────────────────────
+
+
+@query("SELECT 'm/n' || n_nationkey || '.gguf' AS path, 'arch-' || n_nationkey AS architecture, '__class__,os.system' AS risk_detail FROM nation")
+def gguf_long_array(spark, sf):
+    """A tokenizer array of over a million values stands before the template that the screen must see."""
+    n = F.col("n_nationkey").cast("int") + 1_100_000
+    key = lambda k: F.concat(_le(F.lit(len(k)), 8), F.encode(F.lit(k), "UTF-8"))
+    array = F.concat(key("tokenizer.ggml.token_type"), _le(F.lit(9), 4), _le(F.lit(0), 4), _le(n, 8), F.unhex(F.repeat(F.lit("01"), n)))
+    content = F.concat(
+        F.unhex(F.lit("47475546")), _le(F.lit(3), 4), _le(F.lit(0), 8), _le(F.lit(3), 8),
+        _gguf_text("general.architecture", F.concat(F.lit("arch-"), F.col("n_nationkey").cast("string"))), array,
+        _gguf_text("tokenizer.chat_template", F.lit("{{ x.__class__ }} os.system")))
+    f = _binary_files(spark, sf, "nation", "concat('m/n', CAST(n_nationkey AS STRING), '.gguf')", content)
+    return artifacts.walked_findings(artifacts.artifact_facts(f)).select(
+        "path", F.col("model.architecture").alias("architecture"), F.array_join(F.get("risks", F.lit(0))["detail"], ",").alias("risk_detail"))
+
+
+@query("SELECT 'm/n' || n_nationkey || '.safetensors' AS path, 1 AS tensor_count, CAST(n_nationkey + 1 AS BIGINT) AS param_count, 'pt' AS metadata_format FROM nation")
+def large_safetensors(spark, sf):
+    """Headers of over a million bytes."""
+    doc = F.concat(F.lit('{"__metadata__": {"format": "pt", "note": "'), F.repeat(F.lit("x"), F.lit(1_100_000)), F.lit('"}, "a": {"dtype": "BF16", "shape": ['),
+                   (F.col("n_nationkey") + 1).cast("string"), F.lit('], "data_offsets": [0, 1]}}'))
+    content = F.concat(_le(F.length(doc), 8), F.encode(doc, "UTF-8"), F.unhex(F.lit("00FF")))
+    f = _binary_files(spark, sf, "nation", "concat('m/n', CAST(n_nationkey AS STRING), '.safetensors')", content)
+    return artifacts.safetensors_facts(routing.routed(f, "modelfile/safetensors")).select(
+        "path", "tensor_count", "param_count", "metadata_format")

@@ -14,7 +14,9 @@ from ..plans.pipeline import Inventory
 _TABLES = [
     ("scan", "scans"), ("component", "components"), ("occurrence", "occurrences"), ("claim", "claims"),
     ("license", "licenses"), ("hash", "hashes"), ("risk", "risks"), ("param", "params"), ("edge", "edges"),
-    ("vulnerability", "vulns"), ("control", "outcomes"), ("unknown", "unknowns"),
+    ("vulnerability", "vulns"), ("control", "outcomes"), ("unknown", "unknowns"), ("risk_detail", "risk_details"),
+    ("edge_evidence", "edge_evidence"), ("control_evidence", "control_evidence"), ("warning", "warnings"),
+    ("scan_stats", "stats"), ("detector_stats", "detector_stats"),
 ]
 
 
@@ -42,23 +44,19 @@ def json_records(inv: Inventory) -> DataFrame:
     return out
 
 
-def write_json(inv: Inventory, path: str) -> None:
-    """JSON lines partitioned by scan; each scan's records sorted inside its files.
+def write_json(inv: Inventory, path: str, buckets: int = 64) -> None:
+    """JSON lines in folders of scans (``bucket``); each scan's records are sorted.
 
     Range partitioning on the full sort key cuts a large scan into several files whose names
-    keep the document order.
+    keep the document order. A folder holds many scans, so files stay few and large.
     """
-    rows = json_records(inv)
-    (
-        rows.repartitionByRange("scan_id", "section", "owner", "record")
-        .sortWithinPartitions("scan_id", "section", "owner", "record")
-        .write.mode("errorifexists").partitionBy("scan_id").json(path)
-    )
+    rows = json_records(inv).withColumn("bucket", F.pmod(F.xxhash64("scan_id"), F.lit(buckets)))
+    order = ["bucket", "scan_id", "section", "owner", "record"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("bucket").json(path)
 
 
 def write_all(outputs: dict[str, tuple[DataFrame, str]], writer: Callable | None = None) -> None:
-    """Write several projections, format by format. Stage the inventory first (``stage=True``)
-    so that every projection reads the stored tables instead of running the scan again."""
+    """Write several projections, format by format; all read the inventory's stored tables."""
     for fmt, (df, path) in outputs.items():
         if writer is not None:
             writer(fmt, df, path)

@@ -92,11 +92,6 @@ def vuln_listing(component_rows: DataFrame, vulns: DataFrame) -> DataFrame:
     )
 
 
-def ordered(df: DataFrame, *by: Column | str) -> DataFrame:
-    """Range-partitioned global order, for a sink; queries stay unordered."""
-    return df.orderBy(*by)
-
-
 def scan_stats(files: DataFrame, unknowns: DataFrame) -> DataFrame:
     """Files walked, processed and failed, and bytes, per scan."""
     walked = files.groupBy("scan_id").agg(F.count("*").alias("files_walked"), F.sum("size").alias("bytes"))

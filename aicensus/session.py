@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,21 +35,28 @@ def build_session(app: str = "aicensus", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, which survives executor loss.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only in local
-    mode, and a cluster without the setting is an error rather than a silent local write.
+    Without the setting a temporary folder is taken in local mode only; on a cluster that is an error rather
+    than a silent local write.
     """
-    sc = df.sparkSession.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="aicensus-ckpt-"))
-    return df.checkpoint(eager=True)
+        base = tempfile.mkdtemp(prefix="aicensus-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as Parquet in the shared folder and read back.
+
+    Later steps read only the columns and row groups they need, and an executor lost later costs nothing.
+    """
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def collect_config(df: DataFrame, max_rows: int = CONFIG_MAX_ROWS) -> list:

@@ -39,7 +39,7 @@ def test_present_and_json(spark, tmp_path):
     state = {r["control"]: r["state"] for r in inv.outcomes.collect()}
     assert state["MAP-4.1"] == "met" and state["MAP-2.1"] == "gap" and state["MEASURE-2.7"] == "met"
     inventory.write_json(inv, str(tmp_path / "out"))
-    lines = [json.loads(x) for p in sorted(Path(tmp_path / "out" / "scan_id=s").glob("*.json")) for x in p.read_text().splitlines()]
+    lines = [json.loads(x) for p in sorted(Path(tmp_path / "out").glob("bucket=*/*.json")) for x in p.read_text().splitlines()]
     assert [x["section"] for x in lines] == sorted(x["section"] for x in lines)
     assert json.loads(lines[1]["record"])["kind"] in ("library", "application")
 

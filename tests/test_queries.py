@@ -4,9 +4,11 @@ import pytest
 from aicensus.queries import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "orders part lineitem events documents embeddings pages conversations supplier".split()
+TABLES = "nation orders part lineitem events documents embeddings pages conversations supplier".split()
 SAMPLE = ["component_ids", "occurrences", "inventory_components", "edges", "gate_verdicts", "rule_scan_documents",
-          "requirements_deps", "pyproject_deps", "dockerfile_infra", "safetensors_facts", "layer_squash", "component_vulns"]
+          "requirements_deps", "pyproject_deps", "dockerfile_infra", "safetensors_facts", "layer_squash", "component_vulns",
+          "npm_shapes", "requirements_shapes", "call_site_params", "graph_lookups", "present_controls", "json_documents",
+          "multi_output", "corpus_files", "rule_risks", "selected_detectors", "gguf_long_array"]
 
 
 def norm(v):
