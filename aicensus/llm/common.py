@@ -1,14 +1,14 @@
-"""Helpers shared by the operators: folders, stored tables, words, distinct folding."""
+"""Helpers shared by the operators: tables, words, folding; stored tables come from the session helpers."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, stored  # noqa: F401 - used by the operators
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Words are ASCII letters and digits after folding A-Z, and everything that is not ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -26,23 +26,3 @@ def words(text: str | None) -> list[bytes]:
 def ascii_lower(column: Column) -> Column:
     """A-Z folded, every other character as it is; null counts as empty."""
     return F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower())
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Without that setting a temporary folder is taken in local mode; on a cluster it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="aicensus-llm-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read back: cuts the lineage."""
-    folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
