@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import stored, words
 
-BLOCK_NODES = 1024
+BLOCK_NODES = 512
 BLOCK_SHINGLES = 2_000_000
 
 
