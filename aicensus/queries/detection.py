@@ -780,7 +780,7 @@ def gguf_long_array(spark, sf):
 @query("SELECT 'm/n' || n_nationkey || '.safetensors' AS path, 1 AS tensor_count, CAST(n_nationkey + 1 AS BIGINT) AS param_count, 'pt' AS metadata_format FROM nation")
 def large_safetensors(spark, sf):
     """Headers of over a million bytes."""
-    doc = F.concat(F.lit('{"__metadata__": {"format": "pt", "note": "'), F.repeat(F.lit("x"), F.lit(1_100_000)), F.lit('"}, "a": {"dtype": "BF16", "shape": ['),
+    doc = F.concat(F.lit('{"__metadata__": {"format": "pt", "note": "'), F.repeat(F.lit("x"), F.col("n_nationkey").cast("int") + 1_100_000), F.lit('"}, "a": {"dtype": "BF16", "shape": ['),
                    (F.col("n_nationkey") + 1).cast("string"), F.lit('], "data_offsets": [0, 1]}}'))
     content = F.concat(_le(F.length(doc), 8), F.encode(doc, "UTF-8"), F.unhex(F.lit("00FF")))
     f = _binary_files(spark, sf, "nation", "concat('m/n', CAST(n_nationkey AS STRING), '.safetensors')", content)
