@@ -271,7 +271,7 @@ def npm_deps(files: DataFrame) -> DataFrame:
     """dependencies and devDependencies of the top level; the line is that of the quoted name in its section.
 
     The file is parsed as JSON, so braces in texts and sections nested elsewhere do not matter. A name's line is
-    the first one behind the section's key on which the quoted name stands before a colon.
+    the first one behind the section's key on which the quoted name and its value stand.
     """
     det = "manifest/npm"
     sections = ("dependencies", "devDependencies")
@@ -286,13 +286,16 @@ def npm_deps(files: DataFrame) -> DataFrame:
     name, spec = F.col("_d.name"), F.coalesce("_d.spec", F.lit(""))
     spec = F.when(spec.rlike(r"^[\[{]"), "").otherwise(spec)
     stands = lambda line, key: F.rlike(line, F.concat(F.lit(r'"\Q'), key, F.lit(r'\E"\s*:')))
+    written = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))  # noqa: E731 - as JSON text
+    bound = lambda line: F.rlike(line, F.concat(  # noqa: E731 - the name with its value, which may stand on the next line
+        F.lit(r'"\Q'), written(name), F.lit(r'\E"\s*:\s*(?:$|"\Q'), written(F.coalesce("_d.spec", F.lit(""))), F.lit(r'\E")')))
     # What stands before the section's key on its line is not looked at.
     numbered = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line"), F.when(
         i + 1 == F.col("_open"), F.call_function(
             "substring_index", line, F.concat(F.lit('"'), F.col("_d.section"), F.lit('"')), F.lit(-1))).otherwise(line).alias("raw")))
-    opens = F.array_max(F.filter(F.transform("_lines", lambda line, i: F.when(stands(line, F.col("_d.section")), i + 1)), lambda n: n.isNotNull()))
-    written = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))  # as JSON text
-    at = F.get(F.filter(numbered, lambda x: (x["line"] >= F.col("_open")) & stands(x["raw"], written)), F.lit(0))
+    opens = F.array_min(F.filter(F.transform("_lines", lambda line, i: F.when(stands(line, F.col("_d.section")), i + 1)), lambda n: n.isNotNull()))
+    behind = F.filter(numbered, lambda x: (x["line"] >= F.col("_open")) & stands(x["raw"], written(name)))
+    at = F.coalesce(F.get(F.filter(behind, lambda x: bound(x["raw"])), F.lit(0)), F.get(behind, F.lit(0)))
     rows = rows.withColumn("_open", F.coalesce(opens, F.lit(1))).withColumn("_at", at).withColumn(
         "line", F.coalesce("_at.line", F.lit(1)).cast("int"))
     pair = F.concat(F.lit('"'), name, F.lit('": "'), spec, F.lit('"'))
