@@ -6,18 +6,20 @@ a block above ``segment_bytes`` is cut into a first segment and continuation rec
 the total length. Files are gzip text, so Spark's own writer places them, in any store.
 
 Reading: a file is read by one task, record by record; the declared lengths decide where a record ends, also
-where a payload holds the record separator. Continuations meet their origin by its identifier, in order
+where a payload holds the record separator. Any WARC version is read. Continuations meet their origin by its identifier, in order
 of the segment number, one record in memory at a time; the total length and the payload digest are verified.
 
 Defined results: a null payload is empty; a null id sorts behind all others; rows that repeat id and payload are one response and
-revisits of it; ``status`` is ``ok``, ``length`` (segments missing or of a wrong total), ``framing`` (broken
-chunks) or ``digest``.
+revisits of it; ``status`` is ``ok``, ``length`` (segments missing or of a wrong total, a record cut off at the end
+of its file, no declared length, or bytes between a declared end and the next record), ``framing`` (broken chunks) or
+``digest``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,11 @@ from ..session import ship_package
 
 END = b"\r\n\r\n"
 FIRST = b"WARC/1.1\r\n"
-SEPARATOR = END + FIRST
+VERSION = b"WARC/"
+SEPARATOR = END + VERSION
+LINE_ENDS = re.compile(rb"[\r\n]*")
+# Number of a continuation that states none: behind all others, so its record is not whole.
+UNNUMBERED = (1 << 31) - 1
 
 
 def base32_sha1(data: bytes) -> str:
@@ -167,22 +173,51 @@ def parse_head(raw: bytes) -> dict[str, str]:
     return fields
 
 
-def records_in(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict, bytes]]:
-    """Head and block of each record, from the separated pieces of files in order."""
-    held, current = None, None
+def records_in(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict, bytes, bool]]:
+    """Head and block of each record and whether it is whole, from the separated pieces of files in order.
+
+    A piece may hold several records. A record that its file's end cuts off has the fields of its whole lines.
+    """
+    parts, have, need, current = [], 0, 0, None
     for file, piece in pieces:
         if file != current:
-            held, current = None, file
-            piece = piece.removeprefix(FIRST)
-        held = piece if held is None else held + SEPARATOR + piece
-        at = held.find(END)
-        if at < 0:
+            yield from cut_off(parts)
+            parts, have, need, current = [], 0, 0, file
+        parts += [SEPARATOR, piece] if parts else [piece]
+        have += len(piece) + len(SEPARATOR) * (len(parts) > 1)
+        if have < need:
             continue
-        fields = parse_head(held[:at])
-        size = int(fields.get("content-length", 0))
-        if len(held) - at - len(END) >= size:
-            yield fields, held[at + len(END):at + len(END) + size]
-            held = None
+        held, at, need = b"".join(parts), 0, 0
+        while at < len(held):
+            start = held.find(END, at) + len(END)
+            if start < len(END):
+                break
+            fields = parse_head(held[at:start])
+            size = declared_length(fields)
+            stop = start + (size or 0)
+            if stop > len(held):
+                need = stop - at
+                break
+            behind = LINE_ENDS.match(held, stop).end()
+            # What is left is nothing or begins the next record; else the length is wrong, and the next separator counts.
+            fits = VERSION.startswith(held[behind:behind + len(VERSION)])
+            yield fields, held[start:stop], size is not None and fits
+            found = held.find(SEPARATOR, stop)
+            at = behind if fits else len(held) if found < 0 else found + len(END)
+        parts, have = ([held[at:]], len(held) - at) if at < len(held) else ([], 0)
+    yield from cut_off(parts)
+
+
+def declared_length(fields: dict[str, str]) -> int | None:
+    size = fields.get("content-length", "")
+    return int(size) if size.isascii() and size.isdigit() else None
+
+
+def cut_off(parts: list[bytes]) -> Iterator[tuple[dict, bytes, bool]]:
+    """The record still held when its file ends, if there is one."""
+    if parts:
+        top, end, block = b"".join(parts).partition(END)
+        yield parse_head(top if end else top[:max(top.rfind(b"\r\n"), 0)]), block, False
 
 
 def payload_of(block: bytes) -> tuple[bytes, bool]:
@@ -227,21 +262,23 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
         pieces = ((f, v.as_py()) for b in batches for f, v in zip(b.column(0).to_pylist(), b.column(1)))
         bare = lambda v: v.strip("<>") if v else None
         rows, size = [], 0
-        for fields, block in records_in(pieces):
-            number, kind = fields.get("warc-segment-number"), fields.get("warc-type")
+        for fields, block, whole in records_in(pieces):
+            number, kind, origin = (fields.get(f"warc-{x}") for x in ("segment-number", "type", "segment-origin-id"))
+            if kind == "continuation" and origin and not number:
+                number = UNNUMBERED
             row = {"record_id": bare(fields.get("warc-record-id")), "record_type": kind,
                    "target_uri": fields.get("warc-target-uri"), "refers_to": bare(fields.get("warc-refers-to")),
-                   "payload_digest": fields.get("warc-payload-digest"), "status": "ok"}
+                   "payload_digest": fields.get("warc-payload-digest"), "status": "ok" if whole else "length"}
             if number:
                 row |= {"number": int(number), "block": block, "total": fields.get("warc-segment-total-length")}
                 row["total"] = int(row["total"]) if row["total"] else None
                 size += len(block)
             elif kind == "response":
-                row = finished(row, block, True, payloads)
+                row = finished(row, block, whole, payloads)
                 size += row["payload_bytes"] * payloads
             elif kind == "revisit":
                 row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:")
-            row["origin"] = bare(fields.get("warc-segment-origin-id")) or row["record_id"]
+            row["origin"] = bare(origin) or row["record_id"]
             rows.append(row)
             if len(rows) >= 5000 or size >= 8 << 20:
                 yield to_batch(rows, _KINDS | _SEGMENT)
@@ -257,7 +294,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
                 return group
             first, last = group[0], group[-1]
             block = b"".join(r["block"] for r in group)
-            whole = [r["number"] for r in group] == list(range(1, len(group) + 1)) and last["total"] == len(block)
+            whole = [r["number"] for r in group] == list(range(1, len(group) + 1)) and last["total"] == len(block) and all(
+                r["status"] == "ok" for r in group)
             return [finished(first, block, whole, payloads)] if first["record_type"] == "response" else [
                 {"record_id": first["origin"], "record_type": "response", "target_uri": first["target_uri"],
                  "status": "length"}]
@@ -265,7 +303,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if group and (row["origin"] != group[0]["origin"] or row["number"] is None):
+                if group and (row["origin"] != group[0]["origin"] or None in (row["number"], group[0]["number"])):
                     out.extend(close())
                     group = []
                 group.append(row)

@@ -79,3 +79,56 @@ def test_files_are_archives(spark):
 
 def test_empty_table(spark):
     assert read(spark, [])[1].count() == 0
+
+
+def old_record(n, body, **fields):
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    head = {"WARC-Type": "response", "WARC-Record-ID": f"<urn:{n}>", "Content-Length": len(http)} | fields
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + warc.END[2:] + http + warc.END
+
+
+@pytest.mark.parametrize("version", [b"WARC/1.0", b"WARC/1.1", b"WARC/0.18"])
+def test_all_records_of_any_version_are_read(spark, tmp_path, version):
+    bodies = [b"", b"ends in a line\r\n", b"in\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n", b"z" * 70_000, b"last"]
+    for name in "ab":
+        with gzip.open(tmp_path / f"{name}.warc.gz", "wb") as f:
+            f.write(b"".join(old_record(f"{name}{i}", b) for i, b in enumerate(bodies)).replace(b"WARC/1.0", version))
+    bodies = [b.replace(b"WARC/1.0", version) for b in bodies]
+    found = {r["record_id"]: r for r in warc.read_archives(spark, str(tmp_path), payloads=True).collect()}
+    if len(version) == len(b"WARC/1.0"):
+        assert {r["status"] for r in found.values()} == {"ok"}
+    assert {k: bytes(r["payload"]) for k, r in found.items() if not k.endswith("2")} == {
+        f"urn:{name}{i}": b for name in "ab" for i, b in enumerate(bodies) if i != 2}
+
+
+def test_records_cut_off_at_the_end_have_a_row(spark, tmp_path):
+    whole, cut = old_record(1, b"first"), old_record(2, b"second \r\n\r\nWARC/1.0\r\n")
+    for n in range(1, len(cut) - len(warc.END)):
+        if n == len(warc.VERSION):  # only a separator: Spark's reader gives no piece behind it
+            continue
+        rows = list(warc.records_in(iter([("f", p) for p in (whole + cut[:n]).split(warc.SEPARATOR)])))
+        assert [w for *_, w in rows] == [True, False], n
+    for name, n in (("head", 40), ("block", len(cut) - 8)):
+        (tmp_path / f"{name}.warc").write_bytes(whole + cut[:n])
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r["record_id"] or "", r["status"]) for r in rows) == [("", "length"), ("urn:1", "ok"), ("urn:1", "ok"), ("urn:2", "length")]
+
+
+def test_records_in_one_piece_and_wrong_lengths():
+    a, b, c = (old_record(n, b"%d" % n) for n in (1, 2, 3))
+    ids = lambda *pieces: [(f["warc-record-id"], w) for f, _, w in warc.records_in(("f", p) for p in pieces)]
+    assert ids(a + b, c[5:]) == [("<urn:1>", True), ("<urn:2>", True), ("<urn:3>", True)]
+    short = old_record(1, b"too long for its length", **{"Content-Length": 25})
+    assert ids(short + b + c) == [("<urn:1>", False), ("<urn:2>", True), ("<urn:3>", True)]
+    unstated = old_record(1, b"x").replace(b"Content-Length", b"Other")
+    assert ids(unstated + b) == [("<urn:1>", False), ("<urn:2>", True)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_cut_segments_are_reported_once(spark, tmp_path, n):
+    records = [r + warc.END for r in warc.records_of("urn:page:1:d:1", "u", b"z" * 1000, None, "d", 300, 100)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:n - 1]))
+    (tmp_path / "b.warc").write_bytes(records[n - 1][:-60])
+    (tmp_path / "c.warc").write_bytes(b"".join(records[n:]))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [(r["record_id"], r["status"]) for r in rows] == [("urn:page:1:d:1", "length")]
