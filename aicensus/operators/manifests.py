@@ -270,19 +270,24 @@ def gomod_deps(files: DataFrame) -> DataFrame:
 def npm_deps(files: DataFrame) -> DataFrame:
     """dependencies and devDependencies of the top level; the line is that of the quoted name in its section.
 
-    The file is parsed as JSON, so braces in texts and sections nested elsewhere do not matter. A name's line is
-    the first one behind the section's key on which the quoted name and its value stand.
+    The file is parsed as JSON, so braces in texts and sections nested elsewhere do not matter. Of a repeated key the
+    last value counts, as for npm. A name's line is the first one behind the section's key on which the quoted name
+    and its value stand.
     """
     det = "manifest/npm"
     sections = ("dependencies", "devDependencies")
     # A value that is an object or a list is read as its JSON text, which is no version.
     parsed = F.from_json("_text", "struct<" + ",".join(f"{s}:map<string,string>" for s in sections) + ">")
-    entry = lambda s: lambda e: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("spec"))
+    # A map read from JSON holds all entries of a repeated key, in order.
+    later = lambda s, i: F.slice(F.map_keys(f"_json.{s}"), i + 2, F.size(f"_json.{s}"))
+    entry = lambda s: lambda e, i: F.struct(
+        F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("spec"),
+        F.array_contains(later(s, i), e["key"]).alias("repeated"))
     texts = routed(files, det).select("scan_id", "path", text_of(F.col("content")).alias("_text"))
     rows = texts.filter(_json_object(F.col("_text"))).withColumn("_json", parsed).withColumn("_lines", lines_of(F.col("_text"))).select(
         "scan_id", "path", "_lines",
         F.explode(F.flatten(F.filter(F.array(*[
-            F.transform(F.map_entries(f"_json.{s}"), entry(s)) for s in sections]), lambda x: x.isNotNull()))).alias("_d"))
+            F.transform(F.map_entries(f"_json.{s}"), entry(s)) for s in sections]), lambda x: x.isNotNull()))).alias("_d")).filter("NOT _d.repeated")
     name, spec = F.col("_d.name"), F.coalesce("_d.spec", F.lit(""))
     spec = F.when(spec.rlike(r"^[\[{]"), "").otherwise(spec)
     stands = lambda line, key: F.rlike(line, F.concat(F.lit(r'"\Q'), key, F.lit(r'\E"\s*:')))
@@ -303,8 +308,9 @@ def npm_deps(files: DataFrame) -> DataFrame:
 
 
 def _json_object(text: Column) -> Column:
-    """Whether the whole text is one JSON object; a text cut short is none."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    """Whether the text is a JSON object; a text cut short is none. Keys may repeat, which the variant parser refuses."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return F.from_json(text, "map<string,string>", strict).isNotNull()
 
 
 def npm_unknowns(files: DataFrame) -> DataFrame:

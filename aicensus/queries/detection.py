@@ -341,7 +341,7 @@ _SHAPES = {
         ('{"dependencies": {"openai": "@"', []),
         ('', []),
         ('{"openai": "1", "dependencies":\n{"say \\"hi\\"": "1", "openai":\n "@"}}', [(2, 'say "hi"', "1"), (2, "openai", "@")]),
-        ('{"dependencies":{"openai":"@"},\n"devDependencies":{"openai":"@"}}', [(1, "openai", "@"), (2, "openai", "@")]),
+        ('{"dependencies":{"openai":"0","openai":"@"},\n"devDependencies":{"openai":"@"}}', [(1, "openai", "@"), (2, "openai", "@")]),
     ]),
     "requirements": ("requirements.txt", manifests.requirements_deps, [
         ("openai==@", [(1, "openai", "@")]),

@@ -44,6 +44,18 @@ def test_package_json_lines_and_strings(spark):
         ("a", 2, "file:{x}"), ("openai", 2, "2")]
 
 
+def test_package_json_with_repeated_keys(spark):
+    texts = {
+        "a": '{"dependencies":{"a":"1",\n"openai":"2",\n"a":"3"}}',
+        "b": '{"scripts":{"t":"1","t":"2"},"dependencies":{"openai":{"x":1,"x":2}},"devDependencies":{"openai":"4","openai":null}}',
+        "c": '{"dependencies":{"a":"1"},"x":1,\n"dependencies":{"b":"2"}} ',
+        "cut": '{"dependencies":{"a":"1","a":"2"}', "list": '[{"dependencies":{"a":"1"}}]', "quotes": "{'dependencies':{'a':'1'}}"}
+    f = files_frame(spark, [(s, "package.json", t) for s, t in texts.items()])
+    assert sorted((r["scan_id"], r["declared"], r["line"], r["version"]) for r in manifests.npm_deps(f).collect()) == [
+        ("a", "a", 3, "3"), ("a", "openai", 2, "2"), ("b", "openai", 1, ""), ("b", "openai", 1, ""), ("c", "b", 2, "2")]
+    assert sorted(r["scan_id"] for r in manifests.npm_unknowns(f).collect()) == ["cut", "list", "quotes"]
+
+
 CALL = dict(id="sdk/call", kind="library", provider="", languages=["python"], keywords=["chat.create"], pattern=r"chat\.create\(",
             regions=["code"], claim={"name": "acme"}, within_lines=3, param_names=["temperature", "top_p"], confidence=0.7)
 
