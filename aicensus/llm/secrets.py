@@ -8,11 +8,17 @@ advance together, one array step per byte column, so no Python code runs per byt
 
 A rule ends in a repeated class or a literal; the accepting places of a match are its tail, whose
 length the rule bounds below. The start of a match is found by the automaton of the reversed rule.
+
+Own rules may use groups (also ``(?:``), alternatives, ``? * + {m} {m,} {m,n} {,n}``, classes, negated classes, ``.`` and the
+escapes ``\\d \\w \\s \\D \\W \\S \\n \\r \\t \\f \\v \\a \\xHH`` with the meaning of ``re`` with ``re.ASCII``; any other construct
+(anchors, ``\\b``, lazy repeats, look-around, characters beyond ASCII in classes) is a ValueError. Matches of rules with
+negated classes, ``.``, class escapes or counts are the leftmost, longest ones that do not overlap.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,22 +51,43 @@ RULES = (
 )
 
 
+ASCII = frozenset(range(128))
+DIGITS, SPACES = frozenset(b"0123456789"), frozenset(b" \t\n\r\f\v")
+WORDS = DIGITS | frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+CLASSES = {"d": DIGITS, "w": WORDS, "s": SPACES, "D": ASCII - DIGITS, "W": ASCII - WORDS, "S": ASCII - SPACES}
+CONTROLS = {"n": 10, "r": 13, "t": 9, "f": 12, "v": 11, "a": 7}
+_NEXT = ("set", frozenset(range(0x80, 0xC0)))
+# A character beyond ASCII in UTF-8.
+BEYOND = ("or", ("cat", ("set", frozenset(range(0xC2, 0xE0))), _NEXT),
+          ("cat", ("set", frozenset(range(0xE0, 0xF0))), _NEXT, _NEXT),
+          ("cat", ("set", frozenset(range(0xF0, 0xF5))), _NEXT, _NEXT, _NEXT))
+COUNT = re.compile(r"\{(\d*)(,?)(\d*)\}", re.ASCII)
+
+
 class Parser:
-    """A regular expression as nested tuples: ("set", bytes), ("cat", ...), ("or", ...), ("rep", x, low, high)."""
+    """A regular expression as nested tuples: ("set", bytes), ("cat", ...), ("or", ...), ("rep", x, low, high).
+
+    ``general`` tells whether it has constructs whose accepting places need not be the tail of one match.
+    """
 
     def __init__(self, pattern: str, any_case: bool):
-        self.text, self.at, self.any_case = pattern, 0, any_case
+        self.text, self.at, self.any_case, self.general = pattern, 0, any_case, False
 
     def parse(self) -> tuple:
         tree = self.alternatives()
         if self.at != len(self.text):
-            raise ValueError(f"unexpected {self.text[self.at]!r} in {self.text!r}")
+            raise self.error("unexpected character")
         return tree
 
+    def error(self, what: str) -> ValueError:
+        return ValueError(f"{what} at {self.at} in {self.text!r}")
+
     def peek(self) -> str:
         return self.text[self.at:self.at + 1]
 
     def take(self) -> str:
+        if self.at >= len(self.text):
+            raise self.error("unexpected end")
         self.at += 1
         return self.text[self.at - 1]
 
@@ -75,37 +102,111 @@ class Parser:
         parts = []
         while self.peek() and self.peek() not in "|)":
             part = self.atom()
-            while (op := self.peek()) and op in "?*+":
+            if (op := self.peek()) and op in "?*+":
                 self.take()
                 part = ("rep", part, int(op == "+"), 1 if op == "?" else None)
+            elif op == "{":
+                part = self.counted(part)
+            if self.peek() and self.peek() in "?*+{" and self.text[self.at - 1] in "?*+}" and part[0] == "rep":
+                raise self.error("repeat of a repeat is not supported")
             parts.append(part)
         return ("cat", *parts)
 
+    def counted(self, part: tuple) -> tuple:
+        found = COUNT.match(self.text, self.at)
+        if not found or not (found[1] or found[3]):
+            raise self.error("no count; a brace is written with a backslash")
+        low = int(found[1] or 0)
+        high = low if not found[2] else int(found[3]) if found[3] else None
+        if high is not None and high < max(low, 1):
+            raise self.error("count without a match")
+        self.at, self.general = found.end(), True
+        if self.peek() and self.peek() in "?*+{":
+            raise self.error("repeat of a repeat is not supported")
+        more = [("rep", part, 0, None)] if high is None else [("rep", part, 0, 1)] * (high - low)
+        return ("cat", *[part] * low, *more)
+
     def atom(self) -> tuple:
         c = self.take()
         if c == "(":
+            if self.peek() == "?":
+                if self.text[self.at:self.at + 2] != "?:":
+                    raise self.error("group is not supported")
+                self.at += 2
             tree = self.alternatives()
             if self.take() != ")":
-                raise ValueError(f"open group in {self.text!r}")
+                raise self.error("open group")
             return tree
-        if c != "[":
-            return ("set", self.fold({self.literal(c)}))
-        chosen: set[int] = set()
-        while self.peek() != "]":
-            low = high = self.literal(self.take())
-            if self.peek() == "-" and self.text[self.at + 1] != "]":
+        if c in "^$?*+{":
+            raise self.error(f"{c!r} is not supported here")
+        if c == ".":
+            return self.beyond(ASCII - {10})
+        if c == "[":
+            return self.members()
+        if c == "\\" and self.peek() and self.peek() in CLASSES:
+            self.general = True
+            return self.chosen(self.take())
+        code = self.literal(c)
+        if code < 128:
+            return ("set", self.fold({code}))
+        if self.any_case:
+            raise self.error("characters beyond ASCII are not supported in any case")
+        return ("cat", *[("set", frozenset([b])) for b in chr(code).encode("utf-8", "surrogatepass")])
+
+    def beyond(self, chosen: frozenset) -> tuple:
+        """These or a character beyond ASCII."""
+        self.general = True
+        return ("or", ("set", chosen), BEYOND)
+
+    def chosen(self, name: str) -> tuple:
+        return self.beyond(CLASSES[name]) if name.isupper() else ("set", CLASSES[name])
+
+    def members(self) -> tuple:
+        negated = self.peek() == "^"
+        self.at += negated
+        chosen, wide, start = set(), False, self.at
+        while self.peek() != "]" or self.at == start:
+            c = self.take()
+            if c == "[" and self.peek() == ":":
+                raise self.error("named class is not supported")
+            if named := c == "\\" and self.peek() != "" and self.peek() in CLASSES:
+                name = self.take()
+                chosen |= CLASSES[name]
+                wide |= name.isupper()
+                self.general = True
+            else:
+                low = high = self.literal(c)
+            if self.peek() == "-" and self.text[self.at + 1:self.at + 2] != "]":
                 self.take()
-                high = self.literal(self.take())
-            chosen |= set(range(low, high + 1))
+                c = self.take()
+                if named or c == "\\" and self.peek() != "" and self.peek() in CLASSES:
+                    raise self.error("range of a class")
+                high = self.literal(c)
+                if high < low:
+                    raise self.error("empty range")
+            if not named:
+                if high > 127:
+                    raise self.error("characters beyond ASCII are not supported in classes")
+                chosen |= set(range(low, high + 1))
         self.take()
-        return ("set", self.fold(chosen))
+        chosen = self.fold(chosen)
+        if negated:
+            return ("set", ASCII - chosen) if wide else self.beyond(ASCII - chosen)
+        return self.beyond(chosen) if wide else ("set", chosen)
 
     def literal(self, c: str) -> int:
         if c != "\\":
             return ord(c)
         c = self.take()
         if c == "x":
-            return int(self.take() + self.take(), 16)
+            digits = self.take() + self.take()
+            if not re.fullmatch("[0-9A-Fa-f]{2}", digits):
+                raise self.error("no hexadecimal digits")
+            return int(digits, 16)
+        if c in CONTROLS:
+            return CONTROLS[c]
+        if c.isalnum():
+            raise self.error(f"escape of {c!r} is not supported")
         return ord(c)
 
     def fold(self, chosen: set[int]) -> frozenset:
@@ -261,15 +362,21 @@ class Scanner:
     """The compiled rules: fixed size, compiled once by the driver and broadcast."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        trees = [Parser(r.pattern, r.any_case).parse() for r in rules]
+        parsers = [Parser(r.pattern, r.any_case) for r in rules]
+        trees = [p.parse() for p in parsers]
         self.rules, self.dfa = rules, compile_rules(trees)
+        for i, rule in enumerate(rules):
+            if int(self.dfa.accept[0]) >> i & 1:
+                raise ValueError(f"{rule.pattern!r} matches the empty text")
+        self.general = {i: (compile_rules([mirrored(t)]), compile_rules([t], anchored=True))
+                        for i, (p, t) in enumerate(zip(parsers, trees)) if p.general}
         self.back = [compile_rules([mirrored(t)], anchored=True) for t in trees]
         self.bare = [t[0] == "cat" and len(t) == 2 for t in trees]
 
     def scan(self, texts: list[str]) -> Iterator[tuple[list, list]]:
         """For each text: base spans, all spans; (start, rule number, end) in code points, sorted."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        joined = b"\0".join(raw) + b"\0"
+        joined = b"\xff".join(raw) + b"\xff"  # a byte that is in no text and no rule
         data = np.frombuffer(joined, np.uint8)
         masks = accepting(self.dfa, data)
         ends = np.cumsum([len(r) + 1 for r in raw])
@@ -278,6 +385,11 @@ class Scanner:
             hit = np.flatnonzero(masks & (1 << i))
             if not len(hit):
                 continue
+            if i in self.general:
+                for o in np.unique(np.searchsorted(ends, hit, side="right")).tolist():
+                    for start, end in self.leftmost(i, raw[o], int(ends[o]) - len(raw[o]) - 1):
+                        found.setdefault(o, {})[(start, i, end)] = rule.base
+                continue
             new = np.flatnonzero(np.diff(hit) > 1) + 1
             first, last = hit[np.concatenate([[0], new])], hit[np.concatenate([new - 1, [len(hit) - 1]])]
             if self.bare[i]:  # the tail is the match, so short ones hide nothing
@@ -311,6 +423,24 @@ class Scanner:
             placed = sorted((int(count[s - offset]), i, int(count[e - offset]), base) for (s, i, e), base in spans.items())
             yield [x[:3] for x in placed if x[3]], [x[:3] for x in placed]
 
+    def leftmost(self, i: int, data: bytes, offset: int) -> Iterator[tuple[int, int]]:
+        """The leftmost, longest matches of a rule in one text that do not overlap, with a tail as long as it asks."""
+        back, ahead = self.general[i]
+        begins = np.flatnonzero(accepting(back, np.frombuffer(data, np.uint8)[::-1])[::-1])
+        done = 0
+        for start in begins.tolist():
+            if start < done:
+                continue
+            state, first, at = 0, -1, start
+            while at < len(data):
+                state = int(ahead.step[state + data[at]])
+                if state == ahead.dead:
+                    break
+                at += 1
+                if ahead.accept[state >> 8]:
+                    first, done = (at if first < 0 else first), at
+            if done - first + 1 >= self.rules[i].min_tail:
+                yield offset + start, offset + done
 
     def behind(self, i: int, data: bytes, start: int, end: int) -> Iterator[tuple[int, int, int, int]]:
         """A rule's matches from a byte on, each search beginning behind the last match: start, rule, end, tail."""

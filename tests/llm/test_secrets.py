@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from aicensus.llm import secrets
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,3 +56,25 @@ def test_long_text_and_empty_table(docs):
     row = secrets.scan_secrets(docs([(1, text)])).first()
     assert row["spans"] == f"hex:0:640000,access:640001:{len(text)}"
     assert secrets.scan_secrets(docs([])).count() == 0
+
+
+OWN = [r"AKIA[A-Z0-9]{16}", r"k.y", r"[^a-z\s]{2,4}", r"(?:ab|c){2}", r"\d+\.\d{1,}", r"[\w-]{3}:", r"x[^\"]*\"", r"\S{3}", r"[]\x41^-]{1,2}", r"k{,2}y",
+       r"é{2}", r"[^\W\d]+=", r"a.{0,3}b"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("AKIAkyabcx1.é🙂\n\" =:-^]\0Z"), max_size=40), min_size=1, max_size=4))
+def test_own_rules_as_the_expressions(texts):
+    texts = [*texts, "AKIA" + "A1B2C3D4" * 2, "key k\0y"]
+    for text, (found, every) in zip(texts, OWN_SCANNER.scan(texts)):
+        assert found == every == sorted((m.start(), i, m.end()) for i, p in enumerate(OWN) for m in re.finditer(p, text, re.A))
+
+
+OWN_SCANNER = secrets.Scanner(tuple(secrets.Rule(f"r{i}", p, 1, base=True) for i, p in enumerate(OWN)))
+
+
+def test_unsupported_constructs_are_errors():
+    for pattern in (r"^a", "a$", r"\bkey", r"a\B", "a+?", "a{2}?", "a**", "(?i)a", "(?=a)b", r"(a)\1", "a{x}", "a{3,2}", "[a", "(a", "a)", "a\\",
+                    r"\pL", r"\xg0", "[é]", "[[:alpha:]]", r"[\w-z]", "[z-a]", "a*", "", "*a", r"\Aa", "{2}", "a{,}"):
+        with pytest.raises(ValueError):
+            secrets.Scanner((secrets.Rule("own", pattern, 1),))
