@@ -226,8 +226,8 @@ def search(index: DataFrame, items: list[tuple], window: int | None = WINDOW, sl
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about ``block_bytes``, dealt by a hash; one block is on the driver at a time."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
+    """The distinct items in blocks of about ``block_bytes``, dealt by a hash; one block is on the driver at a time."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     count = max(1, -(-int(total) // block_bytes))
     for k in range(count):

@@ -63,3 +63,9 @@ def test_empty_tables(docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.contamination(docs([]), none).count() == 0
     assert [r["n_hit"] for r in d.contamination(docs([(1, "a b")]), none).collect()] == [0]
+
+
+def test_repeated_items_are_in_a_block_once(spark):
+    items = [(i, f"item {i} of some words") for i in range(20)] + [(1, "item 1 of some words"), (None, "no id")] * 300
+    found = list(d.blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 200))
+    assert len(found) == 3 and sorted(map(str, sum(found, []))) == sorted(map(str, set(items)))
