@@ -1,9 +1,9 @@
-"""Near-duplicates: an N-gram Jaccard self-join with a MinHash LSH forest.
+"""Near-duplicates: an N-gram Jaccard self-join with an LSH forest reduced to bands of one fixed depth.
 
 Texts are sets of word shingles. Equal word sequences are folded to one node first, so copies cost nothing
-more. Each node has ``trees`` MinHash signatures; a tree is the sorted trie of the nodes' signatures. Two nodes
-are candidates when a prefix matches in some tree; the matched prefix starts at ``max_depth`` and is shortened
-until a pair at the threshold is found with the target recall. Candidates are verified on the exact sets.
+more. Each node has ``trees`` MinHash signatures. Two nodes are candidates when the prefix of one depth is equal in
+some tree; there are no tries and no descent. The depth is the same for all nodes: the longest up to ``max_depth`` at
+which a pair at the threshold is found with the target recall. Candidates are verified on the exact sets.
 
 Hot prefixes: the nodes under one prefix are dealt into blocks of bounded size and each pair of blocks is one
 cell of work, so no task holds an unbounded group. Prefixes of several trees with the same nodes are one
