@@ -18,10 +18,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def files_frame(spark, rows):
-    """(scan_id, path, bytes or text) rows as a files table."""
-    data = [(s, p, len(c), None, bytearray(c.encode() if isinstance(c, str) else c)) for s, p, c in rows]
-    return spark.createDataFrame(
-        data, "scan_id string, path string, size bigint, mod_time timestamp, content binary")

@@ -3,19 +3,8 @@ import random
 import pytest
 from aicensus.operators import assemble, graph
 from aicensus.plans import pipeline
-from aicensus.schemas import FINDINGS, conform, struct_type
-
-
-def findings(spark, rows):
-    names = [f.name for f in struct_type(FINDINGS).fields]
-    data = [tuple(r.get(n) for n in names) for r in rows]
-    return spark.createDataFrame(data, FINDINGS)
-
-
-def sighting(i, **kw):
-    base = dict(scan_id="s", finding_seq=i, kind="library", name="x", provider="", ecosystem="", path="a", line=1, col=1,
-                detector_id="d", method="source-code-analysis", confidence=0.7, snippet="")
-    return {**base, **kw}
+from aicensus.schemas import conform
+from helpers import findings, sighting
 
 
 @pytest.mark.parametrize("rows, want", [

@@ -6,8 +6,7 @@ from aicensus.plans import pipeline
 from aicensus.reports import inventory
 from aicensus.sources import files
 from aicensus.sources.routing import Selector, route
-from conftest import files_frame
-from test_assemble import findings, sighting
+from helpers import files_frame, findings, sighting
 
 
 def test_read_corpus(spark, tmp_path):

@@ -6,7 +6,7 @@ from aicensus.operators import artifacts, regions, rule_scan, rules
 from aicensus.plans import pipeline
 from aicensus.rulepacks.shipped import SHIPPED
 from aicensus.sources import files, layers
-from conftest import files_frame
+from helpers import files_frame
 
 APP = '''"""Docs: client.chat.completions.create(model="gpt-4")"""
 import chromadb

@@ -5,7 +5,7 @@ import zipfile
 from aicensus.operators import artifacts, manifests, rule_scan, rules
 from aicensus.plans import pipeline
 from aicensus.sources import files
-from conftest import files_frame
+from helpers import files_frame
 from pyspark.sql import functions as F
 
 STACKED = b"\x80\x04\x8c\x02os\x94\x8c\x06system\x94h\x00h\x01\x93."
