@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, ngram_join, quotations, secrets, toxicity, url_lists, warc
+from . import bpe, decontamination, exact_dedup, language_id, ngram_join, quotations, secrets, superminhash, toxicity, url_lists, warc
 from .common import shared_folder, stored, table
 
 
@@ -105,8 +105,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").alias("n_passages"))
 
 
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_copies(table(spark, sf_dir, "documents"), shingle=2)
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_url_lists, op5_language_id,
-                                   op6_decontamination, op7_quotations, op8_exact_dedup, op9_secret_scan, op10_toxicity)}
+                                   op6_decontamination, op7_quotations, op8_exact_dedup, op9_secret_scan, op10_toxicity,
+                                   op13_superminhash)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -194,4 +199,17 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d""",
+    "op13_superminhash": r"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+cut AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 1, 1))) AS i FROM doc WHERE len(w) > 0),
+gram AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 2], ' ') AS g FROM cut),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM gram a JOIN gram b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+part AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN part ON a = doc_id LEFT JOIN size USING (doc_id)""",
 }
