@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, ngram_join, quotations, secrets, superminhash, toxicity, url_lists, warc
+from . import (
+    bpe, decontamination, exact_dedup, language_id, ngram_join, quotations, resampling, secrets, superminhash, toxicity,
+    url_lists, warc, whitening,
+)
 from .common import shared_folder, stored, table
 
 
@@ -105,13 +108,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").alias("n_passages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_n=1)
+
+
 def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_copies(table(spark, sf_dir, "documents"), shingle=2)
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_url_lists, op5_language_id,
                                    op6_decontamination, op7_quotations, op8_exact_dedup, op9_secret_scan, op10_toxicity,
-                                   op13_superminhash)}
+                                   op11_whitening, op12_resampling, op13_superminhash)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -199,6 +210,28 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d""",
+    "op12_resampling": f"""
+WITH crc_row AS (SELECT b, list_reduce([CAST(b AS BIGINT)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+                 FROM range(256) r(b)),
+crc AS (SELECT list(v ORDER BY b) AS v FROM crc_row),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+item AS (SELECT coalesce({_WORDS}, []) AS w FROM benchmark),
+used AS (SELECT DISTINCT f FROM (SELECT unnest(w) AS f FROM doc UNION ALL SELECT unnest(w) FROM item)),
+bytes AS (SELECT f, list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS b FROM used),
+hashed AS (SELECT f, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, v[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS s FROM (SELECT unnest(w) AS f FROM doc) JOIN hashed USING (f) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS f FROM item) JOIN hashed USING (f) GROUP BY 1),
+gain AS (SELECT f, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000)
+    / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000)))) AS BIGINT) AS g
+  FROM hashed LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+sums AS (SELECT r, sum(g) AS weight FROM (SELECT r, unnest(w) AS f FROM doc) JOIN gain USING (f) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM doc LEFT JOIN sums USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST, n) AS place FROM scored WHERE n >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, weight + noise AS score,
+       CASE WHEN place <= (SELECT count(*) * 10 // 100 FROM placed) THEN place END AS rank
+FROM scored LEFT JOIN placed USING (r)""",
     "op13_superminhash": r"""
 WITH RECURSIVE doc AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),

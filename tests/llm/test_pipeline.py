@@ -27,7 +27,7 @@ def test_against_sql(spark, name):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
 
 
