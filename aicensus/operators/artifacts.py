@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import basename
 from ..session import ship_package
 from ..sources.files import has_bytes_at, hex_literal, text_of
-from ..sources.routing import routed, selector
+from ..sources.routing import accepted, routed
 from .assets import parent_name
 
 # Quantization label by GGUF file type.
@@ -131,6 +131,9 @@ _GGUF_INTS = {0, 1, 2, 3, 4, 5, 7, 10, 11}
 class _Short(Exception):
     """The buffer ended before a value did, or a type is unknown."""
 
+    def __init__(self, needed: int | None = None):
+        self.needed = needed  # where the value ends; None where no further byte would help
+
 
 class _Cursor:
     def __init__(self, raw: bytes):
@@ -138,7 +141,7 @@ class _Cursor:
 
     def take(self, n: int) -> bytes:
         if n > len(self.raw) - self.pos:
-            raise _Short
+            raise _Short(self.pos + n)
         self.pos += n
         return self.raw[self.pos - n : self.pos]
 
@@ -175,6 +178,20 @@ def _gguf_value(c: _Cursor, kind: int):
     return None
 
 
+def gguf_header_size(raw: bytes, size: int) -> int | None:
+    """Where the header of a file of ``size`` bytes ends that begins with ``raw``; None where more bytes are needed to tell."""
+    c = _Cursor(raw)
+    try:
+        if c.take(4) == b"GGUF" and c.number("<I") in (2, 3):
+            c.take(8)
+            for _ in range(c.number("<Q")):
+                c.sized()
+                _gguf_value(c, c.number("<I"))
+        return c.pos
+    except _Short as short:  # a value that ends behind the file has no end to read up to
+        return None if short.needed is not None and short.needed <= size else min(len(raw), size)
+
+
 def gguf_header(raw: bytes) -> dict | None:
     """Facts of a GGUF header; metadata that breaks off keeps what was read."""
     c = _Cursor(raw)
@@ -202,7 +219,7 @@ def gguf_header(raw: bytes) -> dict | None:
             elif name and name not in text_keys and kind in _GGUF_INTS:
                 facts[name] = str(min(value, (1 << 63) - 1))
     except _Short:
-        pass
+        facts["broken"] = "the metadata breaks off"
     return facts
 
 
@@ -335,8 +352,8 @@ _READERS = ["modelfile/gguf", "modelfile/onnx", "modelfilex/savedmodel", "modelf
 def artifact_facts(files: DataFrame) -> DataFrame:
     """One Arrow pass over the files of the four walked formats; failures become ``error`` rows."""
     ship_package(files.sparkSession)
-    detector = F.coalesce(*[F.when(selector(d).accepts(), F.lit(d)) for d in _READERS])
-    rows = files.withColumn("_det", detector).filter("_det IS NOT NULL")
+    detector = F.coalesce(*[F.when(accepted(files, d), F.lit(d)) for d in _READERS])
+    rows = routed(files, *_READERS).withColumn("_det", detector).filter("_det IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -435,7 +452,7 @@ def walked_findings(facts: DataFrame, pyfunc: DataFrame | None = None) -> DataFr
         "_danger": danger,
         "model": model_facet(format=F.col("format"), architecture=fact("architecture"), quantization=label,
                              param_count=fact("parameter_count").try_cast("bigint")),
-        "fields": F.map_filter("facts", lambda k, v: ~k.isin("chat_template") & v.isNotNull()),
+        "fields": F.map_filter("facts", lambda k, v: ~k.isin("chat_template", "broken") & v.isNotNull()),
     })
     risks = F.coalesce(
         _risk("RISK-PICKLE-IMPORT", F.col("_danger")),
@@ -466,11 +483,12 @@ def signature_findings(files: DataFrame) -> DataFrame:
     engine = (F.length(c) >= 16) & F.decode(c, "ISO-8859-1").rlike(
         "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x80-\\xff]")
     fmt = (
-        F.when(selector("modelfilex/hdf5").accepts() & has_bytes_at(c, 1, "894844460D0A1A0A"), "hdf5")
-        .when(selector("modelfilex/tflite").accepts() & has_bytes_at(c, 5, "54464C33"), "tflite")
-        .when(selector("modelfilex/tensorrt").accepts() & engine, "tensorrt")
+        F.when(accepted(files, "modelfilex/hdf5") & has_bytes_at(c, 1, "894844460D0A1A0A"), "hdf5")
+        .when(accepted(files, "modelfilex/tflite") & has_bytes_at(c, 5, "54464C33"), "tflite")
+        .when(accepted(files, "modelfilex/tensorrt") & engine, "tensorrt")
     )
-    rows = files.withColumn("_fmt", fmt).filter("_fmt IS NOT NULL").withColumn(
+    wanted = routed(files, "modelfilex/hdf5", "modelfilex/tflite", "modelfilex/tensorrt")
+    rows = wanted.withColumn("_fmt", fmt).filter("_fmt IS NOT NULL").withColumn(
         "model", model_facet(format=F.col("_fmt"))
     ).withColumn("risks", F.when(F.col("_fmt") == "hdf5", _risk("RISK-KERAS-LAMBDA", keras_lambda(c))))
     confidence = F.when(F.col("_fmt") == "hdf5", 0.85).when(F.col("_fmt") == "tflite", 0.9).otherwise(0.7)

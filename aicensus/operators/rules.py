@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, fold_literal, lines_of, snippet, utf16_length
 from ..schemas import RELATION_TYPES, RULES
-from ..session import collect_config
-from ..sources.files import text_of
+from ..session import collect_config, stored
+from ..sources import corpus
+from ..sources.files import language_of, text_of
 from .risks import RISK_CATALOG
 
 # Kinds and languages a rule may name.
@@ -190,15 +191,49 @@ def match_lines(files: DataFrame, rules: list[dict], any_language: bool = True)
     """
     text = text_of(F.col("content"))
     folded = files.withColumn("_text", text).withColumn("_folded", fold(F.col("_text")))
+    gated = folded.withColumn("_gates", keyword_gates(rules, any_language)).filter(F.exists("_gates", lambda g: g))
+    return match_gated(gated, rules)
+
+
+def keyword_gates(rules: list[dict], any_language: bool) -> Column:
+    """For each rule whether a row's language and folded text (``_folded``) let it run."""
     gates = []
     for r in rules:
         gate = F.lit(False)
         for kw in r["keywords"]:
             gate = gate | F.col("_folded").contains(fold_literal(kw))
         gates.append(language_open(r["languages"], any_language) & gate)
-    gated = folded.withColumn("_gates", F.array(*gates)).filter(F.exists("_gates", lambda g: g))
+    return F.array(*gates)
+
+
+def match_pieces(spark: SparkSession, cuts: DataFrame, root: str, rules: list[dict], *, scan_id: str | None = None,
+                 any_language: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``match_lines`` over files of any size, given as pieces of whole lines (``corpus.line_cuts``): (matches, unknowns).
+
+    A rule's keywords open a whole file, so a first pass reads the pieces for their gates (a keyword may lie across a
+    border: each piece is seen with the text in front of it) and a second reads those of files that some rule may match.
+    """
+    cuts = stored(cuts, "line-cuts").withColumn("language", language_of(F.col("path")))
+    longest = max((len(fold_literal(k).encode()) for r in rules for k in r["keywords"]), default=1)
+    read = corpus.line_pieces(cuts, root, scan_id=scan_id, before_bytes=longest)
+    seen = read.withColumn("_folded", fold(text_of(F.concat("before", "content"))))
+    seen = stored(seen.select("scan_id", "path", "start", "error", F.when(F.col("error").isNull(), keyword_gates(
+        rules, any_language)).alias("g")), "piece-gates")
+    gates = seen.groupBy("scan_id", "path").agg(F.array(*[
+        F.coalesce(F.bool_or(F.col("g")[i]), F.lit(False)) for i in range(len(rules))]).alias("_gates")).filter(F.exists("_gates", lambda g: g))
+    pieces = corpus.line_pieces(cuts.join(gates, ["scan_id", "path"]).repartition("scan_id", "path", "start"), root, scan_id=scan_id)
+    # A piece ends with its last line's end, which would be one more, empty line.
+    body = F.regexp_replace(text_of(F.col("content")), r"\n\z", "")
+    found = match_gated(pieces.filter("error IS NULL").withColumn("_text", body), rules, F.col("first_line"))
+    return found, seen.filter("error IS NOT NULL").select(
+        "scan_id", "path", F.lit("reader").alias("detector_id"), F.col("error").alias("reason"))
+
+
+def match_gated(gated: DataFrame, rules: list[dict], first_line: Column | int = 1) -> DataFrame:
+    """The matches of rows with ``_text`` and the ``_gates`` of each rule; ``first_line`` is the number of a row's first line."""
+    first = F.lit(first_line) if isinstance(first_line, int) else first_line
     lines = gated.select(
-        "scan_id", "path", "_gates", F.posexplode(lines_of(F.col("_text"))).alias("_i", "text")
+        "scan_id", "path", "_gates", first.alias("_first"), F.posexplode(lines_of(F.col("_text"))).alias("_i", "text")
     )
     per_rule = []
     for i, r in enumerate(rules):
@@ -209,7 +244,7 @@ def match_lines(files: DataFrame, rules: list[dict], any_language: bool = True)
             F.struct(F.lit(i).alias("rule_no"), F.lit(r["id"]).alias("rule_id"), found.alias("found")),
         ))
     hits = lines.select(
-        "scan_id", "path", (F.col("_i") + 1).alias("line"), "text",
+        "scan_id", "path", (F.col("_i") + F.col("_first")).alias("line"), "text",
         F.explode(F.filter(F.array(*per_rule), lambda h: h.isNotNull())).alias("h"),
     )
     # Start of the n-th match: search for its text after the end of the one before.

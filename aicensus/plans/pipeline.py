@@ -19,8 +19,9 @@ from ..operators.controls import control_evidence, control_outcomes, tag_compone
 from ..operators.gate import gate_verdicts, min_confidence, parse_gate
 from ..schemas import FINDINGS, UNKNOWNS, conform
 from ..session import stored
-from ..sources.files import prepare, split_failures, text_of, truncations
-from ..sources.routing import SELECTORS, Selector, routed, select_detectors
+from ..sources import corpus
+from ..sources.files import language_of, prepare, split_failures, text_of, truncations
+from ..sources.routing import ROUTES, SELECTORS, routed, select_detectors, with_routes
 
 _PROJECT = ["project/adapter", "project/configbind", "project/hfdir", "project/raglink"]
 _RANKS = {d: i for i, d in enumerate([*[s.detector_id for s in SELECTORS], *_PROJECT])}
@@ -60,11 +61,12 @@ def detect_files(files: DataFrame, rules: list[dict], any_language: bool = False
     if on(*[s.detector_id for s in SELECTORS if "modelfile" in s.tags]):
         facts = artifacts.artifact_facts(files)
         parts.append(_finish(artifacts.artifact_findings(files, facts), 1))
-        unknowns.append(facts.filter("error IS NOT NULL").select(
-            "scan_id", "path", "detector_id", F.col("error").alias("reason")))
+        reason = F.coalesce("error", F.try_element_at("facts", F.lit("broken")))
+        unknowns.append(facts.select("scan_id", "path", "detector_id", reason.alias("reason")).filter("reason IS NOT NULL"))
         unknowns.append(artifacts.safetensors_unknowns(routed(files, "modelfile/safetensors")))
     if rules and on("ruleengine"):
-        matches = rule_scan.scan_rules(files, rules, any_language)
+        wanted = files if any_language or ROUTES not in files.columns else routed(files, "ruleengine")
+        matches = rule_scan.scan_rules(wanted, rules, any_language)
         parts.append(_finish(rule_scan.match_findings(matches), 1, "match_seq"))
         unknowns.append(split_failures(matches.select("scan_id", "path", "error"), "ruleengine")[1])
     findings = reduce(DataFrame.unionByName, parts)
@@ -84,12 +86,19 @@ def detect_projects(files: DataFrame, findings: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [_finish(p, 2) for p in parts])
 
 
-def routed_files(prepared: DataFrame, selectors: list[Selector] | None = None) -> DataFrame:
-    """Only files some detector reads: the small part of a corpus worth staging."""
-    selectors = SELECTORS if selectors is None else selectors
-    wanted = reduce(lambda a, b: a | b, [s.accepts() for s in selectors])
-    return prepared.filter(wanted | F.col("path").rlike(_PROJECT_FILES) | F.col("path").rlike(
-        r"\.(?:safetensors|bin|gguf)$"))
+_WEIGHTS = r"\.(?:safetensors|bin|gguf)$"
+_ROW_GROUP = 8 << 20
+
+
+def project_file() -> Column:
+    """Files that the detectors across a scan read."""
+    return F.col("path").rlike(_PROJECT_FILES) | F.col("path").rlike(_WEIGHTS)
+
+
+def routed_files(prepared: DataFrame, everything: bool = False) -> DataFrame:
+    """The files with their routes, each selector evaluated once; only files that some detector reads, or all."""
+    rows = with_routes(prepared, {"project": project_file()})
+    return rows if everything else rows.filter(F.col(ROUTES) != "")
 
 
 def detect(
@@ -101,26 +110,45 @@ def detect(
 
     ``detectors`` is a set of ids or a selection expression (see ``select_detectors``). A user detector maps the
     files to findings rows; snippets it leaves out are filled from the line it names.
+
+    The files are routed once and stored by the set of detectors that read them; each detector reads its partitions.
     """
     if isinstance(detectors, str):
         detectors = {s.detector_id for s, _ in select_detectors(detectors)}
     prepared = prepare(files, max_bytes, user_globs)
-    if not any_language and not user_detectors:
-        prepared = routed_files(prepared)
     if stage:
-        prepared = stored(prepared, "routed-files")
+        prepared = stored(routed_files(prepared, any_language or bool(user_detectors)), "routed-files", (ROUTES,), _ROW_GROUP)
     findings, unknowns = detect_files(prepared, rules, any_language, detectors)
     for detector in user_detectors:
-        findings = findings.unionByName(fill_snippets(_finish(detector(prepared), 1), prepared))
+        findings = findings.unionByName(fill_snippets(_finish(detector(prepared.drop(ROUTES)), 1), prepared))
     if stage:
         findings = stored(findings, "findings")
     if detectors is None or any(d in detectors for d in _PROJECT):
-        findings = findings.unionByName(detect_projects(prepared, findings))
+        held = prepared.filter(F.col(ROUTES).contains("|project|")) if stage else prepared
+        findings = findings.unionByName(detect_projects(held, findings))
     if max_bytes is not None:
         unknowns = unknowns.unionByName(conform(truncations(prepared), UNKNOWNS))
     return findings, unknowns
 
 
+def detect_corpus(
+    spark, root: str, rules: list[dict], *, scan_id: str | None = None, user_globs: tuple[str, ...] = (),
+    any_language: bool = False, fan_out: int = 1, **options,
+):
+    """A folder of files -> (findings, unknowns). Only files that a detector could read by path are opened.
+
+    Files that cannot be read are unknowns. See ``sources.corpus`` for what of a file is read.
+    """
+    listing = corpus.list_corpus(spark, root, scan_id, user_globs, fan_out)
+    if not any_language and not options.get("user_detectors"):
+        wanted = reduce(lambda a, b: a | b, [s.accepts(by_content=False) for s in SELECTORS])
+        listing = listing.withColumn("language", language_of(F.col("path"))).filter(wanted | project_file())
+    # What was read is stored, so that errors and contents come from one pass over the corpus.
+    read = stored(corpus.read_listed(listing, root, scan_id=scan_id), "corpus", (), _ROW_GROUP)
+    findings, unknowns = detect(read.filter("error IS NULL").drop("error"), rules, any_language=any_language, **options)
+    return findings, unknowns.unionByName(conform(corpus.unreadable(read), UNKNOWNS))
+
+
 class Inventory:
     """Flat inventory tables, each planned when first asked for.
 

@@ -87,15 +87,17 @@ def drop_ignored(files: DataFrame, user_globs: tuple[str, ...] = ()) -> DataFram
 def cap_content(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Whole content, or at most ``max_bytes`` of it where the caller asks for that.
 
-    ``truncated`` tells that bytes were left out (see ``truncations``); SHA-256 only for whole files.
+    ``truncated`` tells that bytes were left out (see ``truncations``); SHA-256 only for whole files. A file of which
+    the reader took the header only (``partial``) is not cut off, but has no SHA-256 either.
     """
+    whole = ~F.col("partial") if "partial" in files.columns else F.lit(True)
     if max_bytes is None:
-        return files.withColumn("truncated", F.lit(False)).withColumn("sha256", F.sha2("content", 256))
+        return files.withColumn("truncated", F.lit(False)).withColumn("sha256", F.when(whole, F.sha2("content", 256))).drop("partial")
     over = F.length("content") > max_bytes
     return (
         files.withColumn("truncated", over)
-        .withColumn("sha256", F.when(~over, F.sha2("content", 256)))
-        .withColumn("content", F.substring("content", 1, max_bytes))
+        .withColumn("sha256", F.when(whole & ~over, F.sha2("content", 256)))
+        .withColumn("content", F.substring("content", 1, max_bytes)).drop("partial")
     )
 
 

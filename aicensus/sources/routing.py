@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ class Selector:
     max_size: int = 0  # a limit only where a caller sets one
     tags: tuple[str, ...] = field(default=())
 
-    def accepts(self) -> Column:
-        """The selector as one predicate over a ``files`` row."""
+    def accepts(self, by_content: bool = True) -> Column:
+        """The selector as one predicate over a ``files`` row; without content, over its path, size and language."""
         path = F.col("path")
         dims: list[Column] = []
         ways: list[Column] = []
@@ -44,7 +45,7 @@ class Selector:
             dims.append(F.col("size") <= self.max_size)
         if self.languages:
             dims.append(F.col("language").isin(*self.languages))
-        if self.magics:
+        if self.magics and by_content:
             hit = F.lit(False)
             for offset, digits in self.magics:
                 hit = hit | F.coalesce(has_bytes_at(F.col("content"), offset + 1, digits), F.lit(False))
@@ -110,9 +111,25 @@ def selector(detector_id: str) -> Selector:
     return next(s for s in SELECTORS if s.detector_id == detector_id)
 
 
-def routed(files: DataFrame, detector_id: str) -> DataFrame:
-    """Files one detector reads."""
-    return files.filter(selector(detector_id).accepts())
+# The column of a stored files table that tells which detectors read a file: "|id|id|", the partition of its rows.
+ROUTES = "_routes"
+
+
+def accepted(files: DataFrame, detector_id: str) -> Column:
+    """Whether a detector reads a row: looked up where the files were routed, evaluated otherwise."""
+    return F.col(ROUTES).contains(f"|{detector_id}|") if ROUTES in files.columns else selector(detector_id).accepts()
+
+
+def routed(files: DataFrame, *detector_ids: str) -> DataFrame:
+    """Files that one of the detectors reads. Of a stored table only the partitions that hold them."""
+    return files.filter(reduce(lambda a, b: a | b, [accepted(files, d) for d in detector_ids]))
+
+
+def with_routes(files: DataFrame, extra: dict[str, Column], selectors: list[Selector] | None = None) -> DataFrame:
+    """Every selector evaluated once, as ROUTES; ``extra`` names further readers. No reader: ''."""
+    ways = {s.detector_id: s.accepts() for s in (SELECTORS if selectors is None else selectors)} | extra
+    ids = F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in ways.items()]), lambda i: i.isNotNull())
+    return files.withColumn(ROUTES, F.when(F.size(ids) > 0, F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|"))).otherwise(""))
 
 
 def route(files: DataFrame, selectors: list[Selector] | None = None) -> DataFrame:
