@@ -41,7 +41,7 @@ class LiteralIndex:
         slots: set[int] = set()
         for shift in range(min(4, max(0, len(text) - 3))):
             found = _slots(np.frombuffer(text, "<u4", (len(text) - shift) // 4, shift))
-            slots.update(np.unique(found[self.table[found]]).tolist())
+            slots.update(found[self.table[found]].tolist())
         return [*self.short, *(i for s in slots for i in self.owners[s])]
 
     def present(self, text: bytes) -> list[int]:

@@ -692,6 +692,22 @@ def layer_squash(spark, sf):
     return layers.visible_versions(e)
 
 
+@query(
+    "WITH e AS (SELECT source AS image, doc_id % 4 AS layer_idx, doc_id AS entry_seq, 'd/f' || (IDIV(doc_id, 4) % 50) AS path, text, "
+    "doc_id % 11 = 0 AS gone FROM documents), "
+    "f AS (SELECT image, path, max(layer_idx) AS layer_idx FROM e WHERE NOT gone GROUP BY ALL), "
+    "w AS (SELECT image, path, max(layer_idx) AS out FROM e WHERE gone GROUP BY ALL) "
+    "SELECT image, path, layer_idx, min(entry_seq) AS entry_seq, sha256(arg_min(text, entry_seq)) AS sha256 FROM e JOIN f USING (image, path, layer_idx) "
+    "LEFT JOIN w USING (image, path) WHERE NOT gone AND (out IS NULL OR out <= layer_idx) GROUP BY ALL")
+def squash_payloads(spark, sf):
+    """Documents as files of image layers, some removed again: digests of the payloads that the squashed image holds."""
+    name = "concat('f', CAST(IDIV(doc_id, 4) % 50 AS STRING))"
+    entries = table(spark, sf, "documents").selectExpr(*map(spark_sql, (
+        "source AS image", "doc_id % 4 AS layer_idx", "doc_id AS entry_seq", "'file' AS type",
+        f"CASE WHEN doc_id % 11 = 0 THEN concat('./d/.wh.', {name}) ELSE concat('/d/./', {name}) END AS path", "encode(text, 'UTF-8') AS content")))
+    return layers.squash_layers(entries).select("image", "path", "layer_idx", "entry_seq", F.sha2("content", 256).alias("sha256"))
+
+
 @query("SELECT p_partkey, " + pick("p_partkey", ["a/c", "c", "a/b", "", "x"]) + " AS path FROM part")
 def clean_paths(spark, sf):
     raw = F.expr(pick("p_partkey", ["a/./b/../c", "../../c", "/a//b/", "a/..", "\\\\\\\\x"]))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, ship_package, stored
+from .corpus import open_root
+
 OPAQUE_MARKER = ".wh..wh..opq"
 WHITEOUT_PREFIX = ".wh."
 
@@ -41,12 +48,15 @@ def ancestors(path: Column) -> Column:
     )
 
 
+def cleaned(entries: DataFrame) -> DataFrame:
+    """The entries with clean paths, in two steps, so that the second reads the first's result instead of repeating it."""
+    return entries.withColumn("path", plain_path(F.col("path"))).withColumn("path", fold_parents(F.col("path")))
+
+
 def _marked(entries: DataFrame) -> DataFrame:
     base = F.substring_index("path", "/", -1)
     return (
-        # Two steps, so that the second reads the first's result instead of repeating it.
-        entries.withColumn("path", plain_path(F.col("path")))
-        .withColumn("path", fold_parents(F.col("path")))
+        cleaned(entries)
         .filter(F.col("path") != "")
         .withColumn("_base", base)
         .withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
@@ -98,7 +108,9 @@ def visible_versions(entries: DataFrame, whiteout_hides_subtree: bool = False) -
             F.max("layer_idx").alias("hidden_in"))
         opaque = opaque.unionByName(subtree).groupBy("image", "dir").agg(F.max("hidden_in").alias("hidden_in"))
     hidden = (
-        visible.select("image", "path", "layer_idx", F.explode(ancestors(F.col("path"))).alias("dir"))
+        # Only images with an opaque directory below which something could be hidden list their files' ancestors.
+        visible.join(opaque.groupBy("image").agg(F.max("hidden_in").alias("_any")), "image").filter("_any > layer_idx")
+        .select("image", "path", "layer_idx", F.explode(ancestors(F.col("path"))).alias("dir"))
         .join(opaque, ["image", "dir"])
         .filter(F.col("hidden_in") > F.col("layer_idx"))
         .select("image", "path")
@@ -107,9 +119,80 @@ def visible_versions(entries: DataFrame, whiteout_hides_subtree: bool = False) -
     return visible.join(hidden, ["image", "path"], "left_anti")
 
 
-def squash_layers(entries: DataFrame, whiteout_hides_subtree: bool = False) -> DataFrame:
-    """The visible entries with their payload columns, which travel through one join only."""
-    keys = ["image", "path", "layer_idx", "entry_seq"]
-    keep = visible_versions(entries, whiteout_hides_subtree)
-    named = entries.withColumn("path", clean_path(F.col("path"))).filter("type = 'file'")
-    return named.join(keep, keys, "left_semi")
+# A handle tells where a payload lies: a file, the first byte and the number of bytes.
+HANDLE = ["blob", "offset", "length"]
+
+
+def pack_payloads(entries: DataFrame, payload: str = "content") -> DataFrame:
+    """The entries with handles in place of payloads, which each task writes one after the other into a blob of its own.
+
+    Narrow: a payload is written once and crosses no shuffle. A repeated task writes a new blob; only the handles of the
+    attempt that succeeded are stored. A null payload has a null handle. Layers that are files already need no packing.
+    """
+    ship_package(entries.sparkSession)
+    folder = shared_folder(entries.sparkSession, "payloads")
+    kept = [f for f in entries.schema.fields if f.name != payload]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at = uuid.uuid4().hex, 0
+        system, base = open_root(folder)
+        system.create_dir(base)
+        with system.open_output_stream(f"{base}/{name}") as out:
+            for batch in batches:
+                rows = []
+                for raw in batch.column(len(kept)):
+                    raw = raw.as_py()
+                    rows.append((name, at, len(raw)) if raw is not None else (None, None, None))
+                    if raw:
+                        out.write(raw)
+                        at += len(raw)
+                columns = list(zip(*rows)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(kept)], *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64())))],
+                    names=[*(f.name for f in kept), *HANDLE])
+
+    packed = entries.select(*(f.name for f in kept), payload).mapInArrow(run, f"{shape}, blob string, offset bigint, length bigint")
+    return stored(packed.withColumn("blob", F.concat(F.lit(f"{folder}/"), "blob")), "entries")
+
+
+def fetch_payloads(rows: DataFrame, payload: str = "content") -> DataFrame:
+    """The rows with the payloads that their handles name, read in the order in which they lie."""
+    ship_package(rows.sparkSession)
+    kept = [f for f in rows.schema.fields if f.name not in HANDLE]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blob = source = None
+        for batch in batches:
+            start, held, out = 0, 0, []
+            for i, (name, offset, length) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(kept):]))):
+                if name is not None and name != blob:
+                    if source is not None:
+                        source.close()
+                    root, _, file = name.rpartition("/")
+                    system, base = open_root(root)
+                    blob, source = name, system.open_input_file(f"{base}/{file}")
+                out.append(None if name is None else source.read_at(length, offset))
+                held += length or 0
+                if held >= 32 << 20 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(out)) for c in batch.columns[:len(kept)]), pa.array(out, pa.binary())],
+                                                     names=[*(f.name for f in kept), payload])
+                    start, held, out = i + 1, 0, []
+
+    placed = rows.select(*(f.name for f in kept), *HANDLE).repartitionByRange("blob", "offset").sortWithinPartitions("blob", "offset")
+    return placed.mapInArrow(run, f"{shape}, `{payload}` binary")
+
+
+def squash_layers(entries: DataFrame, whiteout_hides_subtree: bool = False, payload: str = "content") -> DataFrame:
+    """The visible entries with all their columns, paths cleaned.
+
+    Entries that hold a payload are packed first, and the payloads of the visible ones fetched when these are known, so
+    that no payload crosses a shuffle. Entries with handles instead keep them; see ``fetch_payloads``.
+    """
+    inline = payload in entries.columns
+    rows = pack_payloads(entries, payload) if inline else entries
+    keep = visible_versions(rows, whiteout_hides_subtree)
+    named = cleaned(rows).filter("type = 'file'")
+    found = named.join(keep, ["image", "path", "layer_idx", "entry_seq"], "left_semi")
+    return fetch_payloads(found, payload).select(*entries.columns) if inline else found

@@ -4,8 +4,12 @@ import zipfile
 import pytest
 from aicensus.operators import artifacts, regions, rule_scan, rules
 from aicensus.plans import pipeline
+from aicensus.operators.literals import LiteralIndex
 from aicensus.rulepacks.shipped import SHIPPED
+from aicensus.session import stored
 from aicensus.sources import files, layers
+from aicensus.sources.files import prepare
+from aicensus.sources.routing import ROUTES, routed
 from helpers import files_frame
 
 APP = '''"""Docs: client.chat.completions.create(model="gpt-4")"""
@@ -93,3 +97,39 @@ def test_layers(spark):
     shown = lambda **kw: {(r["path"], r["layer_idx"]) for r in layers.squash_layers(e, **kw).collect()}
     assert shown() == {("a/x", 1), ("a/d/y", 0)}
     assert shown(whiteout_hides_subtree=True) == {("a/x", 1)}
+
+
+def test_payloads_cross_no_shuffle(spark):
+    """Payloads are written once and read for visible entries only; the squash itself moves narrow rows."""
+    e = spark.createDataFrame([("i", 0, 1, "a", "file", bytearray(b"old"), 7), ("i", 1, 2, "./a", "file", bytearray(b"new"), 8), ("i", 0, 3, "b/.", "file", bytearray(b""), 9),
+                               ("i", 0, 4, "c", "file", None, 10), ("i", 1, 5, ".wh.b", "file", bytearray(b"x"), 11), ("j", 0, 6, "b", "file", bytearray(b"j" * 70000), 12)],
+                              "image string, layer_idx int, entry_seq long, path string, type string, content binary, mode int").repartition(3)
+    shown = layers.squash_layers(e)
+    assert shown.columns == e.columns
+    got = {(r["image"], r["path"]): (r["content"], r["mode"]) for r in shown.collect()}
+    assert got == {("i", "a"): (b"new", 8), ("i", "c"): (None, 10), ("j", "b"): (b"j" * 70000, 12)}
+    packed = layers.pack_payloads(e)
+    assert set(layers.HANDLE) <= set(packed.columns) and "content" not in packed.columns
+    plan = layers.squash_layers(packed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan and "Join" in plan
+    below = shown._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1]
+    assert "content" not in below and "blob" in below  # the fetch moves and sorts handles
+
+
+def test_detectors_read_their_partitions(spark):
+    """Selectors are evaluated when the files are routed and never again."""
+    f = files_frame(spark, [("s", "requirements.txt", "openai==1\n"), ("s", "package.json", "{}"), ("s", "x.go", "package x"), ("s", "notes.md", "n")])
+    held = stored(pipeline.routed_files(prepare(f)), "routed", (ROUTES,))
+    assert {(r["path"], r[ROUTES]) for r in held.collect()} == {
+        ("requirements.txt", "|manifest/pypi-requirements|"), ("package.json", "|manifest/npm|"), ("x.go", "|gosrc/ast|ruleengine|")}
+    for detector in ("manifest/npm", "gosrc/ast"):
+        plan = routed(held, detector)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and f"|{detector}|" in plan and "regexp" not in plan.lower() and "rlike" not in plan.lower()
+
+
+def test_literal_index():
+    words = [b"openai", b"ai", b"", b"import torch", b"torch", b"\xff\xfe\xfd\xfc"]
+    index = LiteralIndex(words)
+    for text in (b"", b"a", b"xopenaix", b"import  torch", b"import torch", b"OPENAI", b"\0\xff\xfe\xfd\xfc", b"torc", b"zzzz" * 5000 + b"openai"):
+        assert [index.literals[i] for i in index.present(text)] == [w for w in index.literals if w in text], text
+        assert index.any(text) == any(w in text for w in words)
