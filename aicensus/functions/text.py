@@ -69,6 +69,12 @@ def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\r\n", "\n"), "\n")
 
 
+def json_object(text: Column) -> Column:
+    """Whether the text is a JSON object; a text cut short is none. Keys may repeat, which the variant parser refuses."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return F.from_json(text, "map<string,string>", strict).isNotNull()
+
+
 def pep503(name: Column) -> Column:
     """Python distribution-name normalization."""
     return F.regexp_replace(F.lower(name), r"[-_.]+", "-")

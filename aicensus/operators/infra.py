@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, strip
 from ..sources.files import text_of
 from ..sources.routing import routed
-from .manifests import file_lines, so_far
+from .manifests import folded_lines, line_array
 
 # Image signatures in match order, and environment variables of serving tools.
 IMAGE_SIGNATURES = [
@@ -36,11 +36,6 @@ GO_MODULES = [
 ]
 
 
-def whole_file():
-    return W.partitionBy("scan_id", "path")
-
-
-
 def image_tool(ref: Column) -> Column:
     """Serving tool named by an image reference; null if none."""
     out = F.lit(None).cast("string")
@@ -61,94 +56,89 @@ def model_id_value(assignment: Column) -> Column:
     return F.when((key == "MODEL_ID") & ok, value)
 
 
-def _config_lines(files: DataFrame, detector_id: str) -> DataFrame:
-    return file_lines(routed(files, detector_id)).filter(~F.col("text").rlike("^(#|$)"))
+# What a line of a Dockerfile or a compose file can contribute.
+_LINE = "struct<line:int,raw:string,opens:boolean,tool:string,port:string,env_text:string,model_id:string>"
+
+
+def _config_lines(files: DataFrame, detector_id: str, read: Callable[[Column, Column], Column]) -> DataFrame:
+    """scan_id, path and ``lines``: what each line that is no comment contributes, in one array."""
+    rows = line_array(routed(files, detector_id))
+    told = F.transform(F.filter("lines", lambda x: ~x["text"].rlike("^(#|$)")), lambda x: read(x, x["text"]))
+    return rows.select("scan_id", "path", told.cast(f"array<{_LINE}>").alias("lines"))
 
 
 def dockerfile_lines(files: DataFrame) -> DataFrame:
-    """Instruction lines with what each could contribute."""
-    rows = _config_lines(files, "infra/dockerfile")
-    word = F.upper(F.regexp_extract("text", r"^([^ ]*)", 1))
-    arg = F.regexp_extract("text", r"^[^ ]* (.*)$", 1)
-    port = F.element_at(F.filter(
-        F.transform(F.split(strip(arg), r"\s+"), lambda p: F.regexp_extract(p, r"^([0-9]+)(?:/.*)?$", 1)),
-        lambda p: p != "",
-    ), 1)
-    return rows.select(
-        "scan_id", "path", "line", "raw",
-        (word == "FROM").alias("opens"),
-        F.when(word == "FROM", image_tool(arg)).alias("tool"),
-        F.when((word == "EXPOSE") & arg.rlike(r"(?:^|\s)[0-9]+(?:/\S*)?(?:\s|$)"), port).alias("port"),
-        F.when(word == "ENV", F.col("text")).alias("env_text"),
-        F.when(word == "ENV", model_id_value(arg)).alias("model_id"),
-        F.lit(True).alias("lone_env"),
-    )
+    def read(line: Column, text: Column) -> Column:
+        word = F.upper(F.regexp_extract(text, r"^([^ ]*)", 1))
+        arg = F.regexp_extract(text, r"^[^ ]* (.*)$", 1)
+        ports = F.filter(F.transform(F.split(strip(arg), r"\s+"), lambda p: F.regexp_extract(p, r"^([0-9]+)(?:/.*)?$", 1)), lambda p: p != "")
+        return F.struct(
+            line["line"].alias("line"), line["raw"].alias("raw"), (word == "FROM").alias("opens"), F.when(word == "FROM", image_tool(arg)).alias("tool"),
+            F.when((word == "EXPOSE") & arg.rlike(r"(?:^|\s)[0-9]+(?:/\S*)?(?:\s|$)"), F.get(ports, F.lit(0))).alias("port"),
+            F.when(word == "ENV", text).alias("env_text"), F.when(word == "ENV", model_id_value(arg)).alias("model_id"))
+
+    return _config_lines(files, "infra/dockerfile", read)
 
 
 def compose_lines(files: DataFrame) -> DataFrame:
-    rows = _config_lines(files, "infra/compose")
-    t = F.col("text")
-    image = t.startswith("image:")
-    ref = F.regexp_replace(strip(F.regexp_replace(t, "^image:", "")), "^[\"']+|[\"']+$", "")
-    item = F.when(t.startswith("-"), F.regexp_replace(strip(F.expr("substring(text, 2)")), "^[\"']+|[\"']+$", ""))
-    port = F.nullif(F.regexp_extract(item, r"^([0-9]+)(?:/[^:]*)?(?::|$)", 1), F.lit(""))
-    return rows.select(
-        "scan_id", "path", "line", "raw",
-        image.alias("opens"),
-        F.when(image, image_tool(ref)).alias("tool"),
-        port.alias("port"),
-        F.when(~image & port.isNull(), t).alias("env_text"),
-        model_id_value(strip(F.regexp_replace(t, "^-", ""))).alias("model_id"),
-        F.lit(False).alias("lone_env"),
-    )
+    def read(line: Column, text: Column) -> Column:
+        image = text.startswith("image:")
+        bare = lambda c: F.regexp_replace(strip(c), "^[\"']+|[\"']+$", "")
+        item = F.when(text.startswith("-"), bare(F.substring(text, 2, 1 << 30)))
+        port = F.nullif(F.regexp_extract(item, r"^([0-9]+)(?:/[^:]*)?(?::|$)", 1), F.lit(""))
+        return F.struct(
+            line["line"].alias("line"), line["raw"].alias("raw"), image.alias("opens"),
+            F.when(image, image_tool(bare(F.regexp_replace(text, "^image:", "")))).alias("tool"), port.alias("port"),
+            F.when(~image & port.isNull(), text).alias("env_text"), model_id_value(strip(F.regexp_replace(text, "^-", ""))).alias("model_id"))
+
+    return _config_lines(files, "infra/compose", read)
+
 
+_LAST = (1 << 31) - 1
 
-def serving_hits(lines: DataFrame) -> DataFrame:
+
+def serving_hits(lines: DataFrame, lone_env: bool) -> DataFrame:
     """One row per serving tool of a file: where it was named, endpoint and environment keys.
 
-    A stage (or service) runs from one opening line to the next. A tool counts once per file,
-    at its first line; ports and variables go to the tool of their own stage. A lone
-    OLLAMA_HOST counts in a stage that names no new tool. All windows partition by file.
+    A stage (or service) runs from one opening line to the next. A tool counts once per file, at its first line; ports and
+    variables go to the tool of their own stage. With ``lone_env``, a lone OLLAMA_HOST counts in a stage that names no new
+    tool. All of it happens inside the file's row.
     """
-    tools = sorted({tool for _, tool in IMAGE_SIGNATURES})
-    rows = lines.withColumns({
-        "stage": F.sum(F.col("opens").cast("int")).over(so_far()),
-        "stage_line": F.max(F.when(F.col("opens"), F.col("line"))).over(so_far()),
-        "stage_tool": F.last(F.when(F.col("opens"), F.coalesce("tool", F.lit(""))), True).over(so_far()),
-        **{f"first_{t}": F.min(F.when(F.col("tool") == t, F.col("line"))).over(whole_file()) for t in tools},
-    })
-    first_of = F.lit(None).cast("int")
-    for t in tools:
-        first_of = F.when(F.col("stage_tool") == t, F.col(f"first_{t}")).otherwise(first_of)
-    rows = rows.withColumn("is_new", F.coalesce(F.col("stage_line") == first_of, F.lit(False)))
-    lone = (
-        F.col("lone_env") & F.col("env_text").contains("OLLAMA_HOST") & ~F.col("is_new")
-        & (F.coalesce("stage_tool", F.lit("")) != "ollama")
-    )
-    rows = rows.withColumn("lone_line", F.min(F.when(lone, F.col("line"))).over(whole_file()))
-    rows = rows.withColumn(
-        "lone_line",
-        F.when(F.col("first_ollama").isNull() | (F.col("lone_line") < F.col("first_ollama")), F.col("lone_line")),
-    ).withColumn("lone_stage", F.max(F.when(F.col("line") == F.col("lone_line"), F.col("stage"))).over(whole_file()))
-    named = F.col("is_new") & ~((F.col("stage_tool") == "ollama") & F.col("lone_line").isNotNull())
-    by_env = (F.col("stage") == F.col("lone_stage")) & (F.col("line") >= F.col("lone_line"))
-    hit = F.when(named, F.struct(F.col("stage_tool").alias("tool"), F.col("stage_line").alias("line"),
-                                 F.lit(0.75).alias("confidence"))).when(
-        by_env, F.struct(F.lit("ollama").alias("tool"), F.col("lone_line").alias("line"), F.lit(0.7).alias("confidence"))
-    )
-    rows = rows.withColumn("hit", hit).filter("hit IS NOT NULL")
-    keys = [F.bool_or(F.col("env_text").contains(k)).alias(f"env_{i}") for i, k in enumerate(ENV_KEYS)]
-    found = rows.groupBy("scan_id", "path", "hit").agg(
-        F.min_by("port", F.when(F.col("port").isNotNull(), F.col("line"))).alias("endpoint"),
-        F.max(F.when(F.col("line") == F.col("hit.line"), F.col("raw"))).alias("raw"),
-        *keys,
-    )
-    env = F.concat_ws(",", *[F.when(F.col(f"env_{i}"), F.lit(k)) for i, k in enumerate(ENV_KEYS)])
-    return found.select("scan_id", "path", "hit.tool", "hit.line", "hit.confidence", "endpoint", env.alias("env"), "raw")
+    opening = F.filter("lines", lambda x: x["opens"])
+    stages = F.transform(opening, lambda o, i: F.struct(
+        o["line"].alias("line"), F.coalesce(o["tool"], F.lit("")).alias("tool"),
+        F.coalesce(F.get(opening, i + 1)["line"], F.lit(_LAST)).alias("end")))
+    rows = lines.withColumn("opened", stages)
+    # Lines in front of the first stage are a stage without a tool.
+    rows = rows.withColumn("opened", F.concat(F.array(F.struct(
+        F.lit(0).alias("line"), F.lit("").alias("tool"), F.coalesce(F.get("opened", F.lit(0))["line"], F.lit(_LAST)).alias("end"))), "opened"))
+    rows = rows.withColumn("stages", F.transform("opened", lambda s: F.struct(
+        s["line"].alias("line"), s["tool"].alias("tool"), s["end"].alias("end"),
+        ((s["tool"] != "") & ~F.exists("opened", lambda o: (o["tool"] == s["tool"]) & (o["line"] < s["line"]))).alias("is_new"))))
+    between = lambda s, first: F.filter("lines", lambda x: (x["line"] >= first) & (x["line"] < s["end"]))
+    first_ollama = F.array_min(F.transform(F.filter("stages", lambda s: s["tool"] == "ollama"), lambda s: s["line"]))
+    quiet = F.filter("stages", lambda s: ~s["is_new"] & (s["tool"] != "ollama"))
+    lone = F.array_min(F.flatten(F.transform(quiet, lambda s: F.transform(
+        F.filter(between(s, s["line"]), lambda x: F.coalesce(x["env_text"].contains("OLLAMA_HOST"), F.lit(False))), lambda x: x["line"]))))
+    rows = rows.withColumn("lone", F.when(F.lit(lone_env), lone)).withColumn(
+        "lone", F.when(first_ollama.isNull() | (F.col("lone") < first_ollama), F.col("lone")))
+    hit = lambda s, tool, at, sure: F.struct(
+        tool.alias("tool"), at.alias("line"), F.lit(sure).alias("confidence"), between(s, at).alias("own"))
+    named = F.transform(F.filter("stages", lambda s: s["is_new"] & ~((s["tool"] == "ollama") & F.col("lone").isNotNull())),
+                        lambda s: hit(s, s["tool"], s["line"], 0.75))
+    by_env = F.transform(F.filter("stages", lambda s: (s["line"] <= F.col("lone")) & (F.col("lone") < s["end"])),
+                         lambda s: hit(s, F.lit("ollama"), F.col("lone"), 0.7))
+    found = rows.select("scan_id", "path", F.explode(F.concat(named, by_env)).alias("h")).select("scan_id", "path", "h.*")
+    held = lambda k: F.exists("own", lambda x: F.coalesce(x["env_text"].contains(k), F.lit(False)))
+    at_line = F.filter("own", lambda x: x["line"] == F.col("line"))
+    return found.select(
+        "scan_id", "path", "tool", "line", "confidence",
+        F.get(F.filter("own", lambda x: x["port"].isNotNull()), F.lit(0))["port"].alias("endpoint"),
+        F.concat_ws(",", *[F.when(held(k), F.lit(k)) for k in ENV_KEYS]).alias("env"), F.get(at_line, F.lit(0))["raw"].alias("raw"))
 
 
 def infra_findings(lines: DataFrame, detector_id: str) -> DataFrame:
-    hits = serving_hits(lines)
+    hits = serving_hits(lines, detector_id == "infra/dockerfile")
     tools = hits.select(
         "scan_id", "path", "line", F.lit("infra").alias("kind"), F.col("tool").alias("name"), "confidence",
         F.when(F.col("endpoint").isNotNull(), F.struct(
@@ -157,7 +147,8 @@ def infra_findings(lines: DataFrame, detector_id: str) -> DataFrame:
         F.when(F.col("env") != "", F.create_map(F.lit("env"), F.col("env"))).alias("fields"),
         snippet(F.col("raw")).alias("snippet"),
     )
-    models = lines.filter("model_id IS NOT NULL").select(
+    models = lines.select("scan_id", "path", F.explode(F.filter("lines", lambda x: x["model_id"].isNotNull())).alias("x")).select(
+        "scan_id", "path", "x.*").select(
         "scan_id", "path", "line", F.lit("hosted-llm").alias("kind"), F.col("model_id").alias("name"),
         F.lit(0.6).alias("confidence"), snippet(F.col("raw")).alias("snippet"),
     )
@@ -174,28 +165,33 @@ def compose_findings(files: DataFrame) -> DataFrame:
     return infra_findings(compose_lines(files), "infra/compose")
 
 
+_GO_NAMED = r"""(?i)(?:^|[^A-Za-z0-9_])(?:model|modelname|modelid)(?:\s+string)?\s*(?::=|:|=)\s*(?:"([^"]+)"|`([^`]+)`)"""
+
+
 def go_findings(files: DataFrame) -> DataFrame:
     """AI client imports, and model-named string literals in files that import one."""
     det = "gosrc/ast"
-    code = F.regexp_replace("raw", r"(^|\s)//.*$", "")
     source = text_of(F.col("content"))
     holds = reduce(lambda a, b: a | b, [source.contains(prefix) for prefix, _ in GO_MODULES])
-    rows = file_lines(routed(files, det).filter(holds)).withColumn("text", strip(code))
-    t = F.col("text")
-    block = F.when(t.rlike(r"^import\s*\("), "import").when(t.rlike(r"^(\)|func |type |var |const )"), "")
-    func = F.when(t.rlike("^func "), F.regexp_extract(t, r"^func\s+(?:\([^)]*\)\s*)?(\w+)", 1)).when(
-        F.col("raw").rlike(r"^(\}|var|const|type)"), ""
-    )
-    rows = rows.withColumn("_block", F.last(block, True).over(so_far())).withColumn("_func", F.last(func, True).over(so_far()))
-    imported = F.when(
-        (F.col("_block") == "import") | t.rlike(r"^import\s"),
-        F.regexp_extract(t, r"^(?:import\s*\(?\s*)?(?:[\w.]+\s+)?[\"`]([^\"`]+)[\"`]", 1),
-    )
-    kind = F.lit(None).cast("string")
-    for prefix, k in reversed(GO_MODULES):
-        kind = F.when((imported == prefix) | imported.startswith(prefix + "/"), F.lit(k)).otherwise(kind)
-    rows = rows.withColumn("_import", imported).withColumn("_kind", kind)
-    rows = rows.withColumn("_uses_ai", F.max(F.col("_kind").isNotNull()).over(whole_file())).filter("_uses_ai")
+
+    def step(at: Column, line: Column) -> tuple[dict[str, Column], Column]:
+        raw = line["raw"]
+        t = strip(F.regexp_replace(raw, r"(^|\s)//.*$", ""))
+        block = F.when(t.rlike(r"^import\s*\("), "import").when(t.rlike(r"^(\)|func |type |var |const )"), "").otherwise(at["block"])
+        func = F.when(t.rlike("^func "), F.regexp_extract(t, r"^func\s+(?:\([^)]*\)\s*)?(\w+)", 1)).when(
+            raw.rlike(r"^(\}|var|const|type)"), "").otherwise(at["func"])
+        imported = F.when((block == "import") | t.rlike(r"^import\s"), F.regexp_extract(
+            t, r"^(?:import\s*\(?\s*)?(?:[\w.]+\s+)?[\"`]([^\"`]+)[\"`]", 1))
+        kind = F.lit(None).cast("string")
+        for prefix, k in reversed(GO_MODULES):
+            kind = F.when((imported == prefix) | imported.startswith(prefix + "/"), F.lit(k)).otherwise(kind)
+        given = F.when(kind.isNotNull() | t.rlike(_GO_NAMED), F.struct(
+            line["line"], raw, t.alias("text"), func.alias("_func"), imported.alias("_import"), kind.alias("_kind")))
+        return {"block": block, "func": func, "uses": at["uses"] | kind.isNotNull()}, given
+
+    rows = folded_lines(
+        line_array(routed(files, det).filter(holds)), {"block": F.lit(""), "func": F.lit(""), "uses": F.lit(False)}, step,
+        "struct<line:int,raw:string,text:string,_func:string,_import:string,_kind:string>", lambda acc: acc["uses"])
     module = F.when(
         F.col("_import").rlike(r"^(?:github\.com|gitlab\.com|bitbucket\.org)/[^/]+/[^/]+"),
         F.substring_index("_import", "/", 3),
@@ -205,9 +201,8 @@ def go_findings(files: DataFrame) -> DataFrame:
         F.lit("golang").alias("ecosystem"), F.lit(0.8).alias("confidence"), F.lit("").alias("symbol"),
         snippet(F.col("raw")).alias("snippet"),
     )
-    named = r"""(?i)(?:^|[^A-Za-z0-9_])(?:model|modelname|modelid)(?:\s+string)?\s*(?::=|:|=)\s*(?:"([^"]+)"|`([^`]+)`)"""
-    value = lambda g: F.regexp_extract_all("text", F.lit(named), F.lit(g))
-    literals = rows.filter(t.rlike(named)).select(
+    value = lambda g: F.regexp_extract_all("text", F.lit(_GO_NAMED), F.lit(g))
+    literals = rows.filter(F.col("text").rlike(_GO_NAMED)).select(
         "*", F.explode(F.zip_with(value(1), value(2), lambda a, b: F.when(a != "", a).otherwise(b))).alias("name")
     ).select(
         "scan_id", "path", "line", F.lit("hosted-llm").alias("kind"), "name", F.lit(0.75).alias("confidence"),

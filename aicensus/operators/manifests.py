@@ -2,20 +2,21 @@
 
 Each reader turns routed files into dependency rows (declared name, lookup key, version,
 line); one shared step looks the keys up. State that runs down a file (sections, blocks) is a
-window over the lines of that one file.
+fold over the lines inside the file's row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_version, lines_of, pep503, snippet, strip
+from ..functions.text import clean_version, json_object, lines_of, pep503, snippet, strip
 from ..sources.files import text_of
 from ..sources.routing import routed
+from .xml_elements import xml_elements
 
 DECLARED_CONFIDENCE = 0.95
 
@@ -202,68 +203,86 @@ def _table_version(value: Column) -> Column:
     return clean_version(F.coalesce(F.get(quoted(F.when(value.startswith("{"), inline).otherwise(value)), F.lit(0)), F.lit("")))
 
 
-def so_far():
-    """The lines of one file up to and including the current one."""
-    return W.partitionBy("scan_id", "path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+def line_array(files: DataFrame) -> DataFrame:
+    """scan_id, path and the lines of each file as one array of (line, raw, text)."""
+    return files.select("scan_id", "path", F.transform(lines_of(text_of(F.col("content"))), lambda raw, i: F.struct(
+        (i + 1).alias("line"), raw.alias("raw"), strip(raw).alias("text"))).alias("lines"))
 
 
-def above():
-    """The lines of one file before the current one."""
-    return W.partitionBy("scan_id", "path").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+def folded_lines(rows: DataFrame, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]],
+                 entry: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A fold over each file's lines inside its row: no line is shuffled or sorted.
+
+    ``step`` maps the state and a line to the next state and what the line contributes (a struct of type ``entry``, or
+    null). Contributions become rows, of files only whose last state is ``wanted``.
+    """
+    def merge(acc: Column, line: Column) -> Column:
+        following, given = step(acc, line)
+        kept = F.when(given.isNotNull(), F.concat(acc["out"], F.array(given))).otherwise(acc["out"])
+        return F.struct(*(following.get(n, acc[n]).alias(n) for n in state), kept.alias("out"))
+
+    zero = F.struct(*(v.alias(n) for n, v in state.items()), F.array().cast(f"array<{entry}>").alias("out"))
+    out = lambda acc: acc["out"] if wanted is None else F.when(wanted(acc), acc["out"])
+    return rows.select("scan_id", "path", F.explode(F.aggregate("lines", zero, merge, out)).alias("_e")).select("scan_id", "path", "_e.*")
 
 
 def pyproject_deps(files: DataFrame) -> DataFrame:
     """[project] dependencies (arrays over several lines included) and poetry dependencies."""
     det = "manifest/pypi-pyproject"
-    t = F.col("text")
-    rows = file_lines(routed(files, det)).withColumn("_sec", _section(t))
-    rows = rows.withColumn("_s1", F.last("_sec", True).over(so_far()))
-    listing = t.rlike(r"^dependencies\s*=") & _value_of(t).contains("[")
-    closes = unquoted(F.col("raw")).contains("]")
-    opens = listing & (F.col("_s1") == "project") & ~unquoted(_value_of(t)).contains("]")
-    rows = (
-        rows.withColumn("_open", F.max(F.when(opens, F.col("line"))).over(above()))
-        .withColumn("_close", F.max(F.when(closes, F.col("line"))).over(above()))
-        .withColumn("_in", F.col("_open").isNotNull() & (F.col("_close").isNull() | (F.col("_close") < F.col("_open"))))
+
+    def step(at: Column, line: Column) -> tuple[dict[str, Column], Column]:
+        t, raw, inside = line["text"], line["raw"], at["inside"]
+        seen = F.coalesce(_section(t), at["seen"])
         # A bracket line inside an open array is not a section header.
-        .withColumn("_s2", F.last(F.when(~F.col("_in"), F.col("_sec")), True).over(so_far()))
-    )
-    listed = F.when(F.col("_in"), quoted(F.col("raw"))).when(
-        listing & (F.col("_s2") == "project"), quoted(_value_of(t))
-    )
-    array_deps = rows.withColumn("spec", F.explode(listed))
-    name = F.regexp_replace(_key_of(t), "^[\"']+|[\"']+$", "")
-    table = rows.filter(~F.col("_in") & (F.col("_s2") == "tool.poetry.dependencies") & t.contains("=")
-                        & ~t.rlike(r"^[\[#]") & ~name.isin("", "python"))
-    return _pypi(array_deps, det, requirement_name(F.col("spec")), requirement_version(F.col("spec"))).unionByName(
-        _pypi(table, det, name, _table_version(_value_of(t)))
-    )
+        section = F.when(inside, at["section"]).otherwise(F.coalesce(_section(t), at["section"]))
+        listing = t.rlike(r"^dependencies\s*=") & _value_of(t).contains("[")
+        opens = listing & (seen == "project") & ~unquoted(_value_of(t)).contains("]")
+        closes = unquoted(raw).contains("]")
+        name = F.regexp_replace(_key_of(t), "^[\"']+|[\"']+$", "")
+        entry = lambda kind, specs: F.struct(line["line"].alias("line"), raw.alias("raw"), F.lit(kind).alias("kind"), specs.alias("specs"))
+        given = F.when(inside, entry("array", quoted(raw))).when(
+            listing & (section == "project"), entry("array", quoted(_value_of(t)))).when(
+            (section == "tool.poetry.dependencies") & t.contains("=") & ~t.rlike(r"^[\[#]") & ~name.isin("", "python"),
+            entry("table", F.array(t)))
+        return {"seen": seen, "section": section, "inside": ~closes & (inside | opens)}, given
+
+    rows = folded_lines(line_array(routed(files, det)), {"seen": F.lit(""), "section": F.lit(""), "inside": F.lit(False)}, step,
+                        "struct<line:int,raw:string,kind:string,specs:array<string>>").withColumn("spec", F.explode("specs"))
+    table = F.col("kind") == "table"
+    name = F.when(table, F.regexp_replace(_key_of(F.col("spec")), "^[\"']+|[\"']+$", "")).otherwise(requirement_name(F.col("spec")))
+    version = F.when(table, _table_version(_value_of(F.col("spec")))).otherwise(requirement_version(F.col("spec")))
+    return _pypi(rows, det, name, version)
 
 
 def cargo_deps(files: DataFrame) -> DataFrame:
     det = "manifest/cargo"
-    t = F.col("text")
-    rows = file_lines(routed(files, det)).withColumn("_s", F.last(_section(t), True).over(so_far())).filter(
-        (F.col("_s") == "dependencies") & ~t.rlike(r"^(#|\[|$)") & t.contains("=")
-    )
-    name = F.regexp_replace(_key_of(t), "^[\"']+|[\"']+$", "")
-    return _deps(rows, det, "cargo", declared=name, key=F.lower(name), version=_table_version(_value_of(t)))
+
+    def step(at: Column, line: Column) -> tuple[dict[str, Column], Column]:
+        t = line["text"]
+        section = F.coalesce(_section(t), at["section"])
+        given = F.when((section == "dependencies") & ~t.rlike(r"^(#|\[|$)") & t.contains("="), F.struct(line["line"], line["raw"], t.alias("text")))
+        return {"section": section}, given
+
+    rows = folded_lines(line_array(routed(files, det)), {"section": F.lit("")}, step, "struct<line:int,raw:string,text:string>")
+    name = F.regexp_replace(_key_of(F.col("text")), "^[\"']+|[\"']+$", "")
+    return _deps(rows, det, "cargo", declared=name, key=F.lower(name), version=_table_version(_value_of(F.col("text"))))
 
 
 def gomod_deps(files: DataFrame) -> DataFrame:
     """Required modules; a trailing major-version element is dropped for the lookup only."""
     det = "manifest/gomod"
-    t = strip(F.regexp_replace("raw", r"//.*$", ""))
-    event = F.when(F.col("text").rlike(r"^\w+\s*\("), F.regexp_extract("text", r"^(\w+)", 1)).when(
-        F.col("text").startswith(")"), ""
-    )
-    rows = file_lines(routed(files, det)).withColumn("text", t).withColumn("_block", F.last(event, True).over(so_far()))
-    body = F.when(F.col("text").rlike(r"^require\s+[^\s(]"), F.regexp_replace("text", r"^require\s+", "")).when(
-        (F.col("_block") == "require") & ~F.col("text").rlike(r"^require\s*\("), F.col("text")
-    )
-    rows = rows.withColumn("_body", body).filter(F.col("_body").rlike(r"^\S+\s+\S+"))
-    path = F.regexp_replace(F.regexp_extract("_body", r"^(\S+)", 1), '^"|"$', "")
-    version = F.regexp_extract("_body", r"^\S+\s+(\S+)", 1)
+
+    def step(at: Column, line: Column) -> tuple[dict[str, Column], Column]:
+        t = strip(F.regexp_replace(line["raw"], r"//.*$", ""))
+        block = F.when(t.rlike(r"^\w+\s*\("), F.regexp_extract(t, r"^(\w+)", 1)).when(t.startswith(")"), "").otherwise(at["block"])
+        body = F.when(t.rlike(r"^require\s+[^\s(]"), F.regexp_replace(t, r"^require\s+", "")).when(
+            (block == "require") & ~t.rlike(r"^require\s*\("), t)
+        given = F.when(body.rlike(r"^\S+\s+\S+"), F.struct(line["line"], line["raw"], body.alias("body")))
+        return {"block": block}, given
+
+    rows = folded_lines(line_array(routed(files, det)), {"block": F.lit("")}, step, "struct<line:int,raw:string,body:string>")
+    path = F.regexp_replace(F.regexp_extract("body", r"^(\S+)", 1), '^"|"$', "")
+    version = F.regexp_extract("body", r"^\S+\s+(\S+)", 1)
     return _deps(rows, det, "golang", declared=path, key=F.regexp_replace(path, "/v[0-9]+$", ""), version=version)
 
 
@@ -284,7 +303,7 @@ def npm_deps(files: DataFrame) -> DataFrame:
         F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("spec"),
         F.array_contains(later(s, i), e["key"]).alias("repeated"))
     texts = routed(files, det).select("scan_id", "path", text_of(F.col("content")).alias("_text"))
-    rows = texts.filter(_json_object(F.col("_text"))).withColumn("_json", parsed).withColumn("_lines", lines_of(F.col("_text"))).select(
+    rows = texts.filter(json_object(F.col("_text"))).withColumn("_json", parsed).withColumn("_lines", lines_of(F.col("_text"))).select(
         "scan_id", "path", "_lines",
         F.explode(F.flatten(F.filter(F.array(*[
             F.transform(F.map_entries(f"_json.{s}"), entry(s)) for s in sections]), lambda x: x.isNotNull()))).alias("_d")).filter("NOT _d.repeated")
@@ -307,68 +326,40 @@ def npm_deps(files: DataFrame) -> DataFrame:
     return _deps(rows, det, "npm", declared=name, key=F.lower(name), version=clean_version(spec), source_line=pair)
 
 
-def _json_object(text: Column) -> Column:
-    """Whether the text is a JSON object; a text cut short is none. Keys may repeat, which the variant parser refuses."""
-    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    return F.from_json(text, "map<string,string>", strict).isNotNull()
-
-
 def npm_unknowns(files: DataFrame) -> DataFrame:
     """Manifests that are not JSON objects."""
     text = text_of(F.col("content"))
-    return routed(files, "manifest/npm").filter(~_json_object(text)).select(
+    return routed(files, "manifest/npm").filter(~json_object(text)).select(
         "scan_id", "path", F.lit("manifest/npm").alias("detector_id"), F.lit("the manifest is no JSON object").alias("reason"))
 
 
-def _without_xml_comments(text: Column) -> Column:
-    """Comments blanked, their line ends kept so line numbers stay right."""
-    parts = F.split(text, "<!--")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(
-        F.regexp_replace(F.regexp_extract(p, "(?s)^(.*?)(?:-->|$)", 1), "[^\n]", ""),
-        F.regexp_extract(p, "(?s)-->(.*)$", 1),
-    ))), "")
-
-
-def _elements(files: DataFrame, det: str, tag: str) -> DataFrame:
-    """One row per ``<tag ...>`` element: its start tag, its body up to the end tag, its line."""
-    pieces = routed(files, det).select(
-        "scan_id", "path",
-        F.posexplode(F.split(_without_xml_comments(text_of(F.col("content"))), rf"<{tag}(?=[\s>/])")).alias("_n", "_p"),
-    )
-    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
-    before = W.partitionBy("scan_id", "path").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
-    start = F.regexp_extract("_p", "(?s)^([^>]*)>", 1)
-    rest = F.regexp_extract("_p", "(?s)^[^>]*>(.*)$", 1)
-    body = F.when(start.endswith("/"), "").otherwise(F.substring_index(rest, f"</{tag}>", 1))
-    return (
-        pieces.withColumn("_above", F.sum(newlines(F.col("_p"))).over(before))
-        .filter("_n > 0")
-        .withColumn("_start", start)
-        .withColumn("_body", body)
-        .withColumn("line", (F.col("_above") + newlines(F.col("_start")) + 1).cast("int"))
-        .withColumn("raw", F.concat(F.lit(f"<{tag}"), F.regexp_replace("_p", "(?s)\n.*$", "")))
-    )
-
-
-def _child(tag: str) -> Column:
-    return strip(F.regexp_extract("_body", rf"(?s)<{tag}>([^<]*)</{tag}>", 1))
+def _text_of(kind: str, name: str) -> Column:
+    return strip(F.coalesce(F.try_element_at(kind, F.lit(name)), F.lit("")))
 
 
 def maven_deps(files: DataFrame) -> DataFrame:
+    """Every ``dependency`` element, managed ones too; its own children only, so exclusions do not count."""
     det = "manifest/maven"
-    group, artifact, version = _child("groupId"), _child("artifactId"), _child("version")
-    rows = _elements(files, det, "dependency")
+    rows = xml_elements(routed(files, det), "dependency").filter("error IS NULL")
+    group, artifact, version = (_text_of("children", n) for n in ("groupId", "artifactId", "version"))
     return _deps(rows, det, "maven", declared=artifact, group=group, key=F.concat_ws(":", group, artifact),
                  version=F.when(version.startswith("${"), "").otherwise(version))
 
 
 def nuget_deps(files: DataFrame) -> DataFrame:
+    """Every ``PackageReference``; the version is an attribute or a child."""
     det = "manifest/nuget"
-    attr = lambda n: F.regexp_extract("_start", rf"\b{n}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    name = strip(attr("Include"))
-    version = F.when(attr("Version") != "", attr("Version")).otherwise(_child("Version"))
-    rows = _elements(files, det, "PackageReference")
-    return _deps(rows, det, "nuget", declared=name, key=F.lower(name), version=strip(version))
+    rows = xml_elements(routed(files, det), "PackageReference").filter("error IS NULL")
+    name, given = _text_of("attributes", "Include"), F.coalesce(F.try_element_at("attributes", F.lit("Version")), F.lit(""))
+    version = F.when(given != "", strip(given)).otherwise(_text_of("children", "Version"))
+    return _deps(rows, det, "nuget", declared=name, key=F.lower(name), version=version)
+
+
+def xml_unknowns(files: DataFrame) -> DataFrame:
+    """XML manifests that do not parse to their end."""
+    broken = [xml_elements(routed(files, det), tag).filter("error IS NOT NULL").withColumn("detector_id", F.lit(det))
+              for det, tag in (("manifest/maven", "dependency"), ("manifest/nuget", "PackageReference"))]
+    return reduce(DataFrame.unionByName, broken).select("scan_id", "path", "detector_id", F.col("error").alias("reason"))
 
 
 def gradle_deps(files: DataFrame) -> DataFrame:

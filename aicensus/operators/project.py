@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, blank_to_null, dirname, extension, matches_glob
+from ..functions.text import basename, blank_to_null, dirname, extension, json_object, matches_glob
 from ..session import ship_package
 from ..sources.files import text_of
 from .artifacts import model_facet
@@ -104,31 +104,44 @@ def adapters(files: DataFrame) -> DataFrame:
 
 
 def _yaml_as_json(rows: DataFrame) -> DataFrame:
-    """YAML configs as JSON text; what does not parse to a mapping is dropped."""
+    """YAML configs as JSON text, or the reason why there is none; an empty document is neither."""
     ship_package(rows.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(raw: bytes) -> tuple[str | None, str | None]:
         import yaml
 
+        try:
+            doc = yaml.safe_load(raw)
+            if isinstance(doc, dict):
+                return json.dumps({str(k): v for k, v in doc.items()}, default=str), None
+            return None, None if doc is None else "the config is no mapping"
+        except (yaml.YAMLError, ValueError, RecursionError) as failed:
+            return None, f"the config does not parse: {type(failed).__name__}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for scan_id, path, raw in batch.itertuples(index=False, name=None):
-                try:
-                    doc = yaml.safe_load(bytes(raw))
-                    if isinstance(doc, dict):
-                        out.append((scan_id, path, json.dumps({str(k): v for k, v in doc.items()}, default=str)))
-                except (yaml.YAMLError, ValueError, UnicodeDecodeError):
-                    continue
-            yield pd.DataFrame(out, columns=["scan_id", "path", "json"])
-
-    return rows.select("scan_id", "path", "content").mapInPandas(run, "scan_id string, path string, json string")
-
-
-def scalar_text(doc: Column, key: str) -> Column:
-    """A JSON scalar as text: integral numbers without decimals, small ones in e-notation."""
-    kind = F.schema_of_variant(F.try_variant_get(doc, f"$['{key}']", "variant"))
-    text = F.try_variant_get(doc, f"$['{key}']", "string")
-    number = F.try_variant_get(doc, f"$['{key}']", "double")
+            out = [(scan_id, path, *read(bytes(raw))) for scan_id, path, raw in batch.itertuples(index=False, name=None)]
+            yield pd.DataFrame(out, columns=["scan_id", "path", "json", "error"])
+
+    return rows.select("scan_id", "path", "content").mapInPandas(run, "scan_id string, path string, json string, error string")
+
+
+def config_unknowns(files: DataFrame) -> DataFrame:
+    """Configs that do not parse to an object, whichever detector reads them."""
+    base = basename(F.col("path"))
+    bound = matches_glob(F.col("path"), *CONFIG_GLOBS)
+    is_json = F.col("path").endswith(".json")
+    bad = files.filter((is_json & bound | base.isin("config.json", "model_index.json", "adapter_config.json")) & ~json_object(
+        text_of(F.col("content")))).select("scan_id", "path", F.lit("the config is no JSON object").alias("reason"))
+    yaml = _yaml_as_json(files.filter(~is_json & bound)).filter("error IS NOT NULL").select("scan_id", "path", F.col("error").alias("reason"))
+    return bad.unionByName(yaml).select("scan_id", "path", F.lit("project/configbind").alias("detector_id"), "reason")
+
+
+def scalar_text(value: Column) -> Column:
+    """A JSON scalar (variant) as text: integral numbers without decimals, small ones in e-notation."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
     shown = number.cast("string")
     expo = F.concat(
         F.regexp_replace(F.regexp_extract(shown, r"^(-?[0-9.]+)E", 1), r"\.0$", ""), F.lit("e-"),
@@ -146,18 +159,18 @@ def config_bindings(files: DataFrame) -> DataFrame:
     """One finding per generation config that sets a parameter or names a model."""
     rows = files.filter(matches_glob(F.col("path"), *CONFIG_GLOBS))
     is_json = F.col("path").endswith(".json")
+    # Only the keys that count are parsed; of a repeated key the last value counts.
+    shape = "struct<" + ",".join(f"`{k}`:variant" for k in (*PARAM_KEYS, *MODEL_KEYS)) + ">"
     docs = rows.filter(is_json).select("scan_id", "path", text_of(F.col("content")).alias("json")).unionByName(
-        _yaml_as_json(rows.filter(~is_json))
-    ).withColumn("doc", F.try_parse_json("json")).filter(
-        F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
-    )
+        _yaml_as_json(rows.filter(~is_json)).select("scan_id", "path", "json")
+    ).filter(json_object(F.col("json"))).withColumn("doc", F.from_json("json", shape))
     params = F.map_filter(
-        F.create_map(*[x for k in PARAM_KEYS for x in (F.lit(f"param.{k}"), scalar_text(F.col("doc"), k))]),
+        F.create_map(*[x for k in PARAM_KEYS for x in (F.lit(f"param.{k}"), scalar_text(F.col(f"doc.{k}")))]),
         lambda k, v: v.isNotNull(),
     )
-    is_text = lambda k: F.schema_of_variant(F.try_variant_get("doc", f"$['{k}']", "variant")) == "STRING"
+    is_text = lambda k: F.schema_of_variant(F.col(f"doc.{k}")) == "STRING"
     named = F.coalesce(*[
-        F.when(is_text(k), blank_to_null(F.try_variant_get("doc", f"$['{k}']", "string"))) for k in MODEL_KEYS
+        F.when(is_text(k), blank_to_null(F.try_variant_get(F.col(f"doc.{k}"), "$", "string"))) for k in MODEL_KEYS
     ])
     return (
         docs.withColumn("fields", params)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.versions import (
     add_cvss3_score, severity_from_score, severity_from_text, severity_rank, version_key, version_shaped,
 )
+from ..session import stored
+from .order import numbered
 
 # Package-URL types that advisories cover.
 ADVISORY_ECOSYSTEMS = ["pypi", "npm", "golang", "cargo", "maven", "nuget"]
@@ -57,6 +61,70 @@ def in_range(version: Column, introduced: Column, fixed: Column) -> Column:
     return (lo.isNull() | (v >= lo)) & (hi.isNull() | (v < hi))
 
 
+# Pairs of (version, range) of one package that are compared directly; packages with more go through ranks.
+DIRECT_PAIRS = 20_000
+
+
+def span_nodes(low: Column, high: Column) -> Column:
+    """The interval [low, high) of ranks as aligned blocks (level, node) of 2^level ranks: two a level at most."""
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((high - low).cast("double"))).cast("int"))
+
+    def blocks(level: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        lo, hi = F.ceil(low / width).cast("bigint"), F.floor(high / width).cast("bigint")
+        block = lambda node: F.struct(level.alias("level"), node.alias("node"))
+        return F.filter(F.array(
+            F.when((lo % 2 == 1) & (lo < hi), block(lo)), F.when((hi % 2 == 1) & (lo + lo % 2 < hi), block(hi - 1))), lambda b: b.isNotNull())
+
+    return F.flatten(F.transform(levels, blocks))
+
+
+def ranked_hits(coords: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(ecosystem, package, version, id) of the versions inside a range, without comparing all of both.
+
+    Versions and bounds of all packages become numbers in one order. A range is the few aligned blocks of numbers that it
+    covers, a version lies in one block of every level: an equi-join on the block gives each hit once.
+    """
+    package = ["ecosystem", "package"]
+    keyed = stored(coords.withColumn("k", version_key(F.col("version"))), "advisory-versions")
+    bounds = stored(ranges.withColumn("lo", version_key(F.col("introduced"))).withColumn("hi", version_key(F.col("fixed"))), "advisory-ranges")
+    marks = reduce(DataFrame.unionByName, [keyed.select(*package, "k"), *(bounds.select(*package, F.col(c).alias("k")) for c in ("lo", "hi"))])
+    ranks = stored(numbered(marks.filter("k IS NOT NULL").distinct(), [*package, "k"], "rank"), "advisory-ranks")
+    spans = ranks.groupBy(*package).agg(F.min("rank").alias("first"), (F.max("rank") + 1).alias("end"))
+    bound = lambda c: ranks.select(*package, F.col("k").alias(c), F.col("rank").alias(f"{c}_rank"))
+    placed = bounds.join(bound("lo"), [*package, "lo"], "left").join(bound("hi"), [*package, "hi"], "left").join(spans, package)
+    low, high = F.coalesce("lo_rank", "first"), F.coalesce("hi_rank", "end")
+    blocks = stored(placed.select(*package, "id", low.alias("low"), high.alias("high")).filter("low < high").select(
+        *package, "id", F.explode(span_nodes(F.col("low"), F.col("high"))).alias("b")).select(*package, "id", "b.level", "b.node"), "advisory-blocks")
+    tops = blocks.groupBy(*package).agg(F.max("level").alias("top"))
+    points = keyed.join(ranks, [*package, "k"]).join(tops, package).select(
+        *package, "version", "rank", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")).withColumn(
+        "node", F.call_function("shiftright", "rank", "level"))
+    inside = points.join(blocks.select("level", "node", "id"), ["level", "node"]).select(*package, "version", "id")
+    # A version without a key lies in ranges without bounds only.
+    unkeyed = keyed.filter("k IS NULL").join(bounds.filter("lo IS NULL AND hi IS NULL"), package).select(*package, "version", "id")
+    return inside.unionByName(unkeyed).distinct()
+
+
+def direct_hits(coords: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The same by comparing every version with every range of its package."""
+    return coords.join(ranges, ["ecosystem", "package"]).filter(
+        in_range(F.col("version"), F.col("introduced"), F.col("fixed"))).select("ecosystem", "package", "version", "id").distinct()
+
+
+def range_hits(coords: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(ecosystem, package, version, id): small packages directly, those with many versions and ranges by ranks."""
+    package = ["ecosystem", "package"]
+    pairs = coords.groupBy(*package).agg(F.count(F.lit(1)).alias("v")).join(
+        ranges.groupBy(*package).agg(F.count(F.lit(1)).alias("r")), package)
+    large = stored(pairs.filter(F.col("v") * F.col("r") > DIRECT_PAIRS).select(*package), "advisory-large")
+    if large.isEmpty():
+        return direct_hits(coords, ranges)
+    only = lambda rows, how: rows.join(large, package, how)
+    return direct_hits(only(coords, "left_anti"), only(ranges, "left_anti")).unionByName(
+        ranked_hits(only(coords, "left_semi"), only(ranges, "left_semi")))
+
+
 def preferred_id(advisory_id: Column, aliases: Column) -> Column:
     every = F.concat(F.array(advisory_id), F.coalesce(aliases, F.array().cast("array<string>")))
     cve = F.get(F.filter(every, lambda x: x.startswith("CVE-")), F.lit(0))
@@ -145,12 +213,7 @@ def match_advisories(component_rows: DataFrame, advisories: DataFrame) -> DataFr
     """
     checked = coordinate(component_rows)
     coords = checked.select("ecosystem", "package", "version").distinct()
-    hits = (
-        coords.join(version_ranges(advisories), ["ecosystem", "package"])
-        .filter(in_range(F.col("version"), F.col("introduced"), F.col("fixed")))
-        .select("ecosystem", "package", "version", "id")
-        .distinct()
-    )
+    hits = range_hits(coords, version_ranges(advisories))
     facts = scored(advisories).select(
         "id", "vuln_id", "alias_ids", "score", "vector", F.col("cve_severity").alias("severity"), "summary"
     ).join(fix_candidates(advisories), "id", "left")

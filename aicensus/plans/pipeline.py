@@ -47,7 +47,7 @@ def detect_files(files: DataFrame, rules: list[dict], any_language: bool = False
     unknowns: list[DataFrame] = []
     if on(*[s.detector_id for s in SELECTORS if "manifest" in s.tags]):
         parts.append(_finish(manifests.dependency_findings(files), 1))
-        unknowns.append(manifests.npm_unknowns(files))
+        unknowns += [manifests.npm_unknowns(files), manifests.xml_unknowns(files)]
     if on("prompt/file"):
         parts.append(_finish(assets.prompt_findings(files), 1))
     if on("dataset/file"):
@@ -126,6 +126,7 @@ def detect(
     if detectors is None or any(d in detectors for d in _PROJECT):
         held = prepared.filter(F.col(ROUTES).contains("|project|")) if stage else prepared
         findings = findings.unionByName(detect_projects(held, findings))
+        unknowns = unknowns.unionByName(conform(project.config_unknowns(held), UNKNOWNS))
     if max_bytes is not None:
         unknowns = unknowns.unionByName(conform(truncations(prepared), UNKNOWNS))
     return findings, unknowns

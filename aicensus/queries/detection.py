@@ -353,9 +353,80 @@ _SHAPES = {
         ("a==@\nb==@\na==@", [(1, "a", "@"), (2, "b", "@"), (3, "a", "@")]),
         ("--index-url https://x\nchromadb", [(2, "chromadb", "")]),
     ]),
+    "pyproject": ("pyproject.toml", manifests.pyproject_deps, [
+        ('[project]\ndependencies = ["torch>=@", \'vllm[x]\']\n', [(2, "torch", "@"), (2, "vllm", "")]),
+        ('[project]\nname = "x"\ndependencies = [\n  "Torch.Audio == @",\n\n  # "no",\n]\nother = ["z"]\n', [(4, "torch-audio", "@"), (6, "no", "")]),
+        ('[project]\ndependencies = [\n  "a[b]>=@",\n  "c",\n]\n[other]\ndependencies = ["d"]', [(3, "a", "@"), (4, "c", "")]),
+        ('[tool.poetry.dependencies]\npython = "^3"\nopenai = "^@"\n# x = "1"\nll = { git = "g" }\n[x]\ny = "1"', [(3, "openai", "@"), (5, "ll", "")]),
+        ('[tool.poetry.dependencies]\r\n"quoted" = {extras = ["e"], version = "~@"}\r\n', [(2, "quoted", "@")]),
+        ('dependencies = ["none"]\n[build]\ndependencies = ["none"]', []),
+        ('', []),
+        ('[project]\ndependencies = [\n"x ; y",\n[\n"z==@"]\n[tool.poetry.dependencies]\nq="@"', [(3, "x", ""), (5, "z", "@"), (7, "q", "@")]),
+    ]),
+    "gomod": ("go.mod", manifests.gomod_deps, [
+        ("require a/b v@", [(1, "a/b", "v@")]),
+        ("module m\n\nrequire (\n\ta/b v@ // indirect\n\tc/d/v3 v@\n)\n", [(4, "a/b", "v@"), (5, "c/d", "v@")]),
+        ("exclude (\n a/b v1\n)\nrequire (\n c/d v@\n)\nreplace e/f => g/h v1", [(5, "c/d", "v@")]),
+        ("require(\n a/b v@\n)", [(2, "a/b", "v@")]),
+        ("// require a/b v1\nrequire  c/d   v@ // require e/f v2", [(2, "c/d", "v@")]),
+        ("module only\ngo 1.22\n", []),
+        ("", []),
+        ('require (\r\n "a/b/v2" v@\r\n c\r\n)\r\nrequire d/e v@', [(2, "a/b", "v@"), (5, "d/e", "v@")]),
+    ]),
+    "cargo": ("Cargo.toml", manifests.cargo_deps, [
+        ('[dependencies]\nort = "@"', [(2, "ort", "@")]),
+        ('[package]\nort = "1"\n[dependencies]\nCandle-Core = { version = "@", features = ["x"] }\n[dev-dependencies]\nno = "1"', [(4, "candle-core", "@")]),
+        ('[dependencies]\n# a = "1"\n\nb = "^@"\n[dependencies.c]\nversion = "1"', [(4, "b", "@")]),
+        ('[dependencies] # c\n"d" = "=@"', [(2, "d", "@")]),
+        ('[workspace.dependencies]\ne = "1"', []),
+        ('[dependencies]\nf = { path = "../f" }\ng = { git = "h" }', [(2, "f", ""), (3, "g", "")]),
+        ('', []),
+        ('[dependencies]\r\ni = "@"\r\n[x]\r\nj = "1"\r\n[dependencies]\r\nk="@"', [(2, "i", "@"), (6, "k", "@")]),
+    ]),
+    "maven": ("pom.xml", manifests.maven_deps, [
+        ('<project><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>@</version></dependency></dependencies></project>',
+         [(1, "g:a", "@")]),
+        ('<?xml version="1.0" encoding="UTF-8"?>\n<m:project xmlns:m="urn:x">\n<m:dependency>\n<m:groupId> g </m:groupId>\n<m:artifactId>a</m:artifactId>\n</m:dependency></m:project>',
+         [(3, "g:a", "")]),
+        ('<project><dependencyManagement><dependencies>\n<dependency><artifactId><![CDATA[a]]></artifactId><groupId>g&#46;h</groupId>'
+         '<version>@</version></dependency></dependencies></dependencyManagement></project>', [(2, "g.h:a", "@")]),
+        ('<p><dependency>\n<exclusions><exclusion><groupId>no</groupId></exclusion></exclusions><groupId>g</groupId><artifactId>a</artifactId>'
+         '<version>${v}</version></dependency></p>', [(1, "g:a", "")]),
+        ('<p><!-- <dependency><groupId>no</groupId></dependency> -->\n<dependency\n>\n<groupId>g</groupId><artifactId>a</artifactId><version>@</version></dependency></p>',
+         [(3, "g:a", "@")]),
+        ('<p>\n<dependency><groupId>g</groupId><artifactId>a</artifactId><version>@</version></dependency>\n<dependency><groupId>h</groupId></p>', [(2, "g:a", "@")]),
+        ('', []),
+        ('<p><plugin><dependency><groupId>g</groupId><groupId>h</groupId><artifactId>a</artifactId><version>1<x>2</x>@</version></dependency></plugin></p>',
+         [(1, "h:a", "1@")]),
+    ]),
+    "nuget": ("app.csproj", manifests.nuget_deps, [
+        ('<Project><ItemGroup><PackageReference Include="OpenAI" Version="@" /></ItemGroup></Project>', [(1, "openai", "@")]),
+        ('<Project>\n<PackageReference Include="A.B">\n<Version> @ </Version>\n</PackageReference></Project>', [(2, "a.b", "@")]),
+        ("<Project xmlns='urn:m'>\n<PackageReference\n  Version='@'\n  Include='x &amp; y'/></Project>", [(4, "x & y", "@")]),
+        ('<Project><PackageReference Update="u" Version="1"/><PackageReference Include="v"/></Project>', [(1, "v", "")]),
+        ('<Project><!-- <PackageReference Include="no"/> --><PackageReference Include="w" Version=""><Version>@</Version></PackageReference></Project>', [(1, "w", "@")]),
+        ('<Project>\n<PackageReference Include="x" Version="@"/>\n<PackageReference Include="y"', [(2, "x", "@")]),
+        ('not xml', []),
+        ('<Project><PackageReference Include="z>" Version="@">\n<PrivateAssets>all</PrivateAssets></PackageReference></Project>', [(1, "z>", "@")]),
+    ]),
+    "gradle": ("build.gradle", manifests.gradle_deps, [
+        ("implementation 'g:a:@'", [(1, "g:a", "@")]),
+        ('dependencies {\n  api("g:a:@")\n  testImplementation "h:b"\n}', [(2, "g:a", "@"), (3, "h:b", "")]),
+        ("api group: 'g', name: 'a', version: '@'", [(1, "g:a", "@")]),
+        ("compile group:'g',name:'a'", [(1, "g:a", "")]),
+        ("implementation 'g:a:@:classifier'\nid 'java'", []),
+        ("", []),
+        ("implementation ' g : a : @ '\r\nimplementation ':b:1'", [(1, "g:a", "@")]),
+        ("implementation project(':x')\nruntimeOnly 'g:a:@', 'h:b:1'", [(2, "g:a", "@")]),
+    ]),
 }
 
 
+def _shape_version(version: str) -> str:
+    before, at, behind = version.partition("@")
+    return f"concat({before!r}, {_V}, {behind!r})" if at else repr(version)
+
+
 def _shapes_query(name: str):
     base, reader, shapes = _SHAPES[name]
 
@@ -370,7 +441,7 @@ def _shapes_query(name: str):
     run.__name__ = f"{name}_shapes"
     sql = " UNION ALL ".join(
         f"SELECT p_brand AS scan_id, concat('p', p_partkey, '/{base}') AS path, {line} AS line, '{key}' AS key, "
-        f"{_V if version == '@' else repr(version)} AS version FROM part WHERE p_partkey % {len(shapes)} = {i}"
+        f"{_shape_version(version)} AS version FROM part WHERE p_partkey % {len(shapes)} = {i}"
         for i, (_, rows) in enumerate(shapes) for line, key, version in rows)
     return query(sql)(run)
 
@@ -446,6 +517,57 @@ _DOCKER = ("concat('FROM python:3', chr(10), 'EXPOSE 1', chr(10), 'FROM ', " + p
       "'ENV MODEL_ID \"m-', CAST(p_size AS VARCHAR(10)), '\"', chr(10), 'FROM scratch', chr(10), 'EXPOSE 9')")
 
 
+# Shapes of service files: text, expected (line, tool or model, confidence, endpoint, env).
+_INFRA_SHAPES = {
+    "dockerfile": ("Dockerfile", infra.dockerfile_findings, [
+        ("FROM ollama/ollama\nEXPOSE 1@\n", [(1, "ollama", 0.75, "1@", "")]),
+        ("from vllm/vllm-openai:v1 as a\nENV MODEL_ID=org/m@\nFROM alpine\nEXPOSE 9\nENV HUGGING_FACE_HUB_TOKEN x",
+         [(1, "vllm", 0.75, "", "MODEL_ID"), (2, "org/m@", 0.6, "", "")]),
+        ("FROM ollama/ollama\nFROM ollama/ollama\nEXPOSE 7", [(1, "ollama", 0.75, "", "")]),
+        ("# c\nFROM python\nENV OLLAMA_HOST=x\nEXPOSE 80/tcp 90", [(3, "ollama", 0.7, "80", "OLLAMA_HOST")]),
+        ("ENV OLLAMA_HOST=0\nEXPOSE 1@\nFROM ollama/ollama\nEXPOSE 3", [(1, "ollama", 0.7, "1@", "OLLAMA_HOST")]),
+        ("FROM scratch\nRUN x", []),
+        ("", []),
+        ("FROM nvidia/tritonserver\r\nFROM rayproject/ray\r\n  EXPOSE 1@/udp 5\r\nENV MODEL_ID ${X}", [(1, "triton", 0.75, "", ""), (2, "ray", 0.75, "1@", "MODEL_ID")]),
+    ]),
+    "compose": ("compose.yml", infra.compose_findings, [
+        ("services:\n  a:\n    image: ollama/ollama\n    ports:\n      - '1@:80'\n", [(3, "ollama", 0.75, "1@", "")]),
+        ("image: vllm/vllm\nenvironment:\n  - MODEL_ID=m@\nimage: x\n  - 5:5", [(1, "vllm", 0.75, "", "MODEL_ID"), (3, "m@", 0.6, "", "")]),
+        ("image: 'rayproject/ray'\nimage: rayproject/ray\n- 9:9", [(1, "ray", 0.75, "", "")]),
+        ("# image: ollama/ollama\nOLLAMA_HOST: x", []),
+        ("image: nvidia/tritonserver\n- 1@/tcp:4\n- 6:6\nHUGGING_FACE_HUB_TOKEN: t", [(1, "triton", 0.75, "1@", "HUGGING_FACE_HUB_TOKEN")]),
+        ("MODEL_ID: /local/path\n", []),
+        ("", []),
+        ("image:ollama/ollama\r\nMODEL_ID: \"q@\"\r\n", [(1, "ollama", 0.75, "", "MODEL_ID"), (2, "q@", 0.6, "", "")]),
+    ]),
+}
+
+
+def _infra_shapes_query(name: str):
+    base, reader, shapes = _INFRA_SHAPES[name]
+
+    def run(spark, sf):
+        size = F.col("p_size").cast("string")
+        text = F.coalesce(*[F.when(F.col("p_partkey") % len(shapes) == i, F.replace(F.lit(t), F.lit("@"), size))
+                            for i, (t, _) in enumerate(shapes)])
+        path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(f"/{base}"))
+        f = files_mod.classify(files_mod.from_text(table(spark, sf, "part"), F.col("p_brand"), path, text))
+        return reader(f).select("scan_id", "path", "line", "name", "confidence", F.coalesce("infra.endpoint", F.lit("")).alias("endpoint"),
+                                F.coalesce(F.try_element_at("fields", F.lit("env")), F.lit("")).alias("env"))
+
+    run.__name__ = f"{name}_shapes"
+    filled = lambda v: "concat({0!r}, CAST(p_size AS VARCHAR), {2!r})".format(*v.partition("@")) if "@" in v else repr(v)
+    sql = " UNION ALL ".join(
+        f"SELECT p_brand AS scan_id, concat('p', p_partkey, '/{base}') AS path, {line} AS line, {filled(tool)} AS name, {sure}::DOUBLE AS confidence, "
+        f"{filled(endpoint)} AS endpoint, {env!r} AS env FROM part WHERE p_partkey % {len(shapes)} = {i}"
+        for i, (_, rows) in enumerate(shapes) for line, tool, sure, endpoint, env in rows)
+    return query(sql)(run)
+
+
+for _name in _INFRA_SHAPES:
+    _infra_shapes_query(_name)
+
+
 @query(
     "SELECT scan_id, path, line, kind, name, confidence, endpoint, env FROM ("
     "SELECT p_brand AS scan_id, 'd' || p_partkey || '/Dockerfile' AS path, CASE WHEN p_partkey % 4 = 3 THEN 5 ELSE 3 END AS line, 'infra' AS kind, "

@@ -116,6 +116,39 @@ def advisories(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# A package with a third of all versions and of all ranges, which are narrow, open or empty.
+_HOT_VERSIONS = {
+    "ecosystem": "'pypi'", "package": "CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE concat('p', CAST(o_custkey % 50 AS VARCHAR(10))) END",
+    "version": "CASE WHEN o_orderkey % 101 = 0 THEN 'main' ELSE concat(CAST(o_orderkey % 40 AS VARCHAR(10)), '.', "
+               "CAST(IDIV(o_orderkey, 40) % 977 AS VARCHAR(10)), '.', CAST(o_custkey % 13 AS VARCHAR(10))) END",
+}
+_HOT_RANGES = {
+    "id": "concat('A-', lpad(CAST(p_partkey AS VARCHAR(10)), 7, '0'))", "ecosystem": "'pypi'",
+    "package": "CASE WHEN p_partkey % 3 = 0 THEN 'hot' ELSE concat('p', CAST(p_partkey % 70 AS VARCHAR(10))) END",
+    "introduced": "CASE WHEN p_partkey % 500 < 2 THEN NULL ELSE concat(CAST(p_partkey % 40 AS VARCHAR(10)), '.', CAST((p_partkey * 7) % 977 AS VARCHAR(10))) END",
+    "fixed": "CASE WHEN p_partkey % 500 IN (0, 2) THEN NULL ELSE concat(CAST(p_partkey % 40 AS VARCHAR(10)), '.', "
+             "CAST((p_partkey * 7) % 977 + p_size % 9 - 1 AS VARCHAR(10)), '.5') END",
+}
+_PARTS = lambda c: (f"(TRY_CAST(split_part({c}, '.', 1) AS BIGINT) * 1000000 + TRY_CAST(split_part({c}, '.', 2) AS BIGINT) * 1000 + "
+                    f"coalesce(TRY_CAST(nullif(split_part({c}, '.', 3), '') AS BIGINT), 0))")
+
+
+@query(
+    "WITH v AS (SELECT DISTINCT " + ", ".join(f"{e} AS {n}" for n, e in _HOT_VERSIONS.items()) + " FROM orders), "
+    "r AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _HOT_RANGES.items()) + " FROM part), "
+    f"k AS (SELECT package, version, {_PARTS('version')} AS x FROM v), "
+    f"b AS (SELECT package, id, {_PARTS('introduced')} AS lo, CASE WHEN contains(fixed, '-') THEN split_part(fixed, '.', 1)::BIGINT * 1000000 "
+    f"ELSE {_PARTS('fixed')} END AS hi FROM r) "
+    "SELECT package, version, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM k JOIN b USING (package) "
+    "WHERE (lo IS NULL OR x >= lo) AND (hi IS NULL OR x < hi) GROUP BY ALL")
+def cve_hot_package(spark, sf):
+    """Advisory ranges of a package with thousands of versions and ranges, found by ranks."""
+    coords = table(spark, sf, "orders").selectExpr(*[f"{spark_sql(e)} AS {n}" for n, e in _HOT_VERSIONS.items()]).distinct()
+    ranges = table(spark, sf, "part").selectExpr(*[f"{spark_sql(e)} AS {n}" for n, e in _HOT_RANGES.items()])
+    return vulns.range_hits(coords, ranges).groupBy("package", "version").agg(
+        F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 _NUM = lambda c: f"(CAST(split_part({c}, '.', 1) AS INT) * 1000 + coalesce(TRY_CAST(nullif(split_part({c}, '.', 2), '') AS INT), 0))"
 _MATCH = (
     "p AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _INSTALLED.items()) + " FROM part), "

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import camel_case, confidence_number, confidence_text, is_set
+from ..operators.order import numbered_within
 from ..operators.risks import risk_description, risk_slug, risk_title
 from .tables import KEYS, listed, primary_locations
 
@@ -70,8 +70,8 @@ def vuln_score(score: Column, severity: Column) -> Column:
 def rules(occ: DataFrame, risk_rows: DataFrame, vulns: DataFrame | None = None) -> DataFrame:
     """Rules present in each scan with their running index: detectors, then risks, then CVEs.
 
-    Each block is a distinct per scan first. The index window then holds one row per rule of
-    a scan (detectors are configuration, CVEs are the advisory source), not per result.
+    Each block is a distinct per scan first. The index is a running number over ranges of the sorted rules, so a scan
+    with any number of CVEs is no window of its own.
     """
     detectors = occ.select("scan_id", "detector_id").distinct().select(
         "scan_id", F.lit(0).alias("block"), F.col("detector_id").alias("rule_id"),
@@ -95,8 +95,8 @@ def rules(occ: DataFrame, risk_rows: DataFrame, vulns: DataFrame | None = None)
             text.alias("description"), severity_level(F.col("v.severity")).alias("level"),
             vuln_score(F.col("v.score"), F.col("v.severity")).alias("security_severity"),
         ))
-    order = W.partitionBy("scan_id").orderBy("block", "rule_id")
-    return out.withColumn("rule_index", F.row_number().over(order) - 1).withColumn("name", camel_case(F.col("rule_id")))
+    return numbered_within(out, ["scan_id"], ["block", "rule_id"], "rule_index").withColumn("rule_index", F.col("rule_index").cast("int")).withColumn(
+        "name", camel_case(F.col("rule_id")))
 
 
 def risk_results(component_rows: DataFrame, risk_rows: DataFrame, details: DataFrame) -> DataFrame:
