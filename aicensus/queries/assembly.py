@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble, controls, gate, graph
 from ..plans import pipeline
-from ..reports import cyclonedx, inventory, sarif, tables
+from ..reports import cyclonedx, documents, inventory, sarif, tables
 from ..session import shared_folder, stored
 from .derive import findings, scans
 from .oracle import assembled
@@ -25,27 +25,17 @@ def query(sql: str | None = None):
     return add
 
 
-_PLANS: dict = {}
-
-
-def _plan(spark: SparkSession, sf: str, what: str, make):
-    """Plans (not data) shared by the queries of one application and one input folder."""
-    key = (spark.sparkContext.applicationId, sf, what)
-    if key not in _PLANS:
-        _PLANS[key] = make()
-    return _PLANS[key]
-
-
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, "keyed", lambda: assemble.key_findings(findings(spark, sf)))
+    return assemble.key_findings(findings(spark, sf))
 
 
 def _sighted(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, "sighted", lambda: stored(assemble.sightings(_keyed(spark, sf)), "sightings"))
+    return stored(assemble.sightings(_keyed(spark, sf)), "sightings")
 
 
 def _inventory(spark: SparkSession, sf: str) -> pipeline.Inventory:
-    return _plan(spark, sf, "inventory", lambda: pipeline.build(findings(spark, sf), scans(spark, sf)))
+    """A new inventory for each call: nothing is kept from an earlier query."""
+    return pipeline.build(findings(spark, sf), scans(spark, sf))
 
 
 def r6(name: str):
@@ -447,7 +437,7 @@ def cdx_components(spark, sf):
 _MODEL = "kind IN ('hosted-llm', 'local-model-file', 'embedding-model')"
 
 
-@query(assembled(
+_PROPERTIES = (
     "SELECT scan_id, component_id AS bom_ref, 'asset:' || n AS name, v AS value FROM ("
     "SELECT scan_id, component_id, 'kind' AS n, kind AS v FROM comps UNION ALL SELECT scan_id, component_id, 'kind', kind FROM roots "
     f"UNION ALL SELECT scan_id, component_id, 'confidence', {_TXT} FROM comps UNION ALL SELECT scan_id, component_id, 'confidence', '0' FROM roots "
@@ -460,7 +450,10 @@ _MODEL = "kind IN ('hosted-llm', 'local-model-file', 'embedding-model')"
     f"UNION ALL SELECT scan_id, from_id, 'rel.' || type, to_id || '@' || {_TXT} FROM edges WHERE type NOT IN ('depends-on', 'trained-on') "
     "UNION ALL SELECT scan_id, component_id, 'pickle.risk', severity FROM risks WHERE risk_id = 'RISK-PICKLE-IMPORT' "
     "UNION ALL SELECT scan_id, component_id, 'pickle.imports', string_agg(detail, '|' ORDER BY detail) FROM details "
-    "WHERE risk_id = 'RISK-PICKLE-IMPORT' GROUP BY ALL)", "comps", "roots", "params", "edges", "risks", "details"))
+    "WHERE risk_id = 'RISK-PICKLE-IMPORT' GROUP BY ALL)")
+
+
+@query(assembled(_PROPERTIES, "comps", "roots", "params", "edges", "risks", "details"))
 def cdx_properties(spark, sf):
     inv = _inventory(spark, sf)
     return cyclonedx.properties(inv.components, inv.edges, inv.params, inv.risks, inv.risk_details)
@@ -541,3 +534,62 @@ def multi_output(spark, sf):
     edges = spark.read.schema("type string").json(f"{folder}/edges").groupBy(F.lit("edges").alias("output"), F.col("type").alias("entry")).agg(
         F.count("*").alias("n"))
     return kept.unionByName(edges)
+
+
+def _blocks(spark, leaves) -> DataFrame:
+    return documents.text_blocks(documents.fragments(leaves), 10_000)
+
+
+# The documents of ``doc`` (scan_id, t) in blocks of 10,000 characters.
+_CUT = "SELECT scan_id, block, substr(t, CAST(block * 10000 + 1 AS INTEGER), 10000) AS text FROM (SELECT *, unnest(range(0, (length(t) + 9999) // 10000)) AS block FROM doc)"
+
+
+def _section(name: str, rows: str, owner: str, record: str) -> str:
+    return f"SELECT scan_id, '\"{name}\":[' || string_agg({record}, ',' ORDER BY {owner}, {record}) || ']' AS t FROM {rows} GROUP BY scan_id"
+
+
+@query(assembled("", "edges", "details", "scans").rstrip() + ", a AS (" + _section(
+    "scans", "scans", "scan_id", "'{\"kind\":\"dir\",\"target\":\"' || target || '\"}'") + "), b AS (" + _section(
+    "edges", "edges", "from_id", f"'{{\"from_id\":\"' || from_id || '\",\"type\":\"' || type || '\",\"to_id\":\"' || to_id || '\",\"confidence\":' || {_NUM} "
+    "|| ',\"n_evidence\":' || n_evidence || '}'") + "), c AS (" + _section(
+    "risk_details", "details", "component_id", "'{\"component_id\":\"' || component_id || '\",\"risk_id\":\"' || risk_id || '\",\"detail\":\"' || detail || '\"}'")
+    + "), doc AS (SELECT scan_id, '{\"scan_id\":\"' || scan_id || '\",' || concat_ws(',', a.t, b.t, c.t) || '}' AS t "
+    "FROM a LEFT JOIN b USING (scan_id) LEFT JOIN c USING (scan_id)) " + _CUT)
+def native_documents(spark, sf):
+    """Whole JSON documents of three tables, one per scan."""
+    return _blocks(spark, documents.native_leaves(_inventory(spark, sf), ["scans", "edges", "risk_details"]))
+
+
+_CDX = f"""
+, obj AS (SELECT scan_id, component_id AS ref, '{{"bom-ref":"' || component_id || '","type":"' || {_TYPE} || '","name":"' || name || '"'
+  || coalesce(',"group":"' || nullif(grp, '') || '"', '') || coalesce(',"version":"' || nullif(version, '') || '"', '')
+  || coalesce(',"purl":"' || nullif(purl, '') || '"', '')
+  || coalesce(',"externalReferences":[{{"type":"distribution","url":"' || nullif(url, '') || '"}}]', '')
+  || CASE WHEN kind = 'dataset' THEN ',"data":[{{"type":"dataset","name":"' || name || '"}}]' ELSE '' END AS head FROM comps
+  UNION ALL SELECT scan_id, component_id, '{{"bom-ref":"' || component_id || '","type":"application","name":"' || name || '"' FROM roots),
+h AS (SELECT scan_id, ref, ',"hashes":[' || string_agg('{{"alg":"SHA-256","content":"' || hex || '"}}', ',' ORDER BY hex) || ']' AS t
+  FROM (SELECT DISTINCT scan_id, component_id AS ref, lower(sha) AS hex FROM s WHERE sha <> '') GROUP BY ALL),
+o AS (SELECT scan_id, component_id AS ref, '"occurrences":[' || string_agg('{{"location":"' || path || '"' || CASE WHEN line > 0 THEN ',"line":' || line ELSE '' END
+  || ',"additionalContext":"' || snippet || '"}}', ',' ORDER BY path, line, snippet) || ']' AS t FROM occ GROUP BY ALL),
+i0 AS (SELECT scan_id, component_id AS ref, '{{"field":"' || field || '","concludedValue":"' || value || '","confidence":' || {_NUM} || ',"methods":[{{"technique":"'
+  || CASE WHEN method = 'config-analysis' THEN 'other' ELSE method END || '","confidence":' || {_NUM}
+  || CASE WHEN method = 'config-analysis' THEN ',"value":"' || method || '"' ELSE '' END || '}}]}}' AS t FROM claims),
+i AS (SELECT scan_id, ref, '"identity":[' || string_agg(t, ',' ORDER BY t) || ']' AS t FROM i0 GROUP BY ALL),
+props AS ({_PROPERTIES}),
+p AS (SELECT scan_id, bom_ref AS ref, ',"properties":[' || string_agg('{{"name":"' || name || '","value":"' || value || '"}}', ',' ORDER BY name, value) || ']' AS t
+  FROM props WHERE value IS NOT NULL GROUP BY ALL),
+whole AS (SELECT obj.scan_id, ref, head || coalesce(h.t, '') || CASE WHEN o.t IS NOT NULL OR i.t IS NOT NULL THEN ',"evidence":{{' || concat_ws(',', o.t, i.t) || '}}' ELSE '' END
+  || coalesce(p.t, '') || '}}' AS t FROM obj LEFT JOIN h USING (scan_id, ref) LEFT JOIN o USING (scan_id, ref) LEFT JOIN i USING (scan_id, ref) LEFT JOIN p USING (scan_id, ref)),
+list AS (SELECT scan_id, ',"components":[' || string_agg(t, ',' ORDER BY ref) || ']' AS t FROM whole GROUP BY ALL),
+d0 AS (SELECT scan_id, from_id, '{{"ref":"' || from_id || '","dependsOn":[' || string_agg('"' || to_id || '"', ',' ORDER BY to_id) || ']}}' AS t
+  FROM (SELECT DISTINCT scan_id, from_id, to_id FROM edges WHERE type = 'depends-on') GROUP BY scan_id, from_id),
+d AS (SELECT scan_id, ',"dependencies":[' || string_agg(t, ',' ORDER BY from_id) || ']' AS t FROM d0 GROUP BY ALL),
+doc AS (SELECT scan_id, '{{"bomFormat":"CycloneDX","specVersion":"1.6","scan_id":"' || scan_id || '","metadata":{{"component":{{"type":"application","name":"' || target
+  || '"}}}}' || coalesce(list.t, '') || coalesce(d.t, '') || '}}' AS t FROM scans LEFT JOIN list USING (scan_id) LEFT JOIN d USING (scan_id))
+"""
+
+
+@query(assembled("", "comps", "roots", "s", "occ", "claims", "params", "edges", "risks", "details", "scans").rstrip() + _CDX + _CUT)
+def cdx_documents(spark, sf):
+    """Whole CycloneDX documents, one per scan: components with hashes, evidence and properties, and dependencies."""
+    return _blocks(spark, documents.cyclonedx_leaves(_inventory(spark, sf), ["metadata", "components", "dependencies"]))

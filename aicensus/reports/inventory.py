@@ -11,7 +11,7 @@ from ..functions.text import confidence_number
 from ..plans.pipeline import Inventory
 
 # Record types of the JSON document, in document order.
-_TABLES = [
+TABLES = [
     ("scan", "scans"), ("component", "components"), ("occurrence", "occurrences"), ("claim", "claims"),
     ("license", "licenses"), ("hash", "hashes"), ("risk", "risks"), ("param", "params"), ("edge", "edges"),
     ("vulnerability", "vulns"), ("control", "outcomes"), ("unknown", "unknowns"), ("risk_detail", "risk_details"),
@@ -20,27 +20,29 @@ _TABLES = [
 ]
 
 
+def table_records(inv: Inventory, attr: str) -> DataFrame | None:
+    """One table's rows as JSON: (scan_id, owner, record); None where the inventory has no such table."""
+    df = getattr(inv, attr)
+    if df is None:
+        return None
+    if "confidence" in df.columns:
+        df = df.withColumn("confidence", confidence_number(F.col("confidence")))
+    body = [c for c in df.columns if c not in ("scan_id", "cls", "disc", "finding_seq", "declared_name")]
+    owner = next((c for c in ("component_id", "from_id", "path", "control") if c in df.columns), None)
+    return df.select("scan_id", (F.col(owner) if owner else F.lit("")).alias("owner"), F.to_json(F.struct(*body)).alias("record"))
+
+
 def json_records(inv: Inventory) -> DataFrame:
     """Every inventory row as one JSON line: (scan_id, section, record_type, owner, record).
 
-    A scan's document is its records in (section, owner, record) order. One line per record
-    instead of one value per scan lets a scan of any size be written by many tasks.
+    A scan's records in (section, owner, record) order are what ``documents`` writes as one JSON document.
     """
     out = None
-    for section, (kind, attr) in enumerate(_TABLES):
-        df = getattr(inv, attr)
-        if df is None:
-            continue
-        if "confidence" in df.columns:
-            df = df.withColumn("confidence", confidence_number(F.col("confidence")))
-        drop = [c for c in ("scan_id", "cls", "disc", "finding_seq", "declared_name") if c in df.columns]
-        body = [c for c in df.columns if c not in drop]
-        owner = next((c for c in ("component_id", "from_id", "path", "control") if c in df.columns), None)
-        rows = df.select(
-            "scan_id", F.lit(section).alias("section"), F.lit(kind).alias("record_type"),
-            (F.col(owner) if owner else F.lit("")).alias("owner"), F.to_json(F.struct(*body)).alias("record"),
-        )
-        out = rows if out is None else out.unionByName(rows)
+    for section, (kind, attr) in enumerate(TABLES):
+        rows = table_records(inv, attr)
+        if rows is not None:
+            rows = rows.select("scan_id", F.lit(section).alias("section"), F.lit(kind).alias("record_type"), "owner", "record")
+            out = rows if out is None else out.unionByName(rows)
     return out
 
 
