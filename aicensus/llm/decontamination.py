@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import ship_package
 from .common import stored, words
@@ -158,10 +160,10 @@ def phrases_of(text: str | None, window: int) -> list[tuple[bytes, ...]]:
     return [tuple(found[i:i + window]) for i in range(max(1, len(found) - window + 1))]
 
 
-def search(index: DataFrame, items: list[tuple], window: int | None = WINDOW, slack: int | None = None) -> DataFrame:
+def search(index: DataFrame, items: list[tuple], window: int | None = WINDOW, slack: int | None = None, item_type: str = "bigint") -> DataFrame:
     """One row per document: segment, ordinal, doc_id, n_words, spans (united stretches of hit words), items, hits.
 
-    ``items`` are (item_id, text) of one block. Exact windows by default; ``window=None`` takes whole
+    ``items`` are (item_id, text) of one block, the ids of the Spark type ``item_type``. Exact windows by default; ``window=None`` takes whole
     items as phrases; with ``slack`` all words of a phrase must lie within its length plus ``slack`` words.
     ``hits`` has (item_id, first, last) of every occurrence, by word number in the document.
     """
@@ -173,9 +175,10 @@ def search(index: DataFrame, items: list[tuple], window: int | None = WINDOW, sl
             phrases.setdefault(tuple(vocabulary[w] for w in phrase), set()).add(item)
     held = spark.sparkContext.broadcast((dict(vocabulary), sorted(phrases.items(), key=lambda x: x[0])))
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    own = to_arrow_schema(StructType.fromDDL(f"i {item_type}")).field(0).type
     kinds = {"n_words": pa.int64(), "spans": pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])),
-             "items": pa.list_(pa.int64()),
-             "hits": pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))}
+             "items": pa.list_(own),
+             "hits": pa.list_(pa.struct([("item_id", own), ("first", pa.int32()), ("last", pa.int32())]))}
 
     def rows(seg: Segment) -> list[tuple]:
         known, every = held.value
@@ -221,13 +224,13 @@ def search(index: DataFrame, items: list[tuple], window: int | None = WINDOW, sl
                      seg.doc_ids, *(pa.array(c, t) for c, t in zip(columns, kinds.values()))], names=["segment", "ordinal", "doc_id", *kinds])
 
     return index.mapInArrow(
-        run, f"segment string, ordinal int, doc_id {kind}, n_words long, spans array<struct<first:int,last:int>>, items array<long>, "
-             "hits array<struct<item_id:long,first:int,last:int>>")
+        run, f"segment string, ordinal int, doc_id {kind}, n_words long, spans array<struct<first:int,last:int>>, "
+             f"items array<{item_type}>, hits array<struct<item_id:{item_type},first:int,last:int>>")
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
     """The distinct items in blocks of about ``block_bytes``, dealt by a hash; one block is on the driver at a time."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL").distinct()
+    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     count = max(1, -(-int(total) // block_bytes))
     for k in range(count):
@@ -240,7 +243,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, spans, items, n_hit (words inside any occurrence)."""
     index = build_index(docs, id_col, text_col)
-    parts = [search(index, block, window).drop("hits")
+    item_type = benchmark.schema[item_col].dataType.simpleString()
+    parts = [search(index, block, window, item_type=item_type).drop("hits")
              for block in blocks(benchmark, item_col, item_text_col, block_bytes)]
     found = parts[0]
     if len(parts) > 1:

@@ -59,7 +59,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns; of rows that repeat an id and its text, any one stays."""
     kept = exact_dedup(df, id_col, text_col).filter("kept").select(
         F.struct("doc_id", "digest").alias("_dedup_key"))
     keyed = df.withColumn("_dedup_key", F.struct(

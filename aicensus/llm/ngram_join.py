@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row with the smallest id of each class, with all its columns."""
+    """The row with the smallest id of each class, with all its columns; of rows that repeat its id and text, any one stays."""
     key = lambda i, k: F.struct(i.alias("id"), k.alias("text_key"))
     kept = near_duplicates(docs, id_col, text_col, **options).filter("stays").select(
         key(F.col("doc_id"), F.col("text_key")).alias("_class_key"))

@@ -154,7 +154,8 @@ FROM documents JOIN class ON a = doc_id""",
     "op4_url_lists": f"""
 WITH capture AS (SELECT page_id, url, CAST(DATE '2020-01-01' + CAST((page_id * 37) % 1500 AS INTEGER) AS DATE) AS fetched_on,
   nullif(rtrim(regexp_extract(lower(url), '{url_lists.HOST}', 1), '.'), '') AS host FROM pages),
-asked AS (SELECT DISTINCT host, fetched_on, string_split(host, '.') AS l FROM capture WHERE host IS NOT NULL),
+asked AS (SELECT DISTINCT host, fetched_on, CASE WHEN regexp_matches(host, '{url_lists.ADDRESS}') THEN [host] ELSE string_split(host, '.') END AS l
+  FROM capture WHERE host IS NOT NULL),
 above AS (SELECT host, fetched_on, array_to_string(l[i:], '.') AS domain FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM asked)),
 listed AS (SELECT DISTINCT domain, CAST('0x' || substr(md5(domain), 1, 6) AS INTEGER) AS v FROM above WHERE domain LIKE '%.%'),
 event AS (""" + " UNION ALL ".join(

@@ -109,7 +109,7 @@ def judge(model: Model, weights: Weights, text: str | None) -> tuple[int, list[t
 def probability(model: Model, tail: float) -> float:
     if model.curve is None:
         return 0.0
-    x = model.curve[0] + model.curve[1] * min(tail, 20.0)
+    x = model.curve[0] + model.curve[1] * math.log1p(tail)
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
@@ -167,11 +167,10 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, only: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_rows: int = 20_000, min_texts: int = 4, prior: float = 500.0,
-        max_words: int = 20_000) -> Model:
+        label_col: str = "toxic", max_rows: int = 20_000, min_texts: int = 4, prior: float = 500.0) -> Model:
     """The model, learnt from labelled rows for which ``only`` (over doc_id) holds.
 
-    ``max_rows`` bounds the sample, ``max_words`` the words kept as evidence (the strongest).
+    ``max_rows`` bounds the sample and with it the words that can be evidence; all of these are kept.
     """
     ship_package(docs.sparkSession)
     sample = training_rows(labels, id_col, label_col, only, max_rows)
@@ -193,8 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, only: Column | None = None, id_col:
     scored = counts.filter(F.col("toxic") >= min_texts).withColumn(
         "weight", odds("toxic", n_toxic) - odds("other", n_other)).withColumn(
         "z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("other") + alpha)))
-    strong = scored.filter(F.col("z") > math.sqrt(2 * math.log(max(totals["tested"], 3)))).orderBy(
-        F.desc("z"), "word").limit(max_words).collect()
+    strong = scored.filter(F.col("z") > math.sqrt(2 * math.log(max(totals["tested"], 3)))).orderBy(F.desc("z"), "word").collect()
     model = Model({bytes(r["word"]): float(r["weight"]) for r in strong})
     if strong:
         scores = np.array([r["weight"] for r in strong])
@@ -208,16 +206,16 @@ def fit(docs: DataFrame, labels: DataFrame, only: Column | None = None, id_col:
             values = [round(judge(held.value, weights, t.as_py())[2], 1) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), batch.column(1)], names=["tail", "toxic"])
 
-    rows = texts.mapInArrow(tails, "tail double, toxic boolean").select(
-        F.least("tail", F.lit(20.0)).alias("tail"), "toxic").groupBy("tail", "toxic").count().collect()
+    rows = texts.mapInArrow(tails, "tail double, toxic boolean").groupBy("tail", "toxic").count().collect()
     texts.unpersist()
-    # Every tenth of the tail is one row here, so the table is small; its counts are the weights.
+    # At most one row per text of the sample, and one per tenth of the tail; the counts are the weights. The curve
+    # runs over the logarithm of the tail, so that extreme passages count without ruling it.
     model.curve = weighted_logistic(rows)
     return model
 
 
 def weighted_logistic(rows: list) -> tuple[float, float]:
-    x = np.repeat([r["tail"] for r in rows], [r["count"] for r in rows])
+    x = np.repeat(np.log1p([r["tail"] for r in rows]), [r["count"] for r in rows])
     y = np.repeat([float(r["toxic"]) for r in rows], [r["count"] for r in rows])
     return logistic(x, y)
 

@@ -7,7 +7,8 @@ years they touch, so the as-of join is an equality on (domain, year) and a domai
 spread. Captures are first folded to distinct (host, day) pairs: a host with a third of all captures is
 judged once a day, and the join back spreads it over its days.
 
-An entry covers its domain and all below it. Hosts are lower-case, without user, port and closing dot.
+An entry covers its domain and all below it. Hosts are lower-case, without user, port and closing dot; an address, bracketed
+or of four numbers, is covered by its own entry only.
 
 Defined results: a capture without a usable host (null or no URL, host over 253 characters) or without a day
 matches nothing and is not blocked; events without domain or day are ignored; rows that repeat each get a row.
@@ -18,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)"
+# Hosts that are addresses: four numbers, or anything in brackets.
+ADDRESS = r"^(?:[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*)$"
 
 
 def host_of(url: Column) -> Column:
@@ -27,8 +30,8 @@ def host_of(url: Column) -> Column:
 
 
 def domains_of(host: Column) -> Column:
-    """The host and every domain above it."""
-    labels = F.split(host, r"\.")
+    """The host and every domain above it; an address has none."""
+    labels = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
         F.slice(labels, i, F.size(labels) - i + 1), "."))
 

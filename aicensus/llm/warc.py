@@ -27,14 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, stored
+from ..sources.corpus import open_root
 
 END = b"\r\n\r\n"
 FIRST = b"WARC/1.1\r\n"
 VERSION = b"WARC/"
 SEPARATOR = END + VERSION
 LINE_ENDS = re.compile(rb"[\r\n]*")
-# Number of a continuation that states none: behind all others, so its record is not whole.
+# Number of a segment that states none, or none that can be read: behind all others, so its record is not whole.
 UNNUMBERED = (1 << 31) - 1
 
 
@@ -226,9 +227,11 @@ def payload_of(block: bytes) -> tuple[bytes, bool]:
     if at < 0:
         return b"", False
     body = block[at + len(END):]
-    if parse_head(block[:at]).get("transfer-encoding", "").lower() == "chunked":
+    codings = [c.strip().lower() for c in parse_head(block[:at]).get("transfer-encoding", "").split(",")]
+    codings = [c for c in codings if c not in ("", "identity")]
+    if codings == ["chunked"]:
         return unchunked(body)
-    return body, True
+    return body, not codings
 
 
 FIELDS = ("record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, "
@@ -238,9 +241,18 @@ _KINDS = {"record_id": pa.string(), "record_type": pa.string(), "target_uri": pa
 _SEGMENT = {"origin": pa.string(), "number": pa.int32(), "total": pa.int64(), "block": pa.binary()}
 
 
+# Types of records that hold a payload; that of a response lies behind an HTTP head.
+BODIES = ("response", "resource", "conversion")
+
+
+def stated_number(text: str | None, most: int) -> int | None:
+    """A number from 0 to ``most``, or None for any other text."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 20 and int(text) <= most else None
+
+
 def finished(row: dict, block: bytes, whole: bool, payloads: bool) -> dict:
-    """The row of a response, with its payload decoded and verified."""
-    payload, framed = payload_of(block)
+    """The row of a record with a payload, which is decoded and verified."""
+    payload, framed = payload_of(block) if row["record_type"] == "response" else (block, True)
     digest = base32_sha1(payload)
     stated = (row["payload_digest"] or "").removeprefix("sha1:")
     status = "length" if not whole else "framing" if not framed else "digest" if stated and stated != digest else "ok"
@@ -252,11 +264,37 @@ def to_batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()], names=list(kinds))
 
 
+def separated(source: pa.NativeFile, block: int = 8 << 20) -> Iterator[bytes]:
+    """The pieces of a file between separators, read block by block."""
+    held = b""
+    while found := source.read(block):
+        *pieces, held = (held + found).split(SEPARATOR)
+        yield from pieces
+    yield held
+
+
+def plain_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """file, value of archives that are not compressed. Spark would split these at any separator, also one inside a payload;
+    here a task reads a file from its beginning."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, at = open_root(path)
+                with system.open_input_stream(at) as source:
+                    for piece in separated(source):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([piece], pa.binary())], names=["file", "value"])
+
+    # Only names are asked for, so no content is read here.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter("length > 0").select("path")
+    return listed.filter(~F.col("path").endswith(".gz")).mapInArrow(run, "file string, value binary")
+
+
 def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """One row per response and revisit: FIELDS. Revisits have the stated digest and no payload."""
+    """One row per record: FIELDS. Responses, resources and conversions have a verified payload; revisits the stated digest."""
     ship_package(spark)
-    lines = spark.read.option("lineSep", SEPARATOR.decode()).text(folder).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    packed = spark.read.option("lineSep", SEPARATOR.decode()).option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).text(folder)
+    lines = packed.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).unionByName(
+        plain_pieces(spark, folder))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = ((f, v.as_py()) for b in batches for f, v in zip(b.column(0).to_pylist(), b.column(1)))
@@ -264,16 +302,16 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
         rows, size = [], 0
         for fields, block, whole in records_in(pieces):
             number, kind, origin = (fields.get(f"warc-{x}") for x in ("segment-number", "type", "segment-origin-id"))
-            if kind == "continuation" and origin and not number:
-                number = UNNUMBERED
+            # A number that cannot be read is behind all others, so its record is not whole.
+            segment = number is not None or kind == "continuation" and origin
+            number = stated_number(number, UNNUMBERED - 1) or UNNUMBERED
             row = {"record_id": bare(fields.get("warc-record-id")), "record_type": kind,
                    "target_uri": fields.get("warc-target-uri"), "refers_to": bare(fields.get("warc-refers-to")),
                    "payload_digest": fields.get("warc-payload-digest"), "status": "ok" if whole else "length"}
-            if number:
-                row |= {"number": int(number), "block": block, "total": fields.get("warc-segment-total-length")}
-                row["total"] = int(row["total"]) if row["total"] else None
+            if segment:
+                row |= {"number": number, "block": block, "total": stated_number(fields.get("warc-segment-total-length"), (1 << 63) - 1)}
                 size += len(block)
-            elif kind == "response":
+            elif kind in BODIES:
                 row = finished(row, block, whole, payloads)
                 size += row["payload_bytes"] * payloads
             elif kind == "revisit":
@@ -296,9 +334,12 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
             block = b"".join(r["block"] for r in group)
             whole = [r["number"] for r in group] == list(range(1, len(group) + 1)) and last["total"] == len(block) and all(
                 r["status"] == "ok" for r in group)
-            return [finished(first, block, whole, payloads)] if first["record_type"] == "response" else [
-                {"record_id": first["origin"], "record_type": "response", "target_uri": first["target_uri"],
-                 "status": "length"}]
+            if first["record_type"] in BODIES:
+                return [finished(first, block, whole, payloads)]
+            # Without its first segment a record's type is not known; other types keep theirs.
+            kind = "response" if first["record_type"] == "continuation" else first["record_type"]
+            return [{"record_id": first["origin"], "record_type": kind, "target_uri": first["target_uri"],
+                     "status": "ok" if whole else "length"}]
 
         for batch in batches:
             out = []
@@ -313,4 +354,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
             yield to_batch(close(), _KINDS)
 
     parsed = lines.mapInArrow(parse, FIELDS + ", origin string, number int, total long, block binary")
-    return parsed.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(reassemble, FIELDS)
+    grouped = lambda rows: rows.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(reassemble, FIELDS)
+    if not payloads:  # whole records are narrow rows here
+        return grouped(parsed)
+    parsed = stored(parsed, "warc-parsed")  # read twice, so that payloads of whole records cross no shuffle
+    return parsed.filter("number IS NULL").drop("origin", "number", "total", "block").unionByName(grouped(parsed.filter("number IS NOT NULL")))

@@ -3,6 +3,7 @@ import random
 import pytest
 from aicensus.llm import decontamination as d
 from aicensus.llm.common import words
+from pyspark.sql import functions as F
 
 random.seed(2)
 WORDS = [f"w{i}" for i in range(30)] + ["the"] * 10
@@ -69,3 +70,15 @@ def test_repeated_items_are_in_a_block_once(spark):
     items = [(i, f"item {i} of some words") for i in range(20)] + [(1, "item 1 of some words"), (None, "no id")] * 300
     found = list(d.blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 200))
     assert len(found) == 3 and sorted(map(str, sum(found, []))) == sorted(map(str, set(items)))
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)"])
+def test_item_ids_of_any_type(docs, spark, kind):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    if kind == "string":
+        bench = bench.withColumn("item_id", F.concat(F.lit("item-"), "item_id"))
+    found = d.contamination(docs(ROWS), bench, block_bytes=300)
+    assert dict(found.dtypes)["items"] == f"array<{kind}>"
+    bare = lambda i: int(str(i).removeprefix("item-"))
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], sorted(map(bare, r["items"]))) for r in found.collect()]
+    assert sorted(got, key=str) == brute(ROWS, ITEMS)

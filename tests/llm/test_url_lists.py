@@ -62,3 +62,15 @@ def test_empty_tables(spark):
     captures = spark.createDataFrame([(1, "http://a.com", on(1))], "page_id int, url string, fetched_on date")
     assert not u.judge_captures(captures, u.validity(events)).first()["blocked"]
     assert u.judge_captures(captures.limit(0), u.validity(events)).count() == 0
+
+
+def test_addresses_have_no_domains_above(spark):
+    urls = {"http://[2001:db8::1]/x": ("[2001:db8::1]", ["[2001:db8::1]"]), "https://u@[::1]:80": ("[::1]", ["[::1]"]),
+            "http://1.2.3.4:8080/": ("1.2.3.4", ["1.2.3.4"]), "http://[broken/": (None, None),
+            "http://1.2.3.4.com": ("1.2.3.4.com", ["1.2.3.4.com", "2.3.4.com", "3.4.com", "4.com", "com"])}
+    rows = spark.createDataFrame([(x,) for x in urls], "url string").select("url", u.host_of(F.col("url")).alias("h")).select(
+        "url", "h", u.domains_of(F.col("h")).alias("d")).collect()
+    assert {r["url"]: (r["h"], r["d"]) for r in rows} == urls
+    events = spark.createDataFrame([("[::1]", "x", DAY, True), ("3.4", "x", DAY, True)], "domain string, category string, day date, listed boolean")
+    captures = spark.createDataFrame([("http://[::1]/", DAY), ("http://1.2.3.4/", DAY)], "url string, fetched_on date")
+    assert {r["url"]: r["blocked"] for r in u.judge_captures(captures, u.validity(events)).collect()} == {"http://[::1]/": True, "http://1.2.3.4/": False}

@@ -132,3 +132,60 @@ def test_cut_segments_are_reported_once(spark, tmp_path, n):
     (tmp_path / "c.warc").write_bytes(b"".join(records[n:]))
     rows = warc.read_archives(spark, str(tmp_path)).collect()
     assert [(r["record_id"], r["status"]) for r in rows] == [("urn:page:1:d:1", "length")]
+
+
+def segment(n, kind, body, **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{n}>", "Content-Length": len(body)} | {k.replace("_", "-"): v for k, v in fields.items()}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + warc.END
+
+
+@pytest.mark.parametrize("number", ["x", "", "0", "-1", "2147483648", "9" * 40, "1.0"])
+def test_segment_numbers_that_cannot_be_read(spark, tmp_path, number):
+    (tmp_path / "a.warc").write_bytes(
+        segment(1, "response", b"HTTP/1.1 200 OK\r\n\r\nabc", WARC_Segment_Number=number)
+        + segment(2, "continuation", b"def", WARC_Segment_Origin_ID="<urn:1>", WARC_Segment_Number="2", WARC_Segment_Total_Length="x" + number)
+        + segment(3, "resource", b"whole"))
+    rows = {r["record_id"]: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"urn:1", "urn:3"} and rows["urn:1"]["status"] == "length" and rows["urn:3"]["status"] == "ok"
+
+
+@pytest.mark.parametrize("payloads", [False, True])
+def test_segmented_records_keep_their_type(spark, tmp_path, payloads):
+    with gzip.open(tmp_path / "a.gz", "wb") as f:
+        f.write(segment(2, "continuation", b"def", WARC_Segment_Origin_ID="<urn:1>", WARC_Segment_Number="2", WARC_Segment_Total_Length="6")
+                + segment(1, "resource", b"abc", WARC_Segment_Number="1") + segment(3, "conversion", b"text")
+                + segment(5, "metadata", b"m", WARC_Segment_Number="1", WARC_Segment_Total_Length="1"))
+    rows = {r["record_id"]: r for r in warc.read_archives(spark, str(tmp_path), payloads=payloads).collect()}
+    assert {k: (r["record_type"], r["status"], r["payload_bytes"]) for k, r in rows.items()} == {
+        "urn:1": ("resource", "ok", 6), "urn:3": ("conversion", "ok", 4), "urn:5": ("metadata", "ok", None)}
+    assert rows["urn:1"]["payload_digest"] == warc.base32_sha1(b"abcdef")
+    assert rows["urn:1"]["payload"] == (b"abcdef" if payloads else None)
+
+
+@pytest.mark.parametrize("field, body, want", [
+    ("chunked", b"3\r\nabc\r\n0\r\n\r\n", (b"abc", True)), ("Chunked , identity", b"3\r\nabc\r\n0\r\n\r\n", (b"abc", True)),
+    ("identity", b"abc", (b"abc", True)), ("", b"abc", (b"abc", True)), ("gzip, chunked", b"abc", (b"abc", False)), ("gzip", b"abc", (b"abc", False))])
+def test_transfer_codings(field, body, want):
+    assert warc.payload_of(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: " + field.encode() + b"\r\n\r\n" + body) == want
+
+
+def test_plain_archives_are_read_from_their_beginning(spark, tmp_path):
+    """A payload full of separators, in a file that Spark would split inside it."""
+    inner = b"".join(old_record(f"no{i}", b"x" * 100) for i in range(2000))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.warc").write_bytes(old_record(1, inner) + old_record(2, b"last"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = {r["record_id"]: r for r in warc.read_archives(spark, str(tmp_path), payloads=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {k: (bytes(r["payload"]), r["status"]) for k, r in rows.items()} == {"urn:1": (inner, "ok"), "urn:2": (b"last", "ok")}
+
+
+def test_pieces_of_any_block_size():
+    import pyarrow as pa
+
+    data = b"WARC/1.0\r\na" + warc.SEPARATOR + b"b" + warc.SEPARATOR + warc.SEPARATOR + b"c\r\n\r"
+    for size in (1, 2, 3, 8, 100):
+        assert list(warc.separated(pa.BufferReader(data), size)) == data.split(warc.SEPARATOR)
