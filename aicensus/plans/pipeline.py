@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import is_set, lines_of, snippet
@@ -95,18 +95,37 @@ def project_file() -> Column:
     return F.col("path").rlike(_PROJECT_FILES) | F.col("path").rlike(_WEIGHTS)
 
 
-def routed_files(prepared: DataFrame, everything: bool = False) -> DataFrame:
-    """The files with their routes, each selector evaluated once; only files that some detector reads, or all."""
-    rows = with_routes(prepared, {"project": project_file()})
-    return rows if everything else rows.filter(F.col(ROUTES) != "")
+class Watch:
+    """Counts gathered while the detection's tables are written, without a pass of their own: files walked, their bytes,
+    files that some detector reads, and for each per-file detector its files and its findings."""
+
+    def __init__(self):
+        self._walk, self._found = Observation(), Observation()
+        self._ids = [s.detector_id for s in SELECTORS]
+
+    def walk(self, routed: DataFrame) -> DataFrame:
+        read = [F.count_if(F.col(ROUTES).contains(f"|{d}|")).alias(d) for d in self._ids]
+        return routed.observe(self._walk, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+                              F.count_if(F.col(ROUTES) != "").alias("routed"), *read)
+
+    def found(self, findings: DataFrame) -> DataFrame:
+        owner = F.when(F.col("detector_id").startswith("rules/"), "ruleengine").otherwise(F.col("detector_id"))
+        return findings.observe(self._found, *(F.count_if(owner == d).alias(d) for d in self._ids))
+
+    def totals(self) -> dict[str, int]:
+        return {n: self._walk.get[n] for n in ("files", "bytes", "routed")}
+
+    def detectors(self) -> dict[str, tuple[int, int]]:
+        """Detector id to (files read, findings)."""
+        return {d: (self._walk.get[d], self._found.get[d]) for d in self._ids}
 
 
 def detect(
     files: DataFrame, rules: list[dict], *, any_language: bool = False, max_bytes: int | None = None,
     user_globs: tuple[str, ...] = (), detectors: set[str] | str | None = None, stage: bool = True,
-    user_detectors: tuple[Callable[[DataFrame], DataFrame], ...] = (),
+    user_detectors: tuple[Callable[[DataFrame], DataFrame], ...] = (), watch: Watch | None = None,
 ):
-    """files -> (findings, unknowns).
+    """files -> (findings, unknowns). ``watch`` counts along (only with ``stage``).
 
     ``detectors`` is a set of ids or a selection expression (see ``select_detectors``). A user detector maps the
     files to findings rows; snippets it leaves out are filled from the line it names.
@@ -117,12 +136,16 @@ def detect(
         detectors = {s.detector_id for s, _ in select_detectors(detectors)}
     prepared = prepare(files, max_bytes, user_globs)
     if stage:
-        prepared = stored(routed_files(prepared, any_language or bool(user_detectors)), "routed-files", (ROUTES,), _ROW_GROUP)
+        rows = with_routes(prepared, {"project": project_file()})
+        rows = rows if watch is None else watch.walk(rows)
+        if not any_language and not user_detectors:
+            rows = rows.filter(F.col(ROUTES) != "")
+        prepared = stored(rows, "routed-files", (ROUTES,), _ROW_GROUP)
     findings, unknowns = detect_files(prepared, rules, any_language, detectors)
     for detector in user_detectors:
         findings = findings.unionByName(fill_snippets(_finish(detector(prepared.drop(ROUTES)), 1), prepared))
     if stage:
-        findings = stored(findings, "findings")
+        findings = stored(findings if watch is None else watch.found(findings), "findings")
     if detectors is None or any(d in detectors for d in _PROJECT):
         held = prepared.filter(F.col(ROUTES).contains("|project|")) if stage else prepared
         findings = findings.unionByName(detect_projects(held, findings))

@@ -900,27 +900,30 @@ def selected_detectors(spark, sf):
 # ── artifacts over one MiB ───────────────────────────────────────────────────
 
 
-@query("SELECT 'm/n' || n_nationkey || '.gguf' AS path, 'arch-' || n_nationkey AS architecture, '__class__,os.system' AS risk_detail FROM nation")
+# Lengths that grow with the row; every fortieth is over a MiB.
+_LONG = "CAST(CASE WHEN s_suppkey % 40 = 0 THEN 1100000 + s_suppkey ELSE s_suppkey * 37 % 5000 END AS INT)"
+
+
+@query("SELECT 'm/n' || s_suppkey || '.gguf' AS path, 'arch-' || s_nationkey AS architecture, '__class__,os.system' AS risk_detail FROM supplier")
 def gguf_long_array(spark, sf):
-    """A tokenizer array of over a million values stands before the template that the screen must see."""
-    n = F.col("n_nationkey").cast("int") + 1_100_000
+    """A tokenizer array, often of over a million values, stands before the template that the screen must see."""
+    n, arch = F.expr(_LONG), F.concat(F.lit("arch-"), F.col("s_nationkey").cast("string"))
     key = lambda k: F.concat(_le(F.lit(len(k)), 8), F.encode(F.lit(k), "UTF-8"))
     array = F.concat(key("tokenizer.ggml.token_type"), _le(F.lit(9), 4), _le(F.lit(0), 4), _le(n, 8), F.unhex(F.repeat(F.lit("01"), n)))
     content = F.concat(
-        F.unhex(F.lit("47475546")), _le(F.lit(3), 4), _le(F.lit(0), 8), _le(F.lit(3), 8),
-        _gguf_text("general.architecture", F.concat(F.lit("arch-"), F.col("n_nationkey").cast("string"))), array,
+        F.unhex(F.lit("47475546")), _le(F.lit(3), 4), _le(F.lit(0), 8), _le(F.lit(3), 8), _gguf_text("general.architecture", arch), array,
         _gguf_text("tokenizer.chat_template", F.lit("{{ x.__class__ }} os.system")))
-    f = _binary_files(spark, sf, "nation", "concat('m/n', CAST(n_nationkey AS STRING), '.gguf')", content)
+    f = _binary_files(spark, sf, "supplier", "concat('m/n', CAST(s_suppkey AS STRING), '.gguf')", content)
     return artifacts.walked_findings(artifacts.artifact_facts(f)).select(
         "path", F.col("model.architecture").alias("architecture"), F.array_join(F.get("risks", F.lit(0))["detail"], ",").alias("risk_detail"))
 
 
-@query("SELECT 'm/n' || n_nationkey || '.safetensors' AS path, 1 AS tensor_count, CAST(n_nationkey + 1 AS BIGINT) AS param_count, 'pt' AS metadata_format FROM nation")
+@query("SELECT 'm/n' || s_suppkey || '.safetensors' AS path, 1 AS tensor_count, CAST(s_nationkey + 1 AS BIGINT) AS param_count, 'pt' AS metadata_format FROM supplier")
 def large_safetensors(spark, sf):
-    """Headers of over a million bytes."""
-    doc = F.concat(F.lit('{"__metadata__": {"format": "pt", "note": "'), F.repeat(F.lit("x"), F.col("n_nationkey").cast("int") + 1_100_000), F.lit('"}, "a": {"dtype": "BF16", "shape": ['),
-                   (F.col("n_nationkey") + 1).cast("string"), F.lit('], "data_offsets": [0, 1]}}'))
+    """Headers that grow with the row, some over a million bytes."""
+    doc = F.concat(F.lit('{"__metadata__": {"format": "pt", "note": "'), F.repeat(F.lit("x"), F.expr(_LONG)), F.lit('"}, "a": {"dtype": "BF16", "shape": ['),
+                   (F.col("s_nationkey") + 1).cast("string"), F.lit('], "data_offsets": [0, 1]}}'))
     content = F.concat(_le(F.length(doc), 8), F.encode(doc, "UTF-8"), F.unhex(F.lit("00FF")))
-    f = _binary_files(spark, sf, "nation", "concat('m/n', CAST(n_nationkey AS STRING), '.safetensors')", content)
+    f = _binary_files(spark, sf, "supplier", "concat('m/n', CAST(s_suppkey AS STRING), '.safetensors')", content)
     return artifacts.safetensors_facts(routing.routed(f, "modelfile/safetensors")).select(
         "path", "tensor_count", "param_count", "metadata_format")

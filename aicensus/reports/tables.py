@@ -122,11 +122,12 @@ def compliance_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("scan_id", "framework").agg(F.count("*").alias("controls"), n("met"), n("gap"), n("manual"))
 
 
-def compliance_report(outcomes: DataFrame, evidence: DataFrame, component_rows: DataFrame, occ: DataFrame) -> DataFrame:
-    """Report rows: up to eight evidence items of each control, and how many more there are.
+def compliance_report(outcomes: DataFrame, evidence: DataFrame, component_rows: DataFrame, occ: DataFrame,
+                      items: int = LISTED_EVIDENCE) -> DataFrame:
+    """Report rows: up to ``items`` evidence items of each control, and how many more there are.
 
-    The eight smallest component ids are found in two steps: the first keeps eight per
-    (control, hash bucket), so no single task ever sorts all evidence of a hot control.
+    The smallest component ids are found in two steps: the first keeps as many per
+    (control, hash bucket), so no single task ever sorts all evidence of a hot control. ``evidence`` itself holds all.
     """
     ctl = ["scan_id", "framework", "control"]
     # The smallest "path:line" text, not the smallest (path, line): "a:10" < "a:9".
@@ -135,8 +136,8 @@ def compliance_report(outcomes: DataFrame, evidence: DataFrame, component_rows:
     bucket = evidence.withColumn("_b", F.pmod(F.xxhash64("component_id"), F.lit(256)))
     first = lambda *keys: W.partitionBy(*keys).orderBy("component_id")
     few = (
-        bucket.withColumn("_r", F.row_number().over(first(*ctl, "_b"))).filter(F.col("_r") <= LISTED_EVIDENCE)
-        .withColumn("_r", F.row_number().over(first(*ctl))).filter(F.col("_r") <= LISTED_EVIDENCE)
+        bucket.withColumn("_r", F.row_number().over(first(*ctl, "_b"))).filter(F.col("_r") <= items)
+        .withColumn("_r", F.row_number().over(first(*ctl))).filter(F.col("_r") <= items)
         .drop("_b")
     )
     named = few.join(component_rows.select(*KEYS, "name"), KEYS).join(spots, KEYS, "left")
@@ -147,8 +148,8 @@ def compliance_report(outcomes: DataFrame, evidence: DataFrame, component_rows:
         .alias("items")
     )
     n = F.col("n_components")
-    more = F.when(n > LISTED_EVIDENCE, F.concat(
-        F.lit("; …(+"), (n - LISTED_EVIDENCE).cast("string"), F.lit(" more)"))).otherwise("")
+    more = F.when(n > items, F.concat(
+        F.lit("; …(+"), (n - items).cast("string"), F.lit(" more)"))).otherwise("")
     label = F.when(F.col("state") == "manual", "manual").otherwise(F.concat(F.lit("**"), F.upper("state"), F.lit("**")))
     return outcomes.join(cells, ctl, "left").select(
         *ctl, "ord", markdown_cell(F.col("title")).alias("title"), "state", label.alias("label"),

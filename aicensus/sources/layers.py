@@ -59,7 +59,7 @@ def _marked(entries: DataFrame) -> DataFrame:
         cleaned(entries)
         .filter(F.col("path") != "")
         .withColumn("_base", base)
-        .withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+        .withColumn("_dir", F.regexp_replace(F.expr("substring(path, 1, length(path) - length(_base))"), "/$", ""))
         .withColumn(
             "_role",
             F.when(F.col("_base") == OPAQUE_MARKER, "opaque")
@@ -81,7 +81,8 @@ def visible_versions(entries: DataFrame, whiteout_hides_subtree: bool = False) -
     The join left is an equi-join with at most one match per (file, directory), and no path
     however often rewritten becomes one window.
     """
-    named = _marked(entries.select("image", "layer_idx", "entry_seq", "path", "type"))
+    # Files, whiteouts and opaque markers are read apart below; paths are cleaned once.
+    named = stored(_marked(entries.select("image", "layer_idx", "entry_seq", "path", "type")).filter("_role IS NOT NULL"), "layer-paths")
     bare = F.expr(f"substring(_base, {len(WHITEOUT_PREFIX) + 1})")
     target = F.when(bare.isin("", ".", ".."), clean_path(F.concat_ws("/", "_dir", bare))).when(
         F.col("_dir") == "", bare

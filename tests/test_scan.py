@@ -5,12 +5,14 @@ import pytest
 from aicensus.operators import artifacts, regions, rule_scan, rules
 from aicensus.plans import pipeline
 from aicensus.operators.literals import LiteralIndex
+from aicensus.reports import tables
 from aicensus.rulepacks.shipped import SHIPPED
 from aicensus.session import stored
 from aicensus.sources import files, layers
 from aicensus.sources.files import prepare
-from aicensus.sources.routing import ROUTES, routed
+from aicensus.sources.routing import ROUTES, route, routed, with_routes
 from helpers import files_frame
+from pyspark.sql import functions as F
 
 APP = '''"""Docs: client.chat.completions.create(model="gpt-4")"""
 import chromadb
@@ -119,7 +121,7 @@ def test_payloads_cross_no_shuffle(spark):
 def test_detectors_read_their_partitions(spark):
     """Selectors are evaluated when the files are routed and never again."""
     f = files_frame(spark, [("s", "requirements.txt", "openai==1\n"), ("s", "package.json", "{}"), ("s", "x.go", "package x"), ("s", "notes.md", "n")])
-    held = stored(pipeline.routed_files(prepare(f)), "routed", (ROUTES,))
+    held = stored(with_routes(prepare(f), {}).filter(F.col(ROUTES) != ""), "routed", (ROUTES,))
     assert {(r["path"], r[ROUTES]) for r in held.collect()} == {
         ("requirements.txt", "|manifest/pypi-requirements|"), ("package.json", "|manifest/npm|"), ("x.go", "|gosrc/ast|ruleengine|")}
     for detector in ("manifest/npm", "gosrc/ast"):
@@ -133,3 +135,17 @@ def test_literal_index():
     for text in (b"", b"a", b"xopenaix", b"import  torch", b"import torch", b"OPENAI", b"\0\xff\xfe\xfd\xfc", b"torc", b"zzzz" * 5000 + b"openai"):
         assert [index.literals[i] for i in index.present(text)] == [w for w in index.literals if w in text], text
         assert index.any(text) == any(w in text for w in words)
+
+
+def test_counts_come_from_the_detection(spark):
+    """One pass: the counts of a detection are those of routing and findings computed on their own."""
+    f = files_frame(spark, [("s", "requirements.txt", "openai==1\nchromadb\n"), ("s", "a/requirements.txt", "torch"), ("t", "x.go", "package x"),
+                            ("t", "notes.md", "n"), ("t", "app.py", "import openai\nopenai.chat.completions.create(model='gpt-4o')\n")])
+    loaded = rules.load_rules(rules.effective_rules(rules.rules_from(spark, SHIPPED)))
+    watch = pipeline.Watch()
+    found, _ = pipeline.detect(f, loaded, watch=watch)
+    assert watch.totals() == {"files": 5, "bytes": sum(r["size"] for r in f.collect()), "routed": 4}
+    stats = {r["detector_id"]: (r["invocations"], r["findings"]) for r in tables.detector_stats(
+        route(prepare(f)), found.filter("detector_id NOT LIKE 'project/%'")).groupBy("detector_id").agg(
+        F.sum("invocations").alias("invocations"), F.sum("findings").alias("findings")).collect()}
+    assert {d: v for d, v in watch.detectors().items() if v != (0, 0)} == stats and stats["ruleengine"][0] == 2
