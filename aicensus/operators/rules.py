@@ -221,7 +221,7 @@ def match_pieces(spark: SparkSession, cuts: DataFrame, root: str, rules: list[di
         rules, any_language)).alias("g")), "piece-gates")
     gates = seen.groupBy("scan_id", "path").agg(F.array(*[
         F.coalesce(F.bool_or(F.col("g")[i]), F.lit(False)) for i in range(len(rules))]).alias("_gates")).filter(F.exists("_gates", lambda g: g))
-    pieces = corpus.line_pieces(cuts.join(gates, ["scan_id", "path"]).repartition("scan_id", "path", "start"), root, scan_id=scan_id)
+    pieces = corpus.line_pieces(cuts.join(gates, ["scan_id", "path"]), root, scan_id=scan_id)
     # A piece ends with its last line's end, which would be one more, empty line.
     body = F.regexp_replace(text_of(F.col("content")), r"\n\z", "")
     found = match_gated(pieces.filter("error IS NULL").withColumn("_text", body), rules, F.col("first_line"))

@@ -207,22 +207,38 @@ def read_header(source: pa.NativeFile, size: int, end_of: Callable[[bytes, int],
         want = 2 * want if end is None else end
 
 
-def opener(root: str, scan_is_folder: bool) -> Callable[[str, str], pa.NativeFile]:
-    """A function that opens a listed file."""
-    system, base = open_root(root)
+class Opener:
+    """Opens listed files; the one opened last stays open, as ranges of a file follow each other."""
 
-    def open_file(scan: str, path: str) -> pa.NativeFile:
+    def __init__(self, root: str, scan_is_folder: bool):
+        self.system, self.base = open_root(root)
+        self.scan_is_folder = scan_is_folder
+        self.path, self.file = None, None
+
+    def __call__(self, scan: str, path: str) -> pa.NativeFile:
         # A file at the root of a corpus of several scans is a scan of its own.
-        return system.open_input_file(posixpath.join(base, scan, path) if scan_is_folder and scan != path else posixpath.join(base, path))
+        path = posixpath.join(scan, path) if self.scan_is_folder and scan != path else path
+        if path != self.path:
+            self.close()
+            self.file = self.system.open_input_file(posixpath.join(self.base, path))
+            self.path = path
+        return self.file
 
-    return open_file
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.path = self.file = None
 
 
 def spread(rows: DataFrame, size: Column, task_bytes: int) -> DataFrame:
-    """The rows stored once, so that a corpus is walked once, and dealt over as many tasks as their bytes need."""
+    """The rows stored once, so that a corpus is walked once, and dealt over as many tasks as their bytes need.
+
+    Neighbours stay together, so that a task reads a file's ranges one after the other.
+    """
     kept = stored(rows, "listing")
     total = kept.agg(F.sum(size)).first()[0] or 0
-    return kept.repartition(max(1, -(-int(total) // task_bytes)))
+    order = [c for c in ("scan_id", "path", "start") if c in rows.columns]
+    return kept.repartitionByRange(max(1, -(-int(total) // task_bytes)), *order).sortWithinPartitions(*order)
 
 
 def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -240,20 +256,20 @@ def read_listed(listing: DataFrame, root: str, *, scan_id: str | None = None, ta
     A file too large for one row is an error here; ``line_pieces`` and ``find_literals`` read such files.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_file, rows, held = opener(root, scan_id is None), [], 0
+        open_file, rows, held = Opener(root, scan_id is None), [], 0
         for batch in batches:
             for scan, path, size, time in zip(*(c.to_pylist() for c in batch.columns)):
                 content = error = None
                 end_of = HEADERS.get(posixpath.splitext(path)[1].lower())
                 try:
-                    with open_file(scan, path) as source:
-                        size = source.size()
-                        if end_of:
-                            content = read_header(source, size, end_of)
-                        elif size > ROW_MAX:
-                            error = f"{size} bytes do not fit one row"
-                        else:
-                            content = source.read()
+                    source = open_file(scan, path)
+                    size = source.size()
+                    if end_of:
+                        content = read_header(source, size, end_of)
+                    elif size > ROW_MAX:
+                        error = f"{size} bytes do not fit one row"
+                    else:
+                        content = source.read_at(size, 0)
                 except OSError as failed:
                     error = f"{type(failed).__name__}: {failed}"
                 rows.append((scan, path, size, time, content, content is not None and len(content) < size, error))
@@ -315,18 +331,18 @@ def line_cuts(listing: DataFrame, root: str, *, scan_id: str | None = None, rang
     ends of the earlier pieces of a file, a window that the number of its ranges bounds. Contents are read but not kept.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_file = opener(root, scan_id is None)
+        open_file = Opener(root, scan_id is None)
         for batch in batches:
             rows = []
             for scan, path, size, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    with open_file(scan, path) as source:
-                        first = line_after(source, start, stop)
-                        if first is None:
-                            continue
-                        end = line_after(source, stop, size) if stop < size else size
-                        end = size if end is None else end
-                        rows.append((scan, path, size, first, end, count_ends(source, first, end), None))
+                    source = open_file(scan, path)
+                    first = line_after(source, start, stop)
+                    if first is None:
+                        continue
+                    end = line_after(source, stop, size) if stop < size else size
+                    end = size if end is None else end
+                    rows.append((scan, path, size, first, end, count_ends(source, first, end), None))
                 except OSError as failed:
                     rows.append((scan, path, size, start, start, 0, f"{type(failed).__name__}: {failed}"))
             if rows:
@@ -350,18 +366,21 @@ def text_before(source: pa.NativeFile, at: int, want: int) -> bytes:
         back = min(at, 2 * back)
 
 
-def line_pieces(cuts: DataFrame, root: str, *, scan_id: str | None = None, before_bytes: int = 256) -> DataFrame:
+def line_pieces(cuts: DataFrame, root: str, *, scan_id: str | None = None, before_bytes: int = 256, task_bytes: int = 64 << 20) -> DataFrame:
     """The rows of ``line_cuts``, with any further columns, and their ``content`` and ``before``, the text in front of it.
 
-    Content is read where it is used and crosses no shuffle. Lines longer than a row are an ``error``.
+    Content is read where it is used and crosses no shuffle; the cuts are dealt by the bytes they stand for, so a large
+    file is many tasks. Lines longer than a row are an ``error``.
     """
+    cuts = spread(cuts, F.col("stop") - F.col("start"), task_bytes)
     kept = [f for f in cuts.schema.fields if f.name != "error"]
     at = {f.name: i for i, f in enumerate(kept)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_file = opener(root, scan_id is None)
+        open_file = Opener(root, scan_id is None)
         for batch in batches:
-            for i in range(batch.num_rows):  # one piece a batch: a piece is large
+            begin, held, read = 0, 0, []
+            for i in range(batch.num_rows):
                 scan, path, start, stop = (batch.column(at[c])[i].as_py() for c in ("scan_id", "path", "start", "stop"))
                 content = before = None
                 error = batch.column(len(kept))[i].as_py()
@@ -369,15 +388,19 @@ def line_pieces(cuts: DataFrame, root: str, *, scan_id: str | None = None, befor
                     if error is None and stop - start > ROW_MAX:
                         error = f"lines of {stop - start} bytes do not fit one row"
                     elif error is None:
-                        with open_file(scan, path) as source:
-                            content = source.read_at(stop - start, start)
-                            before = text_before(source, start, before_bytes) if start else b""
+                        source = open_file(scan, path)
+                        content = source.read_at(stop - start, start)
+                        before = text_before(source, start, before_bytes) if start else b""
                 except OSError as failed:
                     error = f"{type(failed).__name__}: {failed}"
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(i, 1) for c in batch.columns[:len(kept)]),
-                     *(pa.array([v], t) for v, t in ((content, pa.binary()), (before, pa.binary()), (error, pa.string())))],
-                    names=[*at, "content", "before", "error"])
+                read.append((content, before, error))
+                held += len(content or b"")
+                if held >= BATCH_BYTES or i == batch.num_rows - 1:
+                    columns = zip(zip(*read), (pa.binary(), pa.binary(), pa.string()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.slice(begin, len(read)) for c in batch.columns[:len(kept)]), *(pa.array(v, t) for v, t in columns)],
+                        names=[*at, "content", "before", "error"])
+                    begin, held, read = i + 1, 0, []
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return cuts.select(*at, "error").mapInArrow(run, f"{shape}, content binary, before binary, error string")
@@ -400,20 +423,24 @@ def find_literals(listing: DataFrame, root: str, literals: list[str], *, scan_id
             found = raw.find(part, found + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_file = opener(root, scan_id is None)
+        open_file = Opener(root, scan_id is None)
         for batch in batches:
+            rows: list[tuple] = []
             for scan, path, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
-                rows: list[tuple] = []
                 try:
-                    with open_file(scan, path) as source:
-                        for at in range(start, stop, 8 << 20):
-                            end = min(stop, at + (8 << 20))
-                            raw = source.read_at(end - at + reach, at)
-                            rows += [(scan, path, text, p) for text, part in wanted for p in places(raw, at, part, end)]
+                    source, found = open_file(scan, path), []
+                    for at in range(start, stop, 8 << 20):
+                        end = min(stop, at + (8 << 20))
+                        raw = source.read_at(end - at + reach, at)
+                        found += [(scan, path, text, p) for text, part in wanted for p in places(raw, at, part, end)]
                 except OSError:
-                    rows = [(scan, path, None, None)]
-                if rows:
+                    found = [(scan, path, None, None)]
+                rows += found
+                if len(rows) >= 10_000:
                     yield arrow_rows(rows, shape)
+                    rows = []
+            if rows:
+                yield arrow_rows(rows, shape)
 
     ship_package(listing.sparkSession)
     return spread(ranges(listing, range_bytes), F.col("stop") - F.col("start"), 4 * range_bytes).select(
