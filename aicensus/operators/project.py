@@ -108,8 +108,10 @@ def _yaml_as_json(rows: DataFrame) -> DataFrame:
     ship_package(rows.sparkSession)
 
     def read(raw: bytes) -> tuple[str | None, str | None]:
-        import yaml
-
+        try:
+            import yaml
+        except ImportError:
+            return None, "no YAML parser is installed"
         try:
             doc = yaml.safe_load(raw)
             if isinstance(doc, dict):

@@ -761,6 +761,51 @@ def config_bindings(spark, sf):
         "scan_id", "path", f("temperature"), f("top_k"), f("do_sample"), F.get("relations", F.lit(0))["name"].alias("model"))
 
 
+# Shapes of generation configs: file, text (@ stands for a number of the row), (temperature, top_k, do_sample, model) or the failure.
+_CONFIG_SHAPES = [
+    ("generation_config.json", '{"temperature": 0.5, "temperature": 0.@5, "x": {"a": 1, "a": 2}, "model": "m"}', ("0.@5", "", "", "m")),
+    ("model_config.yaml", "temperature: 0.@5\ntop_k: 7\nmodel: 'org/m'\n", ("0.@5", "7", "", "org/m")),
+    ("my_generation_config.yml", "do_sample: true\ntop_k: '@'\n", ("", "@", "true", "")),
+    ("model_config.json", '{"top_k": 40.0, "do_sample": false, "model": 5, "model_name": "n@"}', ("", "40", "false", "n@")),
+    ("generation_config.json", '{"temperature": 1e-5', "the config is no JSON object"),
+    ("model_config.yml", "a: [1,\nb", "the config does not parse: ParserError"),
+    ("model_config.yaml", "- just\n- a list\n", "the config is no mapping"),
+    ("generation_config.json", '{"other": 1}', None),
+    ("x_generation_y_config.yaml", "", None),
+    ("generation_config.json", '{"temperature": {"no": 1}, "top_k": null, "model": ""}', ('{"no":1}', "", "", "")),
+]
+
+
+def _config_files(spark, sf) -> DataFrame:
+    n, size = F.col("p_partkey") % len(_CONFIG_SHAPES), F.col("p_size").cast("string")
+    by_shape = lambda values: F.coalesce(*[F.when(n == i, v) for i, v in enumerate(values)])
+    path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/"), by_shape([F.lit(name) for name, *_ in _CONFIG_SHAPES]))
+    text = by_shape([F.replace(F.lit(t), F.lit("@"), size) for _, t, _ in _CONFIG_SHAPES])
+    return files_mod.classify(files_mod.from_text(table(spark, sf, "part"), F.col("p_brand"), path, text))
+
+
+def _config_sql(rows: str, wanted) -> str:
+    filled = lambda v: "concat({0!r}, CAST(p_size AS VARCHAR), {2!r})".format(*v.partition("@")) if "@" in v else repr(v)
+    return " UNION ALL ".join(
+        f"SELECT p_brand AS scan_id, concat('p', p_partkey, '/{name}') AS path, " + ", ".join(
+            f"{filled(v)} AS {c}" for c, v in zip(rows.split(), wanted(found))) + f" FROM part WHERE p_partkey % {len(_CONFIG_SHAPES)} = {i}"
+        for i, (name, _, found) in enumerate(_CONFIG_SHAPES) if wanted(found))
+
+
+@query(_config_sql("temperature top_k do_sample model", lambda found: found if isinstance(found, tuple) else ()))
+def config_shapes(spark, sf):
+    """JSON and YAML configs, with repeated keys, other types and texts that do not parse."""
+    f = lambda k: F.coalesce(F.try_element_at("fields", F.lit(f"param.{k}")), F.lit("")).alias(k)
+    return project.config_bindings(_config_files(spark, sf)).select(
+        "scan_id", "path", f("temperature"), f("top_k"), f("do_sample"),
+        F.coalesce(F.get("relations", F.lit(0))["name"], F.lit("")).alias("model"))
+
+
+@query(_config_sql("reason", lambda found: (found,) if isinstance(found, str) else ()))
+def config_unknowns(spark, sf):
+    return project.config_unknowns(_config_files(spark, sf)).select("scan_id", "path", "reason")
+
+
 @query(
     "WITH f AS (SELECT 'scan-' || (o_custkey % 900) AS scan_id, o_orderkey AS seq, CASE o_orderkey % 7 WHEN 0 THEN 'embedding-model' WHEN 1 THEN 'vector-db' ELSE 'prompt' END AS kind, "
     "'n' || (o_orderkey % 50) AS name, 'f' || (o_orderkey % 9) AS path FROM orders), "
