@@ -117,9 +117,10 @@ def range_hits(coords: DataFrame, ranges: DataFrame) -> DataFrame:
     package = ["ecosystem", "package"]
     pairs = coords.groupBy(*package).agg(F.count(F.lit(1)).alias("v")).join(
         ranges.groupBy(*package).agg(F.count(F.lit(1)).alias("r")), package)
-    large = stored(pairs.filter(F.col("v") * F.col("r") > DIRECT_PAIRS).select(*package), "advisory-large")
+    large = pairs.filter(F.col("v") * F.col("r") > DIRECT_PAIRS).select(*package)
     if large.isEmpty():
         return direct_hits(coords, ranges)
+    large = stored(large, "advisory-large")
     only = lambda rows, how: rows.join(large, package, how)
     return direct_hits(only(coords, "left_anti"), only(ranges, "left_anti")).unionByName(
         ranked_hits(only(coords, "left_semi"), only(ranges, "left_semi")))
