@@ -35,6 +35,10 @@ def build_session(app: str = "aicensus", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# Folders that this process named, for ``drop_stored``.
+_FOLDERS: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -46,7 +50,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="aicensus-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables stored so far by this process; DataFrames over them cannot be read any more. Returns their number.
+
+    Nothing else deletes them: call it when a job's results are written.
+    """
+    conf, dropped = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
 
 
 def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), group_bytes: int | None = None) -> DataFrame:

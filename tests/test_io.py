@@ -1,6 +1,7 @@
 import json
 from pathlib import Path
 
+from aicensus import session
 from aicensus.operators import controls, rulecheck, rules
 from aicensus.plans import pipeline
 from aicensus.reports import inventory
@@ -57,3 +58,12 @@ def test_rule_layers_and_coverage(spark):
     assert {(r["line"], r["rule_id"], r["positive"]) for r in got.collect()} == {
         (3, "p/a", True), (3, "p/z", True), (4, "p/a", False)}
     assert rulecheck.coverage_gaps(got, loaded).count() == 0
+
+
+def test_stored_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_FOLDERS", [])
+    kept = session.stored(spark.range(3), "kept")
+    folder = Path(session._FOLDERS[0])
+    assert kept.count() == 3 and folder.is_dir()
+    session.shared_folder(spark, "never-written")
+    assert session.drop_stored(spark) == 1 and not folder.exists() and session._FOLDERS == []
