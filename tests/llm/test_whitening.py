@@ -4,7 +4,6 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from aicensus.llm import whitening
 from aicensus.llm.whitening import characteristic_polynomial, components, gram, largest_roots, polynomial_modulo, roots_above, whiten
 from pyspark.sql import functions as F
 
