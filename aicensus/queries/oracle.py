@@ -6,7 +6,6 @@ from ..functions.identity import (
     ID_PREFIX, KIND_CLASS, KIND_PRECEDENCE, NAME_ALIASES, PROVIDER_ALIASES,
 )
 from ..operators.risks import RISK_CATALOG
-from ..schemas import METHODS
 from .derive import FLAT_SQL
 
 

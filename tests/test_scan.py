@@ -149,3 +149,13 @@ def test_counts_come_from_the_detection(spark):
         route(prepare(f)), found.filter("detector_id NOT LIKE 'project/%'")).groupBy("detector_id").agg(
         F.sum("invocations").alias("invocations"), F.sum("findings").alias("findings")).collect()}
     assert {d: v for d, v in watch.detectors().items() if v != (0, 0)} == stats and stats["ruleengine"][0] == 2
+
+
+def test_gate_as_a_column(spark):
+    """Files that hold the longest word of a keyword, in any case; null contents hold none."""
+    given = [{"keywords": ["Open AI", "torch"]}, {"keywords": ["é x"]}]
+    texts = ["import TORCH", "open", "OPEN", "tor ch", "", "é", "É", "x", "x" * 70_000 + "Torch"]
+    f = files_frame(spark, [("s", str(i), t) for i, t in enumerate(texts)])
+    f = f.unionByName(f.limit(1).withColumns({"path": F.lit("null"), "content": F.lit(None).cast("binary")}))
+    held = {r["path"] for r in f.filter(rule_scan.may_match(F.col("content"), given)).collect()}
+    assert held == {"0", "1", "2", "5", "8"}
