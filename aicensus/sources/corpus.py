@@ -37,6 +37,7 @@ from .files import IGNORED_DIRS
 LISTING = "scan_id string, path string, size bigint, mod_time timestamp"
 ROW_MAX = (1 << 31) - 1024  # bytes that one row can hold
 BATCH_BYTES = 32 << 20
+TASK_BYTES = 8 << 20  # the least that a task is dealt, however small the ranges are
 HEAD = 1 << 16
 
 
@@ -349,7 +350,7 @@ def line_cuts(listing: DataFrame, root: str, *, scan_id: str | None = None, rang
                 yield arrow_rows(rows, _CUT)
 
     ship_package(listing.sparkSession)
-    parts = spread(ranges(listing, range_bytes), F.col("stop") - F.col("start"), 4 * range_bytes).select(
+    parts = spread(ranges(listing, range_bytes), F.col("stop") - F.col("start"), max(4 * range_bytes, TASK_BYTES)).select(
         "scan_id", "path", "size", "start", "stop").mapInArrow(
         run, "scan_id string, path string, size bigint, start bigint, stop bigint, line_ends bigint, error string")
     earlier = W.partitionBy("scan_id", "path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
@@ -443,5 +444,5 @@ def find_literals(listing: DataFrame, root: str, literals: list[str], *, scan_id
                 yield arrow_rows(rows, shape)
 
     ship_package(listing.sparkSession)
-    return spread(ranges(listing, range_bytes), F.col("stop") - F.col("start"), 4 * range_bytes).select(
+    return spread(ranges(listing, range_bytes), F.col("stop") - F.col("start"), max(4 * range_bytes, TASK_BYTES)).select(
         "scan_id", "path", "start", "stop").mapInArrow(run, "scan_id string, path string, literal string, at bigint")

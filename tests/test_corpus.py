@@ -162,3 +162,16 @@ def test_literals_on_every_border(spark, tmp_path, size):
             ("a.bin", "b", 8), ("a.bin", "b", 16), ("a.bin", "b", 22), ("b.bin", "b", 3)}
     rows = [(r["path"], r["literal"], r["at"]) for r in got.collect()]
     assert sorted(rows) == sorted(want)
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    """Ranges of a few bytes are dealt by a task's bytes: their number does not give as many tasks."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_bytes(b"one two\n" * 2000)
+    listing = corpus.list_corpus(spark, str(tmp_path))
+    found = corpus.find_literals(listing, str(tmp_path), ["two"], range_bytes=100)
+    cuts = corpus.line_cuts(listing, str(tmp_path), range_bytes=100)
+    assert found.count() == 2000 and cuts.count() == 160
+    assert found.rdd.getNumPartitions() == 1 and corpus.line_pieces(cuts, str(tmp_path)).rdd.getNumPartitions() == 1
+    parts = corpus.spread(corpus.ranges(listing, 100), F.col("stop") - F.col("start"), 4000)
+    assert parts.rdd.getNumPartitions() == 4
