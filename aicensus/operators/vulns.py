@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.versions import (
@@ -79,31 +80,65 @@ def span_nodes(low: Column, high: Column) -> Column:
     return F.flatten(F.transform(levels, blocks))
 
 
+# Versions and ranges meet in blocks of 2^level ranks.
+FINE, COARSE = 6, 12
+
+
+def apart(placed: DataFrame) -> DataFrame:
+    """Intervals [low, high) of one (package, id), touching or overlapping ones joined, so that no rank lies in two of them."""
+    rows = ["ecosystem", "package", "id"]
+    earlier = W.partitionBy(*rows).orderBy("low", "high").rowsBetween(W.unboundedPreceding, -1)
+    reach = placed.select(*rows, "low", "high").distinct().withColumn("reach", F.max("high").over(earlier))
+    starts = reach.withColumn("run", F.count_if(F.col("reach").isNull() | (F.col("low") > F.col("reach"))).over(
+        W.partitionBy(*rows).orderBy("low", "high").rowsBetween(W.unboundedPreceding, 0)))
+    return starts.groupBy(*rows, "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+
+
+def met_blocks(low: Column, high: Column) -> Column:
+    """Blocks (level, node) that hold every rank of [low, high) once: coarse ones inside it, fine ones that meet the rest."""
+    shift = lambda c, by: F.call_function("shiftright", c, F.lit(by))
+    first, end = shift(low + ((1 << COARSE) - 1), COARSE), shift(high, COARSE)  # coarse blocks that lie inside
+    per = 1 << (COARSE - FINE)
+    fine, last = shift(low, FINE), shift(high - 1, FINE)
+
+    def nodes(level: int, start: Column, stop: Column) -> Column:
+        found = F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(found, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
+
+    inside = first < end
+    return F.when(inside, F.concat(nodes(FINE, fine, first * per - 1), nodes(COARSE, first, end - 1), nodes(FINE, end * per, last))).otherwise(
+        nodes(FINE, fine, last))
+
+
 def ranked_hits(coords: DataFrame, ranges: DataFrame) -> DataFrame:
     """(ecosystem, package, version, id) of the versions inside a range, without comparing all of both.
 
-    Versions and bounds of all packages become numbers in one order. A range is the few aligned blocks of numbers that it
-    covers, a version lies in one block of every level: an equi-join on the block gives each hit once.
+    Versions and bounds of all packages become numbers in one order. A version lies in one fine and one coarse block of
+    numbers; a range meets the coarse blocks inside it and the fine ones at its ends, and the intervals of one id are joined
+    first. So an equi-join on the block gives each hit once, and only the ends, 64 numbers each, are compared in vain.
+    No block of a wide range is larger than a coarse one, so that the hits of wide ranges are many join keys.
     """
     package = ["ecosystem", "package"]
-    keyed = stored(coords.withColumn("k", version_key(F.col("version"))), "advisory-versions")
-    bounds = stored(ranges.withColumn("lo", version_key(F.col("introduced"))).withColumn("hi", version_key(F.col("fixed"))), "advisory-ranges")
+    keyed = stored(coords.select(*package, "version").distinct().withColumn("k", version_key(F.col("version"))), "advisory-versions")
+    bounds = stored(ranges.select(*package, "id", version_key(F.col("introduced")).alias("lo"), version_key(F.col("fixed")).alias("hi")),
+                    "advisory-ranges")
     marks = reduce(DataFrame.unionByName, [keyed.select(*package, "k"), *(bounds.select(*package, F.col(c).alias("k")) for c in ("lo", "hi"))])
     ranks = stored(numbered(marks.filter("k IS NOT NULL").distinct(), [*package, "k"], "rank"), "advisory-ranks")
     spans = ranks.groupBy(*package).agg(F.min("rank").alias("first"), (F.max("rank") + 1).alias("end"))
     bound = lambda c: ranks.select(*package, F.col("k").alias(c), F.col("rank").alias(f"{c}_rank"))
     placed = bounds.join(bound("lo"), [*package, "lo"], "left").join(bound("hi"), [*package, "hi"], "left").join(spans, package)
     low, high = F.coalesce("lo_rank", "first"), F.coalesce("hi_rank", "end")
-    blocks = stored(placed.select(*package, "id", low.alias("low"), high.alias("high")).filter("low < high").select(
-        *package, "id", F.explode(span_nodes(F.col("low"), F.col("high"))).alias("b")).select(*package, "id", "b.level", "b.node"), "advisory-blocks")
-    tops = blocks.groupBy(*package).agg(F.max("level").alias("top"))
-    points = keyed.join(ranks, [*package, "k"]).join(tops, package).select(
-        *package, "version", "rank", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")).withColumn(
+    covered = apart(placed.select(*package, "id", low.alias("low"), high.alias("high")).filter("low < high"))
+    blocks = stored(covered.select("id", "low", "high", F.explode(met_blocks(F.col("low"), F.col("high"))).alias("b")).select(
+        "id", "low", "high", "b.level", "b.node"), "advisory-blocks")
+    points = keyed.join(ranks, [*package, "k"]).select(
+        *package, "version", "rank", F.explode(F.array(F.lit(FINE), F.lit(COARSE))).alias("level")).withColumn(
         "node", F.call_function("shiftright", "rank", "level"))
-    inside = points.join(blocks.select("level", "node", "id"), ["level", "node"]).select(*package, "version", "id")
+    inside = points.join(blocks, ["level", "node"]).filter("low <= rank AND rank < high").select(*package, "version", "id")
     # A version without a key lies in ranges without bounds only.
-    unkeyed = keyed.filter("k IS NULL").join(bounds.filter("lo IS NULL AND hi IS NULL"), package).select(*package, "version", "id")
-    return inside.unionByName(unkeyed).distinct()
+    unkeyed = keyed.filter("k IS NULL").join(
+        bounds.filter("lo IS NULL AND hi IS NULL").select(*package, "id").distinct(), package).select(*package, "version", "id")
+    return inside.unionByName(unkeyed)
 
 
 def direct_hits(coords: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -115,12 +150,12 @@ def direct_hits(coords: DataFrame, ranges: DataFrame) -> DataFrame:
 def range_hits(coords: DataFrame, ranges: DataFrame) -> DataFrame:
     """(ecosystem, package, version, id): small packages directly, those with many versions and ranges by ranks."""
     package = ["ecosystem", "package"]
+    coords, ranges = stored(coords, "advisory-coords"), stored(ranges, "advisory-bounds")
     pairs = coords.groupBy(*package).agg(F.count(F.lit(1)).alias("v")).join(
         ranges.groupBy(*package).agg(F.count(F.lit(1)).alias("r")), package)
-    large = pairs.filter(F.col("v") * F.col("r") > DIRECT_PAIRS).select(*package)
+    large = stored(pairs.filter(F.col("v") * F.col("r") > DIRECT_PAIRS).select(*package), "advisory-large")
     if large.isEmpty():
         return direct_hits(coords, ranges)
-    large = stored(large, "advisory-large")
     only = lambda rows, how: rows.join(large, package, how)
     return direct_hits(only(coords, "left_anti"), only(ranges, "left_anti")).unionByName(
         ranked_hits(only(coords, "left_semi"), only(ranges, "left_semi")))

@@ -53,3 +53,25 @@ def test_work_grows_with_the_hits(spark):
         return vulns.ranked_hits(coords, ranges).count()
 
     assert joined(2000) == 3 * 2000 - 3 and joined(4000) == 3 * 4000 - 3
+
+
+def test_met_blocks_hold_a_span_once(spark):
+    spans = [(a, b) for a in (0, 1, 63, 64, 4095, 4096, 5000, 12288) for b in (1, 64, 70, 4096, 4097, 8192, 9000, 20480, 20500) if a < b]
+    rows = spark.createDataFrame(spans, "a long, b long")
+    for r in rows.select("a", "b", vulns.met_blocks(F.col("a"), F.col("b")).alias("n")).collect():
+        held = [x for n in r["n"] for x in range(n["node"] << n["level"], (n["node"] + 1) << n["level"])]
+        assert len(held) == len(set(held)) and set(range(r["a"], r["b"])) <= set(held) and len(held) - (r["b"] - r["a"]) <= 126
+
+
+def test_wide_and_overlapping_ranges_give_each_hit_once(spark):
+    """Ranges of one id, or of no id, overlap, repeat and are open; the hits are not made distinct afterwards."""
+    coords = spark.range(10_000).selectExpr("'e' AS ecosystem", "'p' AS package", "concat('1.', id) AS version")
+    ranges = spark.createDataFrame(
+        [("e", "p", i, lo, hi) for i in ("A", "B", None) for lo, hi in [(None, None), ("1.5", "1.5000"), ("1.400", None), ("1.400", None), ("1.9", "1.9")]]
+        + [("e", "p", "C", "1.10", "1.20"), ("e", "p", "C", "1.15", "1.30"), ("e", "p", "C", "1.30", "1.31"), ("e", "p", "C", "1.40", "1.41")],
+        "ecosystem string, package string, id string, introduced string, fixed string")
+    found = vulns.ranked_hits(coords.unionByName(coords), ranges)
+    counts = dict(found.groupBy("id").count().collect())
+    assert counts == {"A": 10_000, "B": 10_000, None: 10_000, "C": 22} and found.distinct().count() == 30_022
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")
