@@ -239,6 +239,23 @@ def pick_fix(releases: Column, git_fix: Column, installed: Column) -> Column:
     return F.coalesce(best, F.get(releases, F.lit(0))["fixed"], git_fix, F.lit(""))
 
 
+KEYS = ["scan_id", "component_id"]
+PLACE = ["ecosystem", "package", "version"]
+
+
+def coordinate_answers(checked: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(ecosystem, package, version, advisory) with its facts and the fix for that version, once per distinct coordinate."""
+    # Few versions and ranges can give many hits: they are dealt anew before fixes are picked.
+    hits = range_hits(checked.select(*PLACE).distinct(), version_ranges(advisories)).repartition(*PLACE, "id")
+    facts = scored(advisories).select(
+        "id", "vuln_id", "alias_ids", "score", "vector", F.col("cve_severity").alias("severity"), "summary"
+    ).join(fix_candidates(advisories), "id", "left")
+    return hits.join(facts, "id").withColumn(
+        "fixed", pick_fix(F.coalesce("releases", F.array().cast(
+            "array<struct<range_no:int,event_no:int,fixed:string>>")), F.col("git_fix"), F.col("version"))
+    ).drop("releases", "git_fix")
+
+
 def match_advisories(component_rows: DataFrame, advisories: DataFrame) -> DataFrame:
     """(component, advisory) matches, before deduplication.
 
@@ -247,46 +264,60 @@ def match_advisories(component_rows: DataFrame, advisories: DataFrame) -> DataFr
     partial aggregate reduces before the shuffle; the answers are joined back to components
     on the whole coordinate, a join adaptive execution can split on its hot side.
     """
-    checked = coordinate(component_rows)
-    coords = checked.select("ecosystem", "package", "version").distinct()
-    hits = range_hits(coords, version_ranges(advisories))
-    facts = scored(advisories).select(
-        "id", "vuln_id", "alias_ids", "score", "vector", F.col("cve_severity").alias("severity"), "summary"
-    ).join(fix_candidates(advisories), "id", "left")
-    answers = hits.join(facts, "id").withColumn(
-        "fixed", pick_fix(F.coalesce("releases", F.array().cast(
-            "array<struct<range_no:int,event_no:int,fixed:string>>")), F.col("git_fix"), F.col("version"))
-    ).drop("releases", "git_fix")
-    return checked.join(answers, ["ecosystem", "package", "version"])
+    checked = stored(coordinate(component_rows), "advisory-checked")
+    return checked.join(coordinate_answers(checked, advisories), PLACE)
 
 
-def dedupe_advisories(matches: DataFrame) -> DataFrame:
-    """One row per (component, display id): most severe score, best fix, first summary, all aliases.
+def merge_advisories(matches: DataFrame, by: list[str], *further: Column) -> DataFrame:
+    """One row per ``by`` and display id: most severe score, best fix, first summary, all aliases.
 
-    Advisories of one display id are taken in id order. Runs per component and display id,
-    so the alias set is as large as the advisories naming one vulnerability.
+    Advisories of one display id are taken in id order. The alias set is as large as the advisories naming one vulnerability.
     """
     severe = F.struct((-F.col("score")).alias("a"), (-severity_rank(F.col("severity"))).alias("b"), "id")
     order = F.col("id")
     fix = F.col("fixed")
-    merged = matches.groupBy("scan_id", "component_id", "vuln_id").agg(
+    merged = matches.groupBy(*by, "vuln_id").agg(
         F.min_by(F.struct("severity", "score", "vector"), severe).alias("s"),
         F.min_by("fixed", F.struct((~version_shaped(fix)).alias("a"), (fix == "").alias("b"), order)).alias("fixed"),
         F.min_by("summary", F.when(F.coalesce("summary", F.lit("")) != "", order)).alias("summary"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("alias_ids")))).alias("aliases"),
         F.min("id").alias("advisory_id"),
-        F.max("name").alias("name"),
-        F.max("version").alias("version"),
-    )
-    return merged.select(
-        "scan_id", "component_id", "name", "version", "vuln_id", "advisory_id",
-        F.filter("aliases", lambda a: a != F.col("vuln_id")).alias("aliases"),
-        "s.severity", "s.score", "s.vector", F.coalesce("summary", F.lit("")).alias("summary"), "fixed",
+        *further,
     )
+    return merged.withColumns({
+        "aliases": F.filter("aliases", lambda a: a != F.col("vuln_id")), "severity": F.col("s.severity"), "score": F.col("s.score"),
+        "vector": F.col("s.vector"), "summary": F.coalesce("summary", F.lit(""))}).drop("s")
+
+
+VULNS = [*KEYS, "name", "version", "vuln_id", "advisory_id", "aliases", "severity", "score", "vector", "summary", "fixed"]
 
 
-def component_vulns(component_rows: DataFrame, advisories: DataFrame) -> DataFrame:
-    return dedupe_advisories(match_advisories(component_rows, advisories))
+def dedupe_advisories(matches: DataFrame) -> DataFrame:
+    """One row per (component, display id)."""
+    return merge_advisories(matches, KEYS, F.max("name").alias("name"), F.max("version").alias("version")).select(*VULNS)
+
+
+def component_vulns(component_rows: DataFrame, advisories: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    """One row per (component, display id).
+
+    Components at one coordinate have the same answers, so these are deduplicated once per coordinate and then joined to the
+    components: the rows of all components, the result, cross no shuffle. The few components with several coordinates
+    (an id that repeats, or null) are deduplicated over their own matches.
+
+    ``beside`` is joined by scan and component, as to the result, but before the answers multiply the rows.
+    """
+    checked = stored(coordinate(component_rows).filter("version IS NOT NULL"), "advisory-checked")
+    answers = stored(coordinate_answers(checked, advisories), "advisory-answers")
+    place = F.struct(*PLACE)
+    members = stored(checked.groupBy(*KEYS).agg(
+        F.max("name").alias("name"), F.min(place).alias("place"), F.max(place).alias("last")), "advisory-members")
+    one, more = members.filter("place = last"), members.filter("place <> last").select(*KEYS)
+    joined = (lambda rows: rows) if beside is None else (lambda rows: rows.join(beside, KEYS))
+    columns = VULNS if beside is None else [*VULNS, *(c for c in beside.columns if c not in KEYS)]
+    shared = joined(one.select(*KEYS, "name", "place.*")).join(merge_advisories(answers, PLACE), PLACE).select(*columns)
+    left, right = checked.alias("l"), more.alias("r")
+    own = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in KEYS], "left_semi").join(answers, PLACE)
+    return shared.unionByName(joined(dedupe_advisories(own)).select(*columns))
 
 
 def unchecked(component_rows: DataFrame, checked_purls: DataFrame) -> DataFrame:

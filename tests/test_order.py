@@ -75,3 +75,25 @@ def test_wide_and_overlapping_ranges_give_each_hit_once(spark):
     assert counts == {"A": 10_000, "B": 10_000, None: 10_000, "C": 22} and found.distinct().count() == 30_022
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")
+
+
+def test_answers_are_joined_to_components_last(spark):
+    """One component with several coordinates, null and repeated ids; the answers cross no shuffle once components multiply them."""
+    parts = spark.createDataFrame(
+        [("s", "c1", "a", "1.0"), ("s", "c1", "b", "1.0"), ("s", "c2", "a", "1.0"), ("s", "c2", "a", "1.0"), (None, None, "a", "1.0"), (None, None, "b", "2.0"),
+         (None, "c3", "b", "1.0"), ("s", "c4", "z", "1.0"), ("s", "c5", "a", None)], "scan_id string, component_id string, name string, version string")
+    comps = parts.withColumn("purl", F.concat(F.lit("pkg:pypi/"), "name", F.lit("@"), F.coalesce("version", F.lit("1.0"))))
+    event = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    advisories = spark.createDataFrame([("G1", "a", "CVE-1"), ("G2", "a", "CVE-1"), ("G3", "b", "CVE-1"), ("G4", "b", "X")], "id string, package string, alias string").select(
+        "id", F.array("alias").alias("aliases"), F.lit("pypi").alias("ecosystem"), "package", F.concat(F.lit("bug "), "id").alias("summary"),
+        F.array(F.struct(F.lit("CVSS_V3").alias("type"), F.lit("").alias("score"))).alias("severity"), F.lit("HIGH").alias("db_severity"),
+        F.array(F.struct(F.lit("ECOSYSTEM").alias("type"), F.array(event("introduced", "0"), event("fixed", "3.0")).alias("events"))).alias("ranges"))
+    want = vulns.dedupe_advisories(vulns.match_advisories(comps, advisories))
+    found = vulns.component_vulns(comps, advisories)
+    assert found.columns == want.columns
+    assert want.count() == 7 and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    beside = comps.select("scan_id", "component_id", F.upper("name").alias("shown"))
+    assert sorted(map(str, vulns.component_vulns(comps, advisories, beside).collect())) == sorted(
+        map(str, want.join(beside, ["scan_id", "component_id"]).select(*want.columns, "shown").collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[0]
+    assert "Union" in plan and plan.index("Join Inner") < plan.index("Aggregate")
