@@ -201,7 +201,7 @@ _RANKED = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium'
        "fixed, summary AS title FROM d")
 def vuln_listing(spark, sf):
     comps = installed(spark, sf).withColumn("group", F.lit(None).cast("string"))
-    return tables.vuln_listing(comps, vulns.component_vulns(comps, advisories(spark, sf))).drop("component_id")
+    return tables.vuln_listing(comps, vulns.component_vulns(comps, advisories(spark, sf), tables.vuln_names(comps))).drop("component_id")
 
 
 @query(f"WITH {_MATCH} SELECT scan_id, 'cve/' || vuln_id AS rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' "

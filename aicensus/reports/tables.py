@@ -80,11 +80,19 @@ def component_listing(component_rows: DataFrame, occ: DataFrame, vulns: DataFram
     )
 
 
-def vuln_listing(component_rows: DataFrame, vulns: DataFrame) -> DataFrame:
-    """One row per (component, CVE). Present ordered by severity rank descending, library, id."""
+def vuln_names(component_rows: DataFrame) -> DataFrame:
+    """What a vulnerability's listing shows of its component; ``component_vulns`` can carry it."""
     full = F.when(is_set(F.col("group")), F.concat_ws("/", "group", "name")).otherwise(F.col("name"))
-    names = component_rows.select(*KEYS, full.alias("library"), F.col("version").alias("installed"))
-    return vulns.drop("name", "version").join(names, KEYS).select(
+    return component_rows.select(*KEYS, full.alias("library"), F.col("version").alias("installed"))
+
+
+def vuln_listing(component_rows: DataFrame, vulns: DataFrame) -> DataFrame:
+    """One row per (component, CVE). Present ordered by severity rank descending, library, id.
+
+    Vulnerabilities that carry ``vuln_names`` need no join.
+    """
+    named = vulns if "library" in vulns.columns else vulns.drop("name", "version").join(vuln_names(component_rows), KEYS)
+    return named.select(
         *KEYS, "library", "vuln_id", "severity", severity_rank(F.col("severity")).alias("rank"),
         F.when(is_set(F.col("fixed")), "fixed").otherwise("affected").alias("status"),
         F.coalesce("installed", F.lit("-")).alias("installed"),
