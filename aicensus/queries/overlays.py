@@ -210,7 +210,7 @@ def vuln_listing(spark, sf):
 def sarif_vuln_results(spark, sf):
     comps = installed(spark, sf)
     occ = comps.select("scan_id", "component_id", F.lit("req.txt").alias("path"), F.explode(F.array(F.lit(7), F.lit(3))).alias("line"))
-    return sarif.vuln_results(comps, vulns.component_vulns(comps, advisories(spark, sf)), occ).select(
+    return sarif.vuln_results(comps, vulns.component_vulns(comps, advisories(spark, sf), sarif.vuln_places(comps, occ)), occ).select(
         "scan_id", "rule_id", "level", "message", "uri", "start_line")
 
 

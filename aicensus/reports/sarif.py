@@ -117,16 +117,22 @@ def risk_results(component_rows: DataFrame, risk_rows: DataFrame, details: DataF
     )
 
 
+def vuln_places(component_rows: DataFrame, occ: DataFrame) -> DataFrame:
+    """What a security result says of its component: name, version and lowest place; ``component_vulns`` can carry it."""
+    return component_rows.select(*KEYS, F.concat_ws(" ", "name", "version").alias("affects")).join(primary_locations(occ), KEYS, "left")
+
+
 def vuln_results(component_rows: DataFrame, vulns: DataFrame, occ: DataFrame) -> DataFrame:
-    """One security result per (component, CVE), anchored at the component's lowest place."""
-    named = F.concat_ws(" ", "name", "version")
+    """One security result per (component, CVE), anchored at the component's lowest place.
+
+    Vulnerabilities that carry ``vuln_places`` need no join.
+    """
     fix = F.when(is_set(F.col("fixed")), F.concat(F.lit("; fixed in "), "fixed")).otherwise("")
+    placed = vulns if "affects" in vulns.columns else vulns.drop("name", "version").join(vuln_places(component_rows, occ), KEYS)
     return (
-        vulns.drop("name", "version").join(component_rows.select(*KEYS, "name", "version"), KEYS)
-        .join(primary_locations(occ), KEYS, "left")
-        .select(
+        placed.select(
             *KEYS, F.concat(F.lit("cve/"), "vuln_id").alias("rule_id"), severity_level(F.col("severity")).alias("level"),
-            F.concat("vuln_id", F.lit(" ("), "severity", F.lit(") affects "), named, fix).alias("message"),
+            F.concat("vuln_id", F.lit(" ("), "severity", F.lit(") affects "), "affects", fix).alias("message"),
             F.col("path").alias("uri"), F.when(F.col("line") > 0, F.col("line")).alias("start_line"),
             "severity", "score", "fixed",
         )
