@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from aicensus.operators import artifacts, regions, rule_scan, rules
 from aicensus.plans import pipeline
@@ -159,3 +160,19 @@ def test_gate_as_a_column(spark):
     f = f.unionByName(f.limit(1).withColumns({"path": F.lit("null"), "content": F.lit(None).cast("binary")}))
     held = {r["path"] for r in f.filter(rule_scan.may_match(F.col("content"), given)).collect()}
     assert held == {"0", "1", "2", "5", "8"}
+
+
+def test_matches_are_handed_on_in_parts(spark):
+    """However many files a batch holds and matches a file has, few matches are Python values at once; a bad file stays a row."""
+    from aicensus.schemas import struct_type
+    from pyspark.sql.pandas.types import to_arrow_schema
+    rule = {"id": "r", "kind": "prompt", "provider": "", "risk": "", "languages": [], "keywords": ["le"], "pattern": "(?P<model>le)",
+            "regions": [], "claim": {"name": "${model}", "group": "", "version": ""}, "relations": [], "within_lines": None,
+            "param_names": [], "confidence": 0.5}
+    arrow = to_arrow_schema(struct_type(f"{rule_scan.MATCHES}, {rule_scan.AROUND}"))
+    batch = pa.RecordBatch.from_pydict({"scan_id": ["s"] * 4, "path": list("abcd"), "language": [""] * 4,
+                                        "content": [b"le " * 1200, b"x", b"le\n" * 3, b"le " * 600]})
+    parts = list(rule_scan._scan_batches(iter([batch]), arrow, rule_scan._Compiled(rule_scan._frozen([rule])), True, None))
+    assert [p.num_rows for p in parts] == [500, 500, 500, 303]
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(r["path"], r["match_seq"]) for r in rows] == [("a", i) for i in range(1200)] + [("c", i) for i in range(3)] + [("d", i) for i in range(600)]
