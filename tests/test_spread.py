@@ -43,3 +43,11 @@ def test_go_lines_are_read_once(spark):
                    ("a.go", 8, "hosted-llm", "m1", "Ask"), ("a.go", 8, "hosted-llm", "m2", "Ask"), ("a.go", 10, "hosted-llm", "m3", "")]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"(^|\s)//.*$") <= 4
+
+
+def test_large_headers_are_built_once(spark, tables):
+    rows = detection.large_safetensors(spark, tables)
+    got = {r["path"]: (r["tensor_count"], r["param_count"], r["metadata_format"]) for r in rows.collect()}
+    assert len(got) == 600 and got["m/n40.safetensors"] == (1, 16, "pt") and got["m/n7.safetensors"] == (1, 8, "pt")
+    assert len(shares(rows)) == 3
+    assert "repeat(" not in rows._jdf.queryExecution().optimizedPlan().toString()
