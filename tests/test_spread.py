@@ -1,6 +1,6 @@
 """Files made of a small table's rows are work of many tasks, and what a line tells is found once."""
 import pytest
-from aicensus.operators import infra
+from aicensus.operators import infra, project
 from aicensus.queries import derive, detection
 from aicensus.sources import files
 from helpers import files_frame
@@ -51,3 +51,12 @@ def test_large_headers_are_built_once(spark, tables):
     assert len(got) == 600 and got["m/n40.safetensors"] == (1, 16, "pt") and got["m/n7.safetensors"] == (1, 8, "pt")
     assert len(shares(rows)) == 3
     assert "repeat(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+# Queries over files made of parts.
+DEALT = ["call_site_params"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_part_queries_read_dealt_rows(spark, tables, name):
+    assert len(detection.QUERIES[name](spark, tables).inputFiles()) >= 3
