@@ -60,3 +60,7 @@ DEALT = ["call_site_params"]
 @pytest.mark.parametrize("name", DEALT)
 def test_part_queries_read_dealt_rows(spark, tables, name):
     assert len(detection.QUERIES[name](spark, tables).inputFiles()) >= 3
+
+
+def test_manifests_are_dealt(spark, tables):
+    assert len(shares(detection._manifest_files(spark, tables, "npm"))) == 3
