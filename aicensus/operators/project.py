@@ -174,17 +174,15 @@ def config_bindings(files: DataFrame) -> DataFrame:
     named = F.coalesce(*[
         F.when(is_text(k), blank_to_null(F.try_variant_get(F.col(f"doc.{k}"), "$", "string"))) for k in MODEL_KEYS
     ])
-    return (
-        docs.withColumn("fields", params)
-        .withColumn("_model", named)
-        .filter((F.size("fields") > 0) | F.col("_model").isNotNull())
-        .select(
-            "scan_id", "path", F.lit("ai-config").alias("kind"), basename(F.col("path")).alias("name"), "fields",
-            F.when(F.col("_model").isNotNull(), F.array(
-                _relation("configures", "local-model-file", F.col("_model")))).alias("relations"),
-            F.lit("project/configbind").alias("detector_id"), F.lit("config-analysis").alias("method"),
-            F.lit(0.7).alias("confidence"), F.lit(0).alias("line"), F.lit(0).alias("col"),
-        )
+    # One value that is kept or not: a filter on it would be moved below the parsed document and parse it for every key.
+    bound = F.filter(F.array(F.struct(params.alias("fields"), named.alias("_model"))),
+                     lambda b: (F.size(b["fields"]) > 0) | b["_model"].isNotNull())
+    return docs.select("scan_id", "path", F.explode(bound).alias("b")).select("scan_id", "path", "b.*").select(
+        "scan_id", "path", F.lit("ai-config").alias("kind"), basename(F.col("path")).alias("name"), "fields",
+        F.when(F.col("_model").isNotNull(), F.array(
+            _relation("configures", "local-model-file", F.col("_model")))).alias("relations"),
+        F.lit("project/configbind").alias("detector_id"), F.lit("config-analysis").alias("method"),
+        F.lit(0.7).alias("confidence"), F.lit(0).alias("line"), F.lit(0).alias("col"),
     )
 
 

@@ -54,7 +54,7 @@ def test_large_headers_are_built_once(spark, tables):
 
 
 # Queries over files made of parts.
-DEALT = ["call_site_params", "dockerfile_infra"]
+DEALT = ["call_site_params", "dockerfile_infra", "config_bindings"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -64,3 +64,12 @@ def test_part_queries_read_dealt_rows(spark, tables, name):
 
 def test_manifests_are_dealt(spark, tables):
     assert len(shares(detection._manifest_files(spark, tables, "npm"))) == 3
+
+
+def test_config_is_parsed_once(spark):
+    given = [("s", "generation_config.json", '{"top_k": 5.0, "model": "m"}'), ("t", "generation_config.json", '{"top_k": null, "model": 5}'),
+             ("u", "model_config.json", '{"x": 1, "model_name": "n"}'), ("v", "model_config.json", '{"do_sample": true')]
+    rows = project.config_bindings(files.classify(files_frame(spark, given)))
+    got = sorted((r["scan_id"], r["fields"], r["relations"] and r["relations"][0]["name"]) for r in rows.collect())
+    assert got == [("s", {"param.top_k": "5"}, "m"), ("u", {}, "n")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 6
