@@ -54,7 +54,7 @@ def test_large_headers_are_built_once(spark, tables):
 
 
 # Queries over files made of parts.
-DEALT = ["call_site_params", "dockerfile_infra", "config_bindings", "compose_infra"]
+DEALT = ["call_site_params", "dockerfile_infra", "config_bindings", "compose_infra", "rule_expectations"]
 
 
 @pytest.mark.parametrize("name", DEALT)
