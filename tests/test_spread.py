@@ -1,7 +1,7 @@
 """Files made of a small table's rows are work of many tasks, and what a line tells is found once."""
 import pytest
 from aicensus.operators import infra, project
-from aicensus.queries import derive, detection
+from aicensus.queries import derive, detection, overlays
 from aicensus.sources import files
 from helpers import files_frame
 from pyspark.sql import functions as F
@@ -73,3 +73,8 @@ def test_config_is_parsed_once(spark):
     got = sorted((r["scan_id"], r["fields"], r["relations"] and r["relations"][0]["name"]) for r in rows.collect())
     assert got == [("s", {"param.top_k": "5"}, "m"), ("u", {}, "n")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 6
+
+
+def test_installed_components_are_dealt(spark, tables):
+    got = shares(overlays.installed(spark, tables))
+    assert len(got) == 3 and sum(got) == 25_000
