@@ -98,3 +98,20 @@ def test_lines_around_a_match_are_split_once(spark):
     got = {r["i"]: {k: v for k, v in r["fields"].items() if k != "own"} for r in found.collect()}
     assert got == {1: {"param.k": "2"}, 2: {"param.k": "lit"}, 3: {}, 4: {"param.k": "v290"}, 5: {"param.k": "4x"}, 6: {}}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def told_once(rows):
+    """No union of passes over the files, and no text of a line cut up more than once."""
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    return "Union" not in plan and plan.count("Generate") == 1
+
+
+def test_dockerfiles_are_read_in_one_pass(spark):
+    text = "FROM a\nFROM vllm/vllm\nEXPOSE x 80/tcp\nENV MODEL_ID 'org/m'\nENV MODEL_ID=/x\nFROM b\nENV OLLAMA_HOST=1 MODEL_ID=n\nENV MODEL_ID=w.gguf\n"
+    rows = infra.dockerfile_findings(files.classify(files_frame(spark, [
+        ("s", "Dockerfile", text), (None, "a/Dockerfile", "ENV MODEL_ID k"), ("s", "Dockerfile", text), ("t", "Dockerfile", "FROM x")])))
+    got = sorted((r["scan_id"] or "", r["line"], r["kind"], r["name"], r["infra"] and r["infra"]["endpoint"], r["fields"], r["snippet"]) for r in rows.collect())
+    assert got == [("", 1, "hosted-llm", "k", None, None, "ENV MODEL_ID k")] + [
+        row for row in [("s", 2, "infra", "vllm", "80", {"env": "MODEL_ID"}, "FROM vllm/vllm"), ("s", 4, "hosted-llm", "org/m", None, None, "ENV MODEL_ID 'org/m'"),
+                        ("s", 7, "infra", "ollama", None, {"env": "MODEL_ID,OLLAMA_HOST"}, "ENV OLLAMA_HOST=1 MODEL_ID=n")] for _ in range(2)]
+    assert told_once(rows) and rows._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
