@@ -115,3 +115,12 @@ def test_dockerfiles_are_read_in_one_pass(spark):
         row for row in [("s", 2, "infra", "vllm", "80", {"env": "MODEL_ID"}, "FROM vllm/vllm"), ("s", 4, "hosted-llm", "org/m", None, None, "ENV MODEL_ID 'org/m'"),
                         ("s", 7, "infra", "ollama", None, {"env": "MODEL_ID,OLLAMA_HOST"}, "ENV OLLAMA_HOST=1 MODEL_ID=n")] for _ in range(2)]
     assert told_once(rows) and rows._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_compose_files_are_read_in_one_pass(spark):
+    text = "image: 'ollama/ollama'\n- \"81:80\"\n- MODEL_ID=m\nimage: x\nMODEL_ID: ${M}\n- 5:5\n"
+    rows = infra.compose_findings(files.classify(files_frame(spark, [("s", "compose.yml", text), ("s", "compose.yml", text), ("t", None, text)])))
+    got = sorted((r["scan_id"], r["line"], r["kind"], r["name"], r["infra"] and r["infra"]["endpoint"], r["fields"], r["snippet"]) for r in rows.collect())
+    assert got == [row for row in [("s", 1, "infra", "ollama", "81", {"env": "MODEL_ID"}, "image: 'ollama/ollama'"),
+                                   ("s", 3, "hosted-llm", "m", None, None, "- MODEL_ID=m")] for _ in range(2)]
+    assert told_once(rows) and rows._jdf.queryExecution().optimizedPlan().toString().count("^([0-9]+)(?:/[^:]*)?(?::|$)") == 1
