@@ -2,7 +2,7 @@
 import pytest
 from aicensus.operators import infra, project, rule_scan
 from aicensus.queries import derive, detection, overlays
-from aicensus.sources import files
+from aicensus.sources import files, routing
 from helpers import files_frame
 from pyspark.sql import functions as F
 
@@ -124,3 +124,18 @@ def test_compose_files_are_read_in_one_pass(spark):
     assert got == [row for row in [("s", 1, "infra", "ollama", "81", {"env": "MODEL_ID"}, "image: 'ollama/ollama'"),
                                    ("s", 3, "hosted-llm", "m", None, None, "- MODEL_ID=m")] for _ in range(2)]
     assert told_once(rows) and rows._jdf.queryExecution().optimizedPlan().toString().count("^([0-9]+)(?:/[^:]*)?(?::|$)") == 1
+
+
+def test_selectors_are_evaluated_once(spark):
+    """Files that nobody reads are left out without a second look at the paths; rows may repeat, paths may be null."""
+    paths = ["a/package.json", "x/Dockerfile", "m.BIN", "README", None, "", "a/package.json", "b/prompts/c.py", "web.csproj"]
+    given = files.classify(files_frame(spark, [("s", p, b"\x80" if p == "m.BIN" else "t") for p in paths]))
+    routed = routing.with_routes(given, {"longer": F.length("path") > 9})
+    assert routed.columns == [*given.columns, routing.ROUTES]
+    assert [r[routing.ROUTES] for r in routed.collect()] == [
+        "|manifest/npm|longer|", "|infra/dockerfile|longer|", "|modelfilex/torch|", "", "", "", "|manifest/npm|longer|",
+        "|prompt/file|ruleengine|longer|", "|manifest/nuget|longer|"]
+    held = routing.read_by_some(routed)
+    assert held.columns == routed.columns and held.count() == 6
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring_index(") == 1 and plan.count("manifest/npm") == 1
