@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .manifests import file_lines
+from ..sources.files import text_of
+from .manifests import folded_lines, line_array
 
 
 def expectations(files: DataFrame, marker: str = "expect") -> DataFrame:
     """Annotations in comments: ``expect: <rule>`` wants a match, ``expect-ok: <rule>`` none.
 
     A trailing annotation means its own line; a standalone one means the next line that is
-    not itself a standalone annotation.
+    not itself a standalone annotation. Lines are folded from the last to the first inside their file's row.
     """
     note = rf"(?:#|//)\s*{marker}(-ok)?:\s*(\S+)"
-    alone = F.col("raw").rlike(rf"^\s*{note}")
-    after = W.partitionBy("scan_id", "path").orderBy("line").rowsBetween(1, W.unboundedFollowing)
-    rows = file_lines(files).withColumn("_alone", alone)
-    rows = rows.withColumn("_next", F.min(F.when(~F.col("_alone"), F.col("line"))).over(after))
-    last = F.max("line").over(W.partitionBy("scan_id", "path")) + 1
-    return (
-        rows.withColumn("_end", last)
-        .filter(F.col("raw").rlike(note))
-        .select(
-            "scan_id", "path",
-            F.when(F.col("_alone"), F.coalesce("_next", "_end")).otherwise(F.col("line")).alias("line"),
-            F.regexp_extract("raw", note, 2).alias("rule_id"),
-            (F.regexp_extract("raw", note, 1) == "").alias("positive"),
-        )
-    )
+    marked = files.filter(text_of(F.col("content")).rlike(note))
+    rows = line_array(marked).withColumn("lines", F.reverse("lines"))
+    told = F.transform("lines", lambda x: F.struct(x["line"], x["raw"], x["raw"].rlike(note).alias("noted"), x["raw"].rlike(rf"^\s*{note}").alias("alone")))
+
+    def step(at: Column, line: Column) -> tuple[dict[str, Column], Column]:
+        following = F.when(at["following"] > 0, at["following"]).otherwise(line["line"] + 1)
+        meant = F.when(line["alone"], following).otherwise(line["line"])
+        return {"following": meant}, F.when(line["noted"], F.struct(meant.alias("line"), line["raw"]))
+
+    noted = folded_lines(rows.withColumn("lines", told), {"following": F.lit(0)}, step, "struct<line:int,raw:string>")
+    return noted.select(
+        "scan_id", "path", "line", F.regexp_extract("raw", note, 2).alias("rule_id"),
+        (F.regexp_extract("raw", note, 1) == "").alias("positive"))
 
 
 def failures(expected: DataFrame, matches: DataFrame, rules: list[dict]) -> DataFrame:
@@ -44,7 +42,8 @@ def failures(expected: DataFrame, matches: DataFrame, rules: list[dict]) -> Data
         .when(F.col("positive") & ~hit, "annotated line is not matched")
         .when(~F.col("positive") & hit, "line annotated as clean is matched")
     )
-    return expected.join(fired, ["scan_id", "path", "line", "rule_id"], "left").select(
+    # Matches are as many as the corpus has; files full of text look small to the planner, which would broadcast them.
+    return expected.join(fired.hint("merge"), ["scan_id", "path", "line", "rule_id"], "left").select(
         "scan_id", "path", "line", "rule_id", "positive", reason.alias("reason")
     ).filter("reason IS NOT NULL")
 

@@ -1,6 +1,6 @@
 """Files made of a small table's rows are work of many tasks, and what a line tells is found once."""
 import pytest
-from aicensus.operators import infra, project, rule_scan
+from aicensus.operators import infra, literals, project, rule_scan, rulecheck
 from aicensus.queries import derive, detection, overlays
 from aicensus.sources import files, routing
 from helpers import files_frame
@@ -139,3 +139,25 @@ def test_selectors_are_evaluated_once(spark):
     assert held.columns == routed.columns and held.count() == 6
     plan = held._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("substring_index(") == 1 and plan.count("manifest/npm") == 1
+
+
+def test_annotations_are_found_inside_the_file(spark):
+    """A standalone annotation means the next line that is none, behind the last line at the end; no line is shuffled."""
+    text = "// expect: a\n  # expect-ok: b\nx # expect: c\n\n# expect: d\n# expect: e\n"
+    given = files_frame(spark, [("s", "f", text), ("s", "f", text), (None, None, "#expect: z"), ("s", "g", "plain")])
+    found = rulecheck.expectations(given)
+    got = sorted((r["scan_id"] or "", r["line"], r["rule_id"], r["positive"]) for r in found.collect())
+    assert got == [("", 2, "z", True)] + [row for row in [
+        ("s", 3, "a", True), ("s", 3, "b", False), ("s", 3, "c", True), ("s", 7, "d", True), ("s", 7, "e", True)] for _ in range(2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_few_literals_are_searched_for():
+    index = literals.LiteralIndex([b"chat.create", b"gguf"])
+    assert index.candidates(b"nothing of it") == [0, 1] and index.present(b"a gguf") == [1] and not index.any(b"")
+
+
+def test_matches_are_not_broadcast(spark, tables):
+    plan = detection.rule_expectations(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
