@@ -2,8 +2,10 @@
 import io
 import zipfile
 
+import duckdb
 from aicensus.operators import artifacts, manifests, rule_scan, rules
 from aicensus.plans import pipeline
+from aicensus.queries import registry
 from aicensus.sources import files
 from helpers import files_frame
 from pyspark.sql import functions as F
@@ -71,6 +73,21 @@ def test_parameters_around_a_call(spark):
         assert r["fields"] == {"model": "gpt-x", "param.temperature": "0.5", "param.top_p": "other"}
 
 
+def test_documents_are_scanned_for_all_they_name(spark, tmp_path):
+    """License names, token literals, email and IPv4 addresses, alone in a document or with others; as its SQL tells."""
+    texts = ["é 10.0.0.1, 192.168.1.254\nversion 1.2.3\n8.8.8.8", f'MIT, token  = "{"0f" * 20}"\nto a.b@c.example or 1.2.3.4', "1.2.3", "", None]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["rule_scan_documents"](spark, str(tmp_path)).collect()
+    got = sorted((r["path"], r["line"], r["rule_id"], r["n"], r["col"]) for r in rows)
+    assert got == [
+        ("doc_0.txt", 1, "docs/ipv4", 2, 3), ("doc_0.txt", 3, "docs/ipv4", 1, 1), ("doc_1.txt", 1, "docs/license", 1, 1),
+        ("doc_1.txt", 1, "docs/token", 1, 6), ("doc_1.txt", 2, "docs/email", 1, 4), ("doc_1.txt", 2, "docs/ipv4", 1, 21)]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(f"select path, line, rule_id, n, col from ({registry.ORACLES['rule_scan_documents']})").fetchall()) == got
+
+
 def test_one_corpus_scan_and_user_detectors(spark):
     f = files_frame(spark, [("s", "requirements.txt", "openai==1\n"), ("s", "notes.md", "\n  our model: x1\n")])
 
